@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import read
+from quaymark.llm.common import read, sliced
 
 #: Fixed values of the vocabulary's format: its byte alphabet keeps the printable Latin-1 bytes and moves the others up from 256.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -31,7 +31,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 #: str.split() also splits at these, which the vocabulary counts as text.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Chunks kept per Python worker; at this many the store starts anew, which bounds its memory.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 120_000
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 64
 
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
 
@@ -263,7 +263,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [codec.decode(b) for b in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
