@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, warc
+from quaymark.llm import bpe, langid, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_langid": langid.query,
         "op6_warc": warc.query,
         "op9_bpe": bpe.query,
     }
