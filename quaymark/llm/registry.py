@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, langid, warc
+from quaymark.llm import bpe, langid, matroska, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_langid": langid.query,
+        "op5_matroska": matroska.query,
         "op6_warc": warc.query,
         "op9_bpe": bpe.query,
     }
