@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, langid, matroska, warc
+from quaymark.llm import bpe, decontaminate, langid, matroska, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid": langid.query,
         "op5_matroska": matroska.query,
         "op6_warc": warc.query,
+        "op8_decontaminate": decontaminate.query,
         "op9_bpe": bpe.query,
     }
 
@@ -21,4 +22,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_warc": warc.SQL,
+        "op8_decontaminate": decontaminate.SQL,
     }
