@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, decontaminate, langid, matroska, warc
+from quaymark.llm import bpe, decontaminate, langid, linededup, matroska, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_langid": langid.query,
+        "op4_linededup": linededup.query,
         "op5_matroska": matroska.query,
         "op6_warc": warc.query,
         "op8_decontaminate": decontaminate.query,
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_linededup": linededup.SQL,
         "op6_warc": warc.SQL,
         "op8_decontaminate": decontaminate.SQL,
     }
