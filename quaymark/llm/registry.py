@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, decontaminate, langid, linededup, matroska, warc
+from quaymark.llm import bpe, chosenpath, decontaminate, langid, linededup, matroska, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_linededup": linededup.query,
         "op5_matroska": matroska.query,
         "op6_warc": warc.query,
+        "op7_chosenpath": chosenpath.query,
         "op8_decontaminate": decontaminate.query,
         "op9_bpe": bpe.query,
     }
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_linededup": linededup.SQL,
         "op6_warc": warc.SQL,
+        "op7_chosenpath": chosenpath.SQL,
         "op8_decontaminate": decontaminate.SQL,
     }
