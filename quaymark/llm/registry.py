@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, chosenpath, decontaminate, langid, linededup, matroska, warc
+from quaymark.llm import bpe, chosenpath, decontaminate, langid, linededup, matroska, pii, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chosenpath": chosenpath.query,
         "op8_decontaminate": decontaminate.query,
         "op9_bpe": bpe.query,
+        "op10_pii": pii.query,
     }
 
 
