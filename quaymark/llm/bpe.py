@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import read, sliced
+from quaymark.llm.common import read, sliced, small_batches
 
 #: Fixed values of the vocabulary's format: its byte alphabet keeps the printable Latin-1 bytes and moves the others up from 256.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -240,6 +240,7 @@ def _codec(shipped) -> Codec:
 
 def _ship(spark: SparkSession, path: str | None):
     """The vocabulary goes to the executors as one broadcast text; its size is that of the file (1.7 MB here), whatever the corpus."""
+    small_batches(spark)
     return spark.sparkContext.broadcast(vocabulary(path))
 
 

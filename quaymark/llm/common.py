@@ -22,7 +22,19 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
+#: Rows that go to a Python worker at once. Whole texts are long: at Spark's default of 10,000 a batch takes tens of MB, several times, in each of an executor's tasks.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session's Arrow batches hold BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,6 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table of the shared folder and read it back: lineage ends here, and what a plan draws once stays as drawn."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/quaymark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,7 +68,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches of few rows, so that what a task makes of one stays small whatever the session's batch size."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

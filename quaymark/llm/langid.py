@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import fresh, read, sliced
+from quaymark.llm.common import fresh, read, sliced, small_batches
 
 BITS = 18
 UNKNOWN = "und"
@@ -107,6 +107,7 @@ def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, held: int = 2, features: int = 4096, clusters: int = 3, fit_docs_per_lang: int = 400, reject: float = 0.2) -> Model:
     """A model from rows whose crc32(id) mod fold is not held. Of each language about fit_docs_per_lang texts, picked by hash, give the centroids."""
+    small_batches(docs.sparkSession)
     rows = _learnable(docs, id_col, text_col, lang_col, fold, held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
