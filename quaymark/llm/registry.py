@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, chosenpath, decontaminate, langid, linededup, matroska, pii, warc
+from quaymark.llm import bpe, chosenpath, decontaminate, langid, linededup, matroska, pii, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
+        "op2_toxicity": toxicity.query,
         "op3_langid": langid.query,
         "op4_linededup": linededup.query,
         "op5_matroska": matroska.query,
