@@ -96,7 +96,11 @@ def buckets(sets: DataFrame, runs: int, small: int = SMALL, depth: int = DEPTH)
         level = written(rows.select("set", "part").join(kept, "part").select(F.col("part").alias("path"), "set", F.col("m").alias("n")), "paths")
         ready.append(level.where(F.col("n") <= small))
         big = level.where(F.col("n") > small)
-    return reduce(DataFrame.unionByName, [*ready, big])
+    every = written(reduce(DataFrame.unionByName, [*ready, big]), "buckets")
+    # Near copies meet in run after run: of the buckets that hold the same sets, one is enough.
+    each = every.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "set")).alias("y"))
+    kept = each.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path")
+    return every.join(kept, "path", "left_semi")
 
 
 def _compare(path: int, same_block: bool, sets: np.ndarray, side: np.ndarray, paths: list[np.ndarray], grams: list[np.ndarray], threshold: float) -> list[tuple[int, int, int]]:
