@@ -65,28 +65,25 @@ def _windows(lines: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, start, stop, later) of the shortest windows that occur more than once; later: it isn't the first occurrence."""
     lines = written(_line_table(docs, id_col, text_col, min_words), "lines")
-    letters = lines.where("not end")
+    letters, windows = lines.where("not end"), _windows(lines)
+    most = windows.agg(F.max("m")).first()[0] or 0
     suffixes = written(letters.join(_ranked(letters, "h1", "h2"), ["h1", "h2"]).select("row", "seq", "rank"), "suffixes")
-    windows, found, h = _windows(lines), [], 1
-    while h <= min_words and not suffixes.isEmpty():
-        here = windows.where((F.col("m") >= h) & (F.col("m") < 2 * h))
-        named = here.join(suffixes, ["row", "seq"]).withColumnRenamed("rank", "head")
-        if h > 1:
-            tails = suffixes.select("row", F.col("seq").alias("tail_seq"), F.col("rank").alias("tail"))
-            named = named.withColumn("tail_seq", F.col("seq") + F.col("m") - h).join(tails, ["row", "tail_seq"])
-        else:
-            named = named.withColumn("tail", F.col("head"))
-        place = F.struct("id", "th", "seq")
-        named = written(named.select("m", "head", "tail", place.alias("place"), "start", "stop").distinct(), "windows")
-        intervals = named.groupBy("m", "head", "tail").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
-        hits = named.join(intervals, ["m", "head", "tail"])
-        found.append(hits.select(F.col("place.id").alias("id"), F.col("place.th").alias("th"), "start", "stop", (F.col("place") != F.col("first")).alias("later")))
-        if 2 * h <= min_words:
+    levels, h = [], 1
+    while h <= most and not suffixes.isEmpty():
+        levels.append(suffixes.withColumn("h", F.lit(h)))
+        if 2 * h <= most:
             suffixes = _double(suffixes, h)
         h *= 2
-    if not found:
+    if not levels:
         return lines.select("id", "th", F.col("raw").alias("start"), F.col("raw").alias("stop"), F.lit(True).alias("later")).limit(0)
-    return reduce(DataFrame.union, found)
+    ranks = reduce(DataFrame.union, levels)
+    here = windows.withColumn("h", F.expr("shiftleft(1, length(bin(m)) - 1)"))
+    named = here.join(ranks.withColumnRenamed("rank", "head"), ["row", "seq", "h"]).withColumn("tail_seq", F.col("seq") + F.col("m") - F.col("h"))
+    named = named.join(ranks.select("row", F.col("seq").alias("tail_seq"), "h", F.col("rank").alias("tail")), ["row", "tail_seq", "h"])
+    named = written(named.select("m", "head", "tail", F.struct("id", "th", "seq").alias("place"), "start", "stop").distinct(), "windows")
+    intervals = named.groupBy("m", "head", "tail").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
+    hits = named.join(intervals, ["m", "head", "tail"])
+    return hits.select(F.col("place.id").alias("id"), F.col("place.th").alias("th"), "start", "stop", (F.col("place") != F.col("first")).alias("later"))
 
 
 def doomed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
