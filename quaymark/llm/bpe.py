@@ -13,8 +13,10 @@ result; columns other than the id and the text are not looked at.
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -30,8 +32,8 @@ _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: str.split() also splits at these, which the vocabulary counts as text.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
-#: Chunks kept per Python worker; at this many the store starts anew, which bounds its memory.
-CACHE_CHUNKS = 120_000
+#: Chunks kept per Python worker: at this many they become the old ones, of which those that come up again are taken over and the rest goes at the next turn.
+CACHE_CHUNKS = 300_000
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 64
 
@@ -46,6 +48,25 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
+class Cache(dict):
+    """Encodings of chunks; a chunk that isn't there is encoded and kept."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.old.get(chunk)
+        if got is None:
+            got = self.encode(chunk)
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 class Codec:
     """Tables of one vocabulary. A symbol is a byte, or a byte at a word's end (256 higher)."""
 
@@ -87,9 +108,10 @@ class Codec:
             s = symbols(token)
             self.ids[s], self.length[i] = i, len(s)
         # Only tokens that their own merges rebuild can occur.
-        self.machine = ahocorasick.Automaton()
+        self.machine, self.forward = ahocorasick.Automaton(), ahocorasick.Automaton()
         for s, i in self.ids.items():
             self.machine.add_word(s[::-1], i)
+            self.forward.add_word(s, i)
         #: Of each token, the longest shorter token that begins it.
         self.shorter = [-1] * n
         for s, i in self.ids.items():
@@ -98,9 +120,9 @@ class Codec:
                     self.shorter[i] = j
                     break
         self.machine.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.forward.make_automaton()
+        self.fits: dict[int, bool] = {}
+        self.chunks = Cache(self.encode_chunk)
         shown = [""] * (max([n - 1, *self.special.values()]) + 1)
         for token, i in {**vocab, **self.special}.items():
             shown[i] = f" {token}"
@@ -110,10 +132,7 @@ class Codec:
         np.cumsum([len(b) for b in raw], out=self.offsets[1:])
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether a and b side by side stay as they are: no merge across their border comes before those that made them."""
-        known = self.fits.get((a, b))
-        if known is not None:
-            return known
+        """Whether a and b side by side, not asked for before, stay as they are: no merge across their border comes before those that made them."""
         x, y, before, fits = a, b, 1 << 60, True
         while True:
             across = self.pairs.get((x, y))
@@ -131,61 +150,65 @@ class Codec:
                 break
         if len(self.fits) > 2_000_000:
             self.fits.clear()
-        self.fits[a, b] = fits
+        self.fits[a << 32 | b] = fits
         return fits
 
-    def longest(self, s: str) -> list[int]:
-        """Of each position, the longest token that begins there: an automaton over reversed tokens reads the word backwards."""
-        n, out = len(s), [-1] * len(s)
-        length = self.length
-        for end, i in self.machine.iter(s[::-1]):
-            at = n - 1 - end
-            if out[at] < 0 or length[i] > length[out[at]]:
-                out[at] = i
-        return out
+    def longest(self, s: str) -> dict[int, int]:
+        """The longest token that begins at each position, by the position's distance from the last: an automaton over reversed tokens reads the word backwards, and of the tokens that end at a place it tells the longest first."""
+        return dict(reversed(list(self.machine.iter(s[::-1]))))
 
     def encode_symbols(self, s: str) -> list[int]:
-        whole = self.ids.get(s)
-        if whole is not None and len(s) == 1:
-            return [whole]
-        first, open_at = self.longest(s), [True] * (len(s) + 1)
+        fits = self.fits
+        path = [i for _, i in self.forward.iter_long(s)]
+        before = path[0]
+        for token in path[1:]:
+            fit = fits.get(before << 32 | token)
+            if not (self.compatible(before, token) if fit is None else fit):
+                break
+            before = token
+        else:  # taking the longest token at each place never had to be undone
+            return path
+        first, last, length = self.longest(s), len(s) - 1, self.length
+        left = set()  # positions that were left for good
         done: list[int] = []
-        at, token = 0, first[0]
+        at, token, before = 0, first[last], -1
         while True:
-            end = at + self.length[token]
-            if open_at[end] and (not done or self.compatible(done[-1], token)):
+            end = at + length[token]
+            fit = end not in left
+            if fit and before >= 0:
+                fit = fits.get(before << 32 | token)
+                if fit is None:
+                    fit = self.compatible(before, token)
+            if fit:
                 done.append(token)
-                at = end
-                if at == len(s):
+                if end > last:
                     return done
-                token = first[at]
+                at, before = end, token
+                token = first[last - at]
                 continue
             token = self.shorter[token]
-            while token < 0:  # nothing fits here: leave this position for good
-                open_at[at] = False
+            while token < 0:  # nothing fits here
+                left.add(at)
                 token = done.pop()
-                at -= self.length[token]
+                at -= length[token]
+                before = done[-1] if done else -1
                 token = self.shorter[token]
 
     def encode_word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         s = raw.decode("latin-1")
-        return np.array(self.encode_symbols(s[:-1] + chr(raw[-1] + 256)), dtype="<u4").tobytes()
+        ids = array("I", self.encode_symbols(s[:-1] + chr(raw[-1] + 256)))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def plain(self, text: str) -> bytes:
         """Text without special tokens."""
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        out = []
-        for word in WORDS.findall(text):
-            got = self.words.get(word)
-            if got is None:
-                got = self.encode_word(word)
-                if len(word) <= CACHE_CHARS:
-                    if len(self.words) >= CACHE_CHUNKS:
-                        self.words.clear()
-                    self.words[word] = got
-            out.append(got)
-        return b"".join(out)
+        words = WORDS.findall(text)
+        if words == [text]:  # a word as it will come up again: what the cache asks for
+            return self.encode_word(text)
+        return b"".join([self.chunks[w] if w.isalpha() else self.encode_word(w) for w in words])
 
     def piece(self, text: str) -> bytes:
         """Text in which special tokens stand for themselves."""
@@ -197,23 +220,18 @@ class Codec:
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
+    def encode_chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.islower() and unicodedata.is_normalized("NFC", chunk):
+            return self.encode_word(chunk)
+        return self.piece(chunk)
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if _SEPARATORS.search(text):
             return self.piece(text)
-        chunks, out = self.chunks, []
-        for chunk in text.split():
-            got = chunks.get(chunk)
-            if got is None:
-                got = self.piece(chunk)
-                if len(chunk) <= CACHE_CHARS:
-                    if len(chunks) >= CACHE_CHUNKS:
-                        chunks.clear()
-                    chunks[chunk] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
     def decode(self, ids: bytes | None) -> str:
         """Tokens joined by blanks, as the vocabulary's library does where no decoder is set."""
