@@ -1 +1,127 @@
-"""Queries of this group."""
+"""Scoring and comparison queries over the question bank and transcripts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quaymark.functions import scalars as S
+from quaymark.operators import evaluation as E
+from quaymark.operators import prices as P
+from quaymark.plans.catalogue import register
+from quaymark.sources import views as V
+
+_A = V.with_(V.ARMS)
+_Q = _A + ", q AS (SELECT qid, arm, CAST(sum(points) AS BIGINT) AS earned, count(*) AS components FROM arms GROUP BY 1, 2)"
+_P = _Q + ", s AS (SELECT qid, arm, round(earned / components, 4) AS score FROM q), pr AS (SELECT a.qid, a.score AS a, b.score AS b, round(b.score - a.score, 4) AS diff FROM s a JOIN s b ON a.qid = b.qid AND a.arm = 'base' AND b.arm = 'tuned')"
+
+
+def _facts(s, d):
+    """A fact and an answer for each item: the answer is off by a few hundredths, sometimes hedged, sometimes without the date."""
+    off = (F.pmod(F.col("item_id") * 13, F.lit(7)) - 3) / 100.0
+    value = F.pmod(F.col("item_id") * 37, F.lit(1000)) / 10.0
+    day = F.date_add(F.lit("2019-01-01").cast("date"), F.pmod(F.col("item_id") * 11, F.lit(365)).cast("int"))
+    fact = F.format_string("return of %.2f%% on %s", value, F.date_format(day, "yyyy-MM-dd"))
+    answer = F.concat(F.when(F.col("item_id") % 5 == 0, "about ").otherwise("it was "), F.format_string("%.2f%%", value + off), F.when(F.col("item_id") % 6 == 0, "").otherwise(F.concat(F.lit(" on "), F.date_format(day, "yyyy-MM-dd"))))
+    return V.table(s, d, "benchmark").select("item_id", (F.col("item_id") % 12).alias("qid"), fact.alias("fact"), answer.alias("answer"), (F.pmod(F.col("item_id") * 7, F.lit(10)) < 8).alias("judged"))
+
+
+_F = """f AS (SELECT item_id, item_id % 12 AS qid, (item_id * 37 % 1000) / 10.0 AS value, ((item_id * 13) % 7 - 3) / 100.0 AS off, strftime(DATE '2019-01-01' + CAST(item_id * 11 % 365 AS INTEGER), '%Y-%m-%d') AS day, (item_id * 7) % 10 < 8 AS judged FROM benchmark),
+g AS (SELECT *, printf('return of %.2f%% on %s', value, day) AS fact, CASE WHEN item_id % 5 = 0 THEN 'about ' ELSE 'it was ' END || printf('%.2f%%', value + off) || CASE WHEN item_id % 6 = 0 THEN '' ELSE ' on ' || day END AS answer FROM f),
+n AS (SELECT *, [CAST(replace(x, ',', '') AS DOUBLE) FOR x IN regexp_extract_all(regexp_replace(fact, '\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '-?\\d[\\d,]*(?:\\.\\d+)?')] AS want, [abs(CAST(replace(x, ',', '') AS DOUBLE)) FOR x IN regexp_extract_all(regexp_replace(answer, '\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '-?\\d[\\d,]*(?:\\.\\d+)?')] AS have FROM g),
+c AS (SELECT item_id, qid, judged, CASE WHEN len(list_filter(want, lambda e: len(list_filter(have, lambda a: abs(e - a) <= 0.02 + 1e-9)) = 0)) = 0 AND contains(answer, day) THEN 'PASS' ELSE 'FAIL' END AS numeric, regexp_matches(lower(answer), '(about|around|approximately|roughly|nearly|almost)[\\s\\S]{0,40}?\\d') AS hedged FROM n),
+graded AS (SELECT *, judged AND numeric <> 'FAIL' AS strict, judged <> (numeric = 'PASS') AS disagree FROM c)
+""".replace("\\\\", "\\")
+
+
+def _graded(s, d):
+    rows = _facts(s, d).select("item_id", "qid", "judged", S.numeric_check(F.col("fact"), F.col("answer")).alias("numeric"), S.hedged(F.col("answer")).alias("hedged"))
+    return rows.select("*", (F.col("judged") & (F.col("numeric") != "FAIL")).alias("strict"), ((F.col("numeric") != "N/A") & (F.col("judged") != (F.col("numeric") == "PASS"))).alias("disagree"))
+
+
+register("score_components", "WITH " + _F + "SELECT * FROM graded")(_graded)
+register("score_aggregate", "WITH " + _F + "SELECT count(*) AS components, count(*) FILTER (judged) AS yes, count(*) FILTER (strict) AS strict_yes, round(avg(CAST(judged AS INTEGER)), 4) AS score, round(avg(CAST(strict AS INTEGER)), 4) AS strict_score, round(avg(CAST(disagree AS INTEGER)), 4) AS disagreement, count(*) FILTER (hedged) AS hedged FROM graded")(
+    lambda s, d: _graded(s, d).agg(F.count("*").alias("components"), F.count_if("judged").alias("yes"), F.count_if("strict").alias("strict_yes"), F.round(F.avg(F.col("judged").cast("int")), 4).alias("score"), F.round(F.avg(F.col("strict").cast("int")), 4).alias("strict_score"), F.round(F.avg(F.col("disagree").cast("int")), 4).alias("disagreement"), F.count_if("hedged").alias("hedged"))
+)
+register("score_question", _Q + " SELECT qid, arm, earned, components FROM q")(lambda s, d: E.question_scores(V.arms(s, d)))
+
+
+def _grouped(s, d):
+    """Two independent groupings of one pass."""
+    rows = _graded(s, d).select("judged", F.when(F.col("qid") % 3 == 0, "easy").when(F.col("qid") % 3 == 1, "medium").otherwise("hard").alias("difficulty"), F.when(F.col("qid") % 2 == 0, "single").otherwise("cross").alias("scope"))
+    sets = rows.groupingSets([[F.col("difficulty")], [F.col("scope")]], "difficulty", "scope").agg(F.count("*").alias("components"), F.count_if("judged").alias("yes"))
+    return sets.select("difficulty", "scope", "components", "yes")
+
+
+register("score_by_group", "WITH " + _F + ", h AS (SELECT judged, CASE qid % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, CASE qid % 2 WHEN 0 THEN 'single' ELSE 'cross' END AS scope FROM graded) SELECT difficulty, scope, count(*) AS components, count(*) FILTER (judged) AS yes FROM h GROUP BY GROUPING SETS ((difficulty), (scope))")(_grouped)
+register("paired_delta", _P + " SELECT count(*) AS questions, round(avg(a), 4) AS mean_base, round(avg(b), 4) AS mean_other, round(avg(diff), 4) AS delta, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, count(*) FILTER (diff = 0) AS ties FROM pr")(lambda s, d: E.compare(E.paired(V.arms(s, d))))
+register("paired_bootstrap", _P + """, num AS (SELECT diff, row_number() OVER (ORDER BY qid) - 1 AS nth FROM pr), m AS (SELECT count(*) AS n FROM pr),
+dr AS (SELECT r, ((((r * 7919 + k * 104729) % 2147483647) * 1103515245 + 3) % 2147483647 // 65536) % n AS nth FROM m, range(2000) t(r), range(1000) u(k) WHERE k < n),
+me AS (SELECT r, round(avg(diff), 6) AS mean FROM dr JOIN num USING (nth) GROUP BY 1), pl AS (SELECT mean, row_number() OVER (ORDER BY mean, r) - 1 AS place FROM me)
+SELECT max(mean) FILTER (place = 50) AS low, max(mean) FILTER (place = 1950) AS high FROM pl""")(lambda s, d: E.bootstrap(E.paired(V.arms(s, d))))
+register("sign_flip_p", _P + """, num AS (SELECT diff, CAST(row_number() OVER (ORDER BY qid) - 1 AS INTEGER) AS nth FROM pr WHERE diff <> 0),
+mk AS (SELECT mask FROM range(1048576) t(mask) WHERE mask < (SELECT pow(2, count(*)) FROM num)),
+su AS (SELECT mask, abs(sum(CASE WHEN (mask >> nth) & 1 = 1 THEN -diff ELSE diff END)) AS sum FROM mk, num GROUP BY 1)
+SELECT count(*) AS patterns, round(avg(CAST(sum >= (SELECT abs(sum(diff)) FROM num) - 1e-9 AS INTEGER)), 6) AS p FROM su""")(lambda s, d: E.sign_flip(E.paired(V.arms(s, d))))
+register("arm_diff", _A + " SELECT count(*) AS items, count(*) FILTER (a.points <> b.points) AS differing FROM arms a JOIN arms b USING (item_id) WHERE a.arm = 'base' AND b.arm = 'tuned'")(
+    lambda s, d: (lambda x: x.where("arm = 'base'").select("item_id", F.col("points").alias("p")).join(x.where("arm = 'tuned'"), "item_id").agg(F.count("*").alias("items"), F.count_if(F.col("p") != F.col("points")).alias("differing")))(V.arms(s, d))
+)
+register("judge_agreement", "SELECT count(*) AS cases, round(avg(CAST((quality > 0) = (toxic = 0) AS INTEGER)), 6) AS agreement, count(*) FILTER (quality > 0 AND toxic <> 0) AS misses, avg(CAST((quality > 0) = (toxic = 0) AS INTEGER)) >= 0.95 AND count(*) FILTER (quality > 0 AND toxic <> 0) = 0 AS passes FROM labels")(
+    lambda s, d: E.agreement(V.table(s, d, "labels").select((F.col("quality") > 0).alias("expected"), (F.col("toxic") == 0).alias("verdict")))
+)
+
+
+def _logprobs(s, d):
+    pair = F.array(F.struct(F.lit("Yes").alias("token"), (-(F.col("item_id") % 5 + 1) / 4.0).alias("logprob")), F.struct(F.lit(" no").alias("token"), (-(F.col("item_id") % 3 + 1) / 4.0).alias("logprob")), F.struct(F.lit("maybe").alias("token"), F.nullif(F.lit(-0.1), F.lit(0.0)).alias("logprob")))
+    p = E.yes_probability(pair)
+    return V.table(s, d, "benchmark").select("item_id", F.round(p, 6).alias("p_yes"), (p >= 0.5).alias("verdict"))
+
+
+register("verdict_from_logprobs", "WITH p AS (SELECT item_id, exp(-(item_id % 5 + 1) / 4.0) AS y, exp(-(item_id % 3 + 1) / 4.0) AS n FROM benchmark) SELECT item_id, round(y / (y + n), 6) AS p_yes, y / (y + n) >= 0.5 AS verdict FROM p")(_logprobs)
+
+
+def _traces(s, d):
+    each = V.table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    place = F.expr("row_number() over (order by chars, conv_id)") - 1  # a row a trace
+    n = each.agg(F.count("*").alias("n"))
+    return each.withColumn("place", place).join(F.broadcast(n), F.lit(True)).agg(F.count("*").alias("traces"), F.round(F.avg("calls"), 4).alias("mean_calls"), F.max(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col("chars"))).alias("p50_chars"), F.max("chars").alias("max_chars"))
+
+
+register("trace_stats", "WITH e AS (SELECT conv_id, count(*) AS calls, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM conversations GROUP BY 1), l AS (SELECT list(chars ORDER BY chars) AS c FROM e) SELECT count(*) AS traces, round(avg(calls), 4) AS mean_calls, (SELECT c[len(c) // 2 + 1] FROM l) AS p50_chars, max(chars) AS max_chars FROM e")(_traces)
+
+
+def _telemetry(s, d):
+    last = V.table(s, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).withColumn("nth", F.expr("row_number() over (order by ts desc, event_id desc)"))
+    return last.agg(F.count("*").alias("requests"), F.round(F.avg("value"), 4).alias("mean_value"), F.round(F.max("value"), 4).alias("max_value"), F.count_if((F.col("nth") <= 20) & (F.col("value") > 50)).alias("slow_of_20"))
+
+
+register("recent_telemetry", "WITH l AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS nth FROM events QUALIFY nth <= 50) SELECT count(*) AS requests, round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value, count(*) FILTER (nth <= 20 AND value > 50) AS slow_of_20 FROM l")(_telemetry)
+register("answer_metrics_summary", V.with_(V.EXAMPLES) + r"""SELECT category, count(*) AS n, round(avg(CAST(length(trim(answer)) = 0 AS INTEGER)), 4) AS empty_rate, round(avg(CAST(regexp_matches(answer, '(?i)<think>') AS INTEGER)), 4) AS leaked_rate, max(length(answer)) AS max_chars FROM examples GROUP BY 1""")(
+    lambda s, d: V.examples(s, d).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg((F.length(F.trim("answer")) == 0).cast("int")), 4).alias("empty_rate"), F.round(F.avg(F.col("answer").rlike("(?i)<think>").cast("int")), 4).alias("leaked_rate"), F.max(F.length("answer")).cast("bigint").alias("max_chars"))
+)
+register("numbers_missing", "SELECT count(*) AS items, count(*) FILTER (len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: x NOT IN ('1', '2', '3', '4', '5'))) > 0) AS ungrounded FROM documents")(
+    lambda s, d: V.table(s, d, "documents").agg(F.count("*").alias("items"), F.count_if(F.size(F.array_except(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), F.array(*[F.lit(str(k)) for k in range(1, 6)]))) > 0).alias("ungrounded"))
+)
+
+
+def _stats(s, d):
+    b = V.bars(s, d)
+    each = b.groupBy("ticker").agg(F.count("*").alias("n"))
+    spread = each.agg(F.array_join(F.transform(F.array_sort(F.collect_set("n")), lambda x: x.cast("string")), ",").alias("rows_by_ticker"))
+    return b.agg(F.count("*").alias("records"), F.min("day").alias("first_day"), F.max("day").alias("last_day")).join(spread, F.lit(True))
+
+
+register("load_stats", V.with_(V.BARS) + "SELECT count(*) AS records, min(day) AS first_day, max(day) AS last_day, (SELECT array_to_string(list_sort(list(DISTINCT n)), ',') FROM (SELECT count(*) AS n FROM bars GROUP BY ticker)) AS rows_by_ticker FROM bars")(_stats)
+register("scan_reconcile", "SELECT source, count(*) AS loaded, count(DISTINCT doc_id) AS expected, count(*) = count(DISTINCT doc_id) AS reconciled FROM documents GROUP BY 1")(
+    lambda s, d: V.table(s, d, "documents").groupBy("source").agg(F.count("*").alias("loaded"), F.count_distinct("doc_id").alias("expected")).withColumn("reconciled", F.col("loaded") == F.col("expected"))
+)
+
+
+def _compact(s, d):
+    """Ranked rows as text, columns that never change named once before them."""
+    rows = P.volume_stats(V.bars(s, d))
+    line = F.concat_ws(" | ", F.col("rank").cast("string"), "ticker", F.format_string("%.2f", "mean_volume"))
+    constant = F.when(F.count_distinct("days") == 1, F.concat(F.lit("days="), F.max("days").cast("string"))).otherwise("days vary")
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("table"), constant.alias("constants"))
+
+
+register("compact_render", V.with_(V.BARS) + ", v AS (SELECT ticker, count(*) AS days, round(avg(volume), 2) AS m FROM bars GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, ticker) AS rank FROM v) SELECT string_agg(rank || ' | ' || ticker || ' | ' || printf('%.2f', m), chr(10) ORDER BY rank) AS \"table\", CASE WHEN count(DISTINCT days) = 1 THEN 'days=' || max(days) ELSE 'days vary' END AS constants FROM r")(_compact)

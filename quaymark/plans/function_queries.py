@@ -1 +1,58 @@
-"""Queries of this group."""
+"""One query for each scalar function that no other query uses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quaymark.functions import scalars as S
+from quaymark.plans.catalogue import register
+from quaymark.sources import views as V
+
+
+def _orders(s, d):
+    return V.table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+
+
+def _written(day, key):
+    """The day, written in one of several ways."""
+    k = key % 6
+    return F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "d MMM yyyy")).when(k == 2, F.date_format(day, "yyyyMMdd")).when(k == 3, F.date_format(day, "MMM d, yyyy")).when(k == 4, F.date_format(day, "d/M/yyyy")).otherwise("no date")
+
+
+register("fn_flexible_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", S.flexible_date(_written(F.col("day"), F.col("o_orderkey"))).alias("parsed")))
+
+
+def _bounds(s, d):
+    k, day = F.col("o_orderkey") % 4, F.col("day")
+    raw = F.when(k == 0, F.date_format(day, "yyyy")).when(k == 1, F.date_format(day, "yyyy-MM")).when(k == 2, F.date_format(day, "MMM yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return _orders(s, d).select("o_orderkey", S.bound(raw, False).alias("low"), S.bound(raw, True).alias("high"))
+
+
+register("fn_parse_bound", "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN date_trunc('year', day) WHEN 3 THEN day ELSE date_trunc('month', day) END AS DATE) AS low, CAST(CASE o_orderkey % 4 WHEN 0 THEN date_trunc('year', day) + INTERVAL 1 YEAR - INTERVAL 1 DAY WHEN 3 THEN day ELSE last_day(day) END AS DATE) AS high FROM o")(_bounds)
+register("fn_reference_dates", "SELECT o_orderkey, strftime(o_orderdate, '%-d %b %Y') AS day_text, strftime(o_orderdate, '%b %Y') AS month_text, last_day(CAST(o_orderdate AS DATE)) AS month_end FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", S.reference_day(F.col("day")).alias("day_text"), S.reference_month(F.col("day")).alias("month_text"), F.last_day("day").alias("month_end")))
+register("fn_number_formats", "SELECT o_orderkey, printf('%+.2f%%', o_totalprice) AS signed_pct, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS thousands FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", S.signed_percent(F.col("o_totalprice")).alias("signed_pct"), F.format_number(F.floor("o_totalprice"), 0).alias("thousands")))
+register("fn_normal_number", r"WITH t AS (SELECT o_orderkey, replace(printf('%.3f', o_totalprice), '-', '') AS x FROM orders) SELECT o_orderkey, regexp_replace(regexp_replace(x, '0+$', ''), '\.$', '') AS normal FROM t")(lambda s, d: _orders(s, d).select("o_orderkey", S.normal_number(F.format_string("+%,.3f", F.col("o_totalprice"))).alias("normal")))
+register("fn_rounding_variants", "SELECT o_orderkey, array_to_string(list_distinct([printf('%.0f', x)]) || [printf('%.1f', x), printf('%.2f', x), printf('%.3f', x), printf('%.4f', x)], ',') AS variants FROM (SELECT o_orderkey, floor(o_totalprice) + 0.0 AS x FROM orders)")(lambda s, d: _orders(s, d).select("o_orderkey", F.array_join(S.rounding_variants(F.floor("o_totalprice").cast("double")), ",").alias("variants")))
+_T = V.with_(V.EXAMPLES)
+register("fn_sector", _T + "SELECT example_id, CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{w}') THEN '{n}'" for n, w in S.SECTORS) + " ELSE 'broad' END AS sector FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.sector(F.col("question")).alias("sector")))
+register("fn_hedged", _T + r"SELECT example_id, regexp_matches(lower(answer), '(about|around|approximately|roughly|nearly|almost)[\s\S]{0,40}?\d') AS hedged FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.hedged(F.col("answer")).alias("hedged")))
+register("fn_token_estimate", _T + r"SELECT example_id, CAST(len(regexp_extract_all(answer, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) + 12 AS BIGINT) AS tokens FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.token_estimate(F.col("answer")).cast("bigint").alias("tokens")))
+register("fn_word_counts", _T + r"SELECT example_id, CASE WHEN trim(answer) = '' THEN 0 ELSE len(regexp_extract_all(answer, '\S+')) END AS words, length(answer) AS chars FROM examples")(lambda s, d: V.examples(s, d).select("example_id", F.regexp_count("answer", F.lit(r"\S+")).cast("bigint").alias("words"), F.length("answer").cast("bigint").alias("chars")))
+register("fn_cut_at_sentence", _T + r"SELECT example_id, CASE WHEN length(answer) <= 120 THEN answer WHEN regexp_extract(substr(answer, 1, 120), '(?s)^(.{60,}[.!?])', 1) <> '' THEN regexp_extract(substr(answer, 1, 120), '(?s)^(.{60,}[.!?])', 1) || ' …' ELSE substr(answer, 1, 120) || ' …' END AS cut FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.cut_at_sentence(F.col("answer"), 120).alias("cut")))
+register("fn_gold_key", _T + "SELECT example_id, substr(sha1(concat_ws('|', category, gold_key, 'a|b|' || category)), 1, 16) AS key FROM examples WHERE category > 'b'")(lambda s, d: V.examples(s, d).where("category > 'b'").select("example_id", S.gold_key(F.col("category"), F.col("gold_key"), F.array(F.col("category"), F.lit("b"), F.lit("a"))).alias("key")))
+register("fn_list_joiners", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' and x' ELSE n_name || ', x, and y' END AS oxford, CASE n_nationkey % 3 WHEN 0 THEN '1) ' || n_name WHEN 1 THEN '1) ' || n_name || '; 2) x' ELSE '1) ' || n_name || '; 2) x; 3) y' END AS ranking FROM nation")(
+    lambda s, d: (lambda items: V.table(s, d, "nation").select("n_nationkey", S.oxford(items).alias("oxford"), S.ranking(items).alias("ranking")))(F.slice(F.array("n_name", F.lit("x"), F.lit("y")), F.lit(1), (F.col("n_nationkey") % 3 + 1).cast("int")))
+)
+register("fn_combinations", "WITH m AS (SELECT n_nationkey, unnest(range(1, 8)) AS m, [n_name, 'x', 'y'] AS items FROM nation) SELECT n_nationkey, array_to_string([items[i + 1] FOR i IN range(3) IF (m >> i) & 1 = 1], ',') AS subset FROM m WHERE bit_count(m) BETWEEN 1 AND 2")(
+    lambda s, d: V.table(s, d, "nation").select("n_nationkey", F.explode(S.combinations(F.array("n_name", F.lit("x"), F.lit("y")), 1, 2)).alias("c")).select("n_nationkey", F.array_join("c", ",").alias("subset"))
+)
+register("fn_reasoning_strip", "SELECT conv_id, turn, trim(coalesce(text, '')) AS bare FROM conversations")(
+    lambda s, d: V.table(s, d, "conversations").select("conv_id", "turn", S.without_reasoning(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>hm\nhm</think>"), F.coalesce("text", F.lit("")))).otherwise(F.concat(F.lit("hm</think> "), F.coalesce("text", F.lit(""))))).alias("bare"))
+)
+register("fn_tool_calls", "SELECT conv_id, turn, 'count' AS name, '{\"year\":' || turn || '}' AS arguments FROM conversations")(
+    lambda s, d: V.table(s, d, "conversations").select("conv_id", "turn", F.inline(S.tool_calls(F.concat(F.lit('so <tool_call>{"name": "count", "arguments": {"year":'), F.col("turn").cast("string"), F.lit("}}"), F.when(F.col("turn") % 2 == 0, "</tool_call> done").otherwise("")))))
+)
+register("fn_iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dates FROM orders")(
+    lambda s, d: _orders(s, d).select("o_orderkey", F.array_join(S.iso_dates(F.concat(F.lit("from "), F.date_format("day", "d MMM yyyy"), F.lit(" or "), F.date_format("day", "MMM d, yyyy"), F.lit(", 12 of them"))), ",").alias("dates"))
+)
+register("fn_latency_factor", "SELECT event_id, CASE WHEN value <= 60 THEN 1.0 WHEN value <= 300 THEN 0.8 ELSE 0.0 END::DOUBLE AS factor FROM events")(lambda s, d: V.table(s, d, "events").select("event_id", S.latency_factor(F.col("value")).alias("factor")))

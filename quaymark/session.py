@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,12 @@ def build(app: str = "quaymark", master: str | None = None, shuffle_partitions:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quaymark.own.shared", None)
+    if not there:
+        there = f"file://{tempfile.mkdtemp(prefix='spark-quaymark-')}"
+        spark.conf.set("quaymark.own.shared", there)
+    return there.rstrip("/")
