@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SESSIONS_A_YEAR = 252
-_BY_DAY = Window.partitionBy("ticker").orderBy("day")
+
+
+def _by_day() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("day")
 
 
 def pct(new: Column, old: Column) -> Column:
@@ -39,7 +42,7 @@ def sessions(bars: DataFrame) -> DataFrame:
 
 
 def daily_returns(bars: DataFrame) -> DataFrame:
-    before = F.lag("close").over(_BY_DAY)
+    before = F.lag("close").over(_by_day())
     return bars.select("ticker", "day", pct(F.col("close"), before).alias("ret")).where("ret is not null")
 
 
@@ -96,7 +99,7 @@ def correlation(bars: DataFrame, one: str, other: str, start: str | None = None,
 
 def running_peak(bars: DataFrame) -> DataFrame:
     """Each bar with the highest close so far; of equal peaks the earliest day counts."""
-    so_far = _BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _by_day().rowsBetween(Window.unboundedPreceding, 0)
     peak = F.max(F.struct("close", -F.unix_date("day"))).over(so_far)
     return bars.withColumn("peak", peak).select("ticker", "day", "close", F.col("peak.close").alias("peak_close"), F.date_from_unix_date(-F.col("peak")["col2"]).alias("peak_day"))
 

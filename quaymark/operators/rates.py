@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_BY_DATE = Window.orderBy("effective")  # decisions are a dimension: a row a month
+
+def _by_date() -> WindowSpec:
+    return Window.orderBy("effective")  # decisions are a dimension: a row a month
 
 
 def points(bp: Column) -> Column:
@@ -60,9 +62,9 @@ def extremes(decisions: DataFrame) -> DataFrame:
 
 def hold_streaks(decisions: DataFrame, top: int | None = None) -> DataFrame:
     """Gaps between consecutive changes, longest first, earliest among equals; holds are the decisions within."""
-    numbered = decisions.withColumn("seen", F.row_number().over(_BY_DATE))
+    numbered = decisions.withColumn("seen", F.row_number().over(_by_date()))
     moved = numbered.where("change_bp <> 0")
-    ahead = moved.select(F.col("effective").alias("start"), F.lead("effective").over(_BY_DATE).alias("end"), F.col("target_bp"), F.lead("target_bp").over(_BY_DATE).alias("after_bp"), F.lead("change_bp").over(_BY_DATE).alias("end_change_bp"), (F.lead("seen").over(_BY_DATE) - F.col("seen") - 1).alias("holds"))
+    ahead = moved.select(F.col("effective").alias("start"), F.lead("effective").over(_by_date()).alias("end"), F.col("target_bp"), F.lead("target_bp").over(_by_date()).alias("after_bp"), F.lead("change_bp").over(_by_date()).alias("end_change_bp"), (F.lead("seen").over(_by_date()) - F.col("seen") - 1).alias("holds"))
     gaps = ahead.where("end is not null").withColumn("days", F.datediff("end", "start"))
     ranked = gaps.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("days"), "start")))
     kept = ranked if top is None else ranked.where(F.col("rank") <= top)
