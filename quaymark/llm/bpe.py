@@ -108,10 +108,9 @@ class Codec:
             s = symbols(token)
             self.ids[s], self.length[i] = i, len(s)
         # Only tokens that their own merges rebuild can occur.
-        self.machine, self.forward = ahocorasick.Automaton(), ahocorasick.Automaton()
+        self.machine = ahocorasick.Automaton()
         for s, i in self.ids.items():
-            self.machine.add_word(s[::-1], i)
-            self.forward.add_word(s, i)
+            self.machine.add_word(s, i)
         #: Of each token, the longest shorter token that begins it.
         self.shorter = [-1] * n
         for s, i in self.ids.items():
@@ -120,7 +119,6 @@ class Codec:
                     self.shorter[i] = j
                     break
         self.machine.make_automaton()
-        self.forward.make_automaton()
         self.fits: dict[int, bool] = {}
         self.chunks = Cache(self.encode_chunk)
         shown = [""] * (max([n - 1, *self.special.values()]) + 1)
@@ -153,25 +151,12 @@ class Codec:
         self.fits[a << 32 | b] = fits
         return fits
 
-    def longest(self, s: str) -> dict[int, int]:
-        """The longest token that begins at each position, by the position's distance from the last: an automaton over reversed tokens reads the word backwards, and of the tokens that end at a place it tells the longest first."""
-        return dict(reversed(list(self.machine.iter(s[::-1]))))
-
     def encode_symbols(self, s: str) -> list[int]:
-        fits = self.fits
-        path = [i for _, i in self.forward.iter_long(s)]
-        before = path[0]
-        for token in path[1:]:
-            fit = fits.get(before << 32 | token)
-            if not (self.compatible(before, token) if fit is None else fit):
-                break
-            before = token
-        else:  # taking the longest token at each place never had to be undone
-            return path
-        first, last, length = self.longest(s), len(s) - 1, self.length
+        n, length, fits = len(s), self.length, self.fits
         left = set()  # positions that were left for good
         done: list[int] = []
-        at, token, before = 0, first[last], -1
+        at, before, longest, apart = 0, -1, self.machine.iter_long(s), False
+        token = next(longest)[1]
         while True:
             end = at + length[token]
             fit = end not in left
@@ -181,12 +166,14 @@ class Codec:
                     fit = self.compatible(before, token)
             if fit:
                 done.append(token)
-                if end > last:
+                if end == n:
                     return done
                 at, before = end, token
-                token = first[last - at]
+                if apart:  # what follows a shorter token is not what the automaton reads next
+                    longest, apart = self.machine.iter_long(s, end, n), False
+                token = next(longest)[1]
                 continue
-            token = self.shorter[token]
+            token, apart = self.shorter[token], True
             while token < 0:  # nothing fits here
                 left.add(at)
                 token = done.pop()
@@ -195,9 +182,8 @@ class Codec:
                 token = self.shorter[token]
 
     def encode_word(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        s = raw.decode("latin-1")
-        ids = array("I", self.encode_symbols(s[:-1] + chr(raw[-1] + 256)))
+        s = word if word.isascii() else word.encode("utf-8", "surrogatepass").decode("latin-1")
+        ids = array("I", self.encode_symbols(s[:-1] + chr(ord(s[-1]) + 256)))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
