@@ -34,6 +34,8 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spac
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Chunks kept per Python worker: at this many they become the old ones, of which those that come up again are taken over and the rest goes at the next turn.
 CACHE_CHUNKS = 300_000
+#: Symbols that the automaton is given at once; at their end, where a token may be cut, it begins anew.
+SPAN = 1024
 #: Chunks longer than this are not kept.
 CACHE_CHARS = 64
 
@@ -119,6 +121,7 @@ class Codec:
                     self.shorter[i] = j
                     break
         self.machine.make_automaton()
+        self.most = max(self.length)  # symbols of the longest token
         self.fits: dict[int, bool] = {}
         self.chunks = Cache(self.encode_chunk)
         shown = [""] * (max([n - 1, *self.special.values()]) + 1)
@@ -155,7 +158,9 @@ class Codec:
         n, length, fits = len(s), self.length, self.fits
         left = set()  # positions that were left for good
         done: list[int] = []
-        at, before, longest, apart = 0, -1, self.machine.iter_long(s), False
+        at, before, apart = 0, -1, False
+        longest = self.machine.iter_long(s if n <= SPAN else s[:SPAN])
+        safe = n if n <= SPAN else SPAN - self.most
         token = next(longest)[1]
         while True:
             end = at + length[token]
@@ -169,8 +174,9 @@ class Codec:
                 if end == n:
                     return done
                 at, before = end, token
-                if apart:  # what follows a shorter token is not what the automaton reads next
-                    longest, apart = self.machine.iter_long(s, end, n), False
+                if apart or end >= safe:  # what follows a shorter token is not what the automaton reads next
+                    longest, apart = self.machine.iter_long(s[end : end + SPAN]), False
+                    safe = n if end + SPAN >= n else end + SPAN - self.most
                 token = next(longest)[1]
                 continue
             token, apart = self.shorter[token], True
