@@ -41,15 +41,17 @@ def _by_date():
     return Window.orderBy("effective")
 
 
-def drain(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
-    """All that a stream over files gives, as a table: files in append mode, so that state and results are recoverable."""
+def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """All that a stream over files gives, as a table of a shared folder: appended files, or in complete mode those of the last batch."""
     spark = stream.sparkSession
-    if mode == "complete":
-        name = f"drained_{uuid.uuid4().hex}"
-        query = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-        query.awaitTermination()
-        return spark.table(name)
     path = f"{folder}/{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows")
+    if mode == "complete":
+        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/rows")).start()
+    else:
+        query = writer.format("parquet").option("path", f"{path}/appended").start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows", f"{path}/appended")
