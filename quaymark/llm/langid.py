@@ -5,10 +5,12 @@ has several centroids, found by spherical k-means; the centroid of highest cosin
 distance from the nearest centroid is beyond what its length allows is rejected.
 
 What is learned: document frequencies of n-grams are counted over all learnable rows, in one pass that leaves a
-count per n-gram bucket and task; only the centroids are fitted on a bounded sample (fit_docs_per_lang).
+count per n-gram bucket and task; only the centroids are fitted on a bounded sample (fit_docs_per_lang), each language's
+in a task of its own. Every bucket that occurs is a feature, so a rare language keeps its own letters; vectors and
+centroids are sparse.
 lang is read in learning alone; source and ids are never inputs of a prediction.
 
-Cases: null texts and texts without a letter are `und`, score 0, rejected. Rows with a null lang or id are
+Cases: null texts, texts without a letter and those that share no n-gram with a centroid are `und`, score 0, rejected. Rows with a null lang or id are
 predicted but not learned from. Repeated rows each give a row. Ties go to the first language in alphabetical
 order. If nothing can be learned, every text is `und`. An empty table gives an empty result.
 """
@@ -61,39 +63,51 @@ class Model:
     place: np.ndarray  #: of each bucket, its feature, or the number of features if unknown
     idf: np.ndarray
     idf_unknown: float
-    centroids: np.ndarray
+    starts: np.ndarray  #: of each feature, where its postings begin; one more at the end
+    which: np.ndarray  #: of each posting, its centroid
+    weight: np.ndarray  #: of each posting, the centroid's value
     of: np.ndarray  #: of each centroid, its language
     langs: list[str]
     floor: np.ndarray  #: of each centroid, the lowest cosine of a text of full length that is still accepted
 
-    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Normalised vectors, and the number of n-grams of each text."""
+    @property
+    def centroids(self) -> np.ndarray:
+        """The centroids as dense rows."""
+        out = np.zeros((len(self.of), len(self.idf)), dtype=np.float32)
+        out[self.which, np.repeat(np.arange(len(self.idf)), np.diff(self.starts))] = self.weight
+        return out
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Features and values of a text's normalised vector, and its number of n-grams."""
+        buckets = gram_buckets(text)
         n = len(self.idf)
-        out, sizes = np.zeros((len(texts), n), dtype=np.float32), np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            buckets = gram_buckets(text)
-            sizes[k] = len(buckets)
-            if len(buckets):
-                counts = np.bincount(self.place[buckets], minlength=n + 1)
-                v = np.log1p(counts[:n]).astype(np.float32) * self.idf
-                norm = float(v @ v) + np.log1p(float(counts[n])) ** 2 * self.idf_unknown**2 * (counts[n] > 0)
-                if norm > 0:
-                    out[k] = v / np.sqrt(norm)
-        return out, sizes
+        found, counts = np.unique(buckets, return_counts=True)
+        at = self.place[found]
+        known = at < n
+        unknown = float(counts[~known].sum())
+        at = at[known]
+        v = np.log1p(counts[known]).astype(np.float32) * self.idf[at]
+        norm = float(v @ v) + np.log1p(unknown) ** 2 * self.idf_unknown**2
+        return at, v / np.float32(np.sqrt(norm)) if norm > 0 else v, len(buckets)
+
+    def cosines(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of a vector, the cosine with each centroid."""
+        begin, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        posts = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        return np.bincount(self.which[posts], weights=self.weight[posts] * np.repeat(v, n), minlength=len(self.of))
 
     def nearest(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and rejection of each text."""
-        v, sizes = self.vectors(texts)
-        if not len(self.langs):
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-        cosines = v @ self.centroids.T
-        best = cosines.argmax(axis=1)
-        top = np.clip(cosines[np.arange(len(texts)), best].astype(np.float64), 0, 1)
-        some = sizes > 0
-        # A short text shares few n-grams with any centroid: less is asked of it.
-        asked = self.floor[best] * np.minimum(1.0, np.sqrt(sizes / FULL_GRAMS))
-        langs = [self.langs[self.of[b]] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
-        return langs, np.where(some, top, 0.0), ~some | (top < asked)
+        langs, top, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        for k, text in enumerate(texts if self.langs else []):
+            at, v, size = self.vector(text)
+            cosines = self.cosines(at, v)
+            best = int(cosines.argmax())
+            if cosines[best] > 0:
+                langs[k], top[k] = self.langs[self.of[best]], min(1.0, cosines[best])
+                # A short text shares few n-grams with any centroid: less is asked of it.
+                rejected[k] = top[k] < self.floor[best] * min(1.0, np.sqrt(size / FULL_GRAMS))
+        return langs, top, rejected
 
 
 #: N-grams from which a text counts as of full length for rejection.
@@ -105,8 +119,8 @@ def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where((rest != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, held: int = 2, features: int = 4096, clusters: int = 3, fit_docs_per_lang: int = 400, reject: float = 0.2) -> Model:
-    """A model from rows whose crc32(id) mod fold is not held. Of each language about fit_docs_per_lang texts, picked by hash, give the centroids."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, held: int = 2, features: int | None = None, clusters: int = 3, fit_docs_per_lang: int = 400, reject: float = 0.2) -> Model:
+    """A model from rows whose crc32(id) mod fold is not held. Of each language about fit_docs_per_lang texts, picked by hash, give the centroids. With `features`, only the buckets of that many highest frequencies are features, which costs rare languages theirs."""
     small_batches(docs.sparkSession)
     rows = _learnable(docs, id_col, text_col, lang_col, fold, held)
 
@@ -120,17 +134,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["bucket", "df"])
 
     counted = rows.select("text").mapInArrow(count, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df"))
-    # At most `features` rows come to the driver; bucket -1 holds the number of texts, the largest count there is.
-    top = counted.orderBy(F.desc("df"), "bucket").limit(features + 1).collect()
-    texts = max([r.df for r in top if r.bucket < 0], default=0)
-    top = [r for r in top if r.bucket >= 0]
-    place = np.full(1 << BITS, len(top), dtype=np.int32)
-    place[[r.bucket for r in top]] = np.arange(len(top))
-    idf = np.array([np.log((1 + texts) / (1 + r.df)) + 0.1 for r in top], dtype=np.float32)
+    # A row for each bucket at most comes to the driver; bucket -1 holds the number of texts.
+    got = counted.toArrow()
+    bucket, df = got.column("bucket").to_numpy(), got.column("df").to_numpy()
+    texts = int(df[bucket < 0].sum())
+    order = np.lexsort((bucket, -df))
+    order = order[bucket[order] >= 0][:features]
+    bucket, df, n = bucket[order], df[order], len(order)
+    place = np.full(1 << BITS, n, dtype=np.int32)
+    place[bucket] = np.arange(n)
+    idf = (np.log((1 + texts) / (1 + df)) + 0.1).astype(np.float32)
     idf_unknown = float(np.log(1 + texts) + 0.1)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    empty = Model(place, idf, idf_unknown, np.zeros((0, len(top)), np.float32), np.zeros(0, int), [], np.zeros(0))
-    if not sizes or not top:
+    empty = Model(place, idf, idf_unknown, np.zeros(n + 1, int), np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, int), [], np.zeros(0))
+    if not sizes or not n:
         return empty
     shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_docs_per_lang / n))])
     drawn = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000)) / 1_000_000.0
@@ -139,44 +156,65 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in sliced(batches):
-            v, n = model.vectors(batch.column(1).to_pylist())
-            keep = np.flatnonzero(n > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([x.astype(np.float16).tobytes() for x in v[keep]], pa.binary()), pa.array(n[keep], pa.int64())], names=["lang", "v", "n"])
-
-    sample = rows.where(drawn < F.try_element_at(shares, F.col("lang"))).select("lang", "text").mapInArrow(vectors, "lang string, v binary, n bigint").toArrow()
-    by_lang = np.array(sample.column("lang").to_pylist(), dtype=object)
-    v = np.array([np.frombuffer(b, dtype=np.float16) for b in sample.column("v").to_pylist()], dtype=np.float32).reshape(len(by_lang), len(top))
-    full = np.minimum(1.0, np.sqrt(sample.column("n").to_numpy() / FULL_GRAMS)) if len(by_lang) else np.zeros(0)
-    langs, centroids, of, floor = sorted(set(by_lang)), [], [], []
-    for k, lang in enumerate(langs):
-        mine = by_lang == lang
-        for c, members in _kmeans(v[mine], clusters):
-            centroids.append(c)
-            of.append(k)
-            floor.append(reject * float(np.median((v[mine][members] @ c) / full[mine][members])))
-    return Model(place, idf, idf_unknown, np.array(centroids, dtype=np.float32).reshape(len(of), len(top)), np.array(of, dtype=int), langs, np.array(floor))
-
-
-def _kmeans(v: np.ndarray, clusters: int, rounds: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Unit centroids by spherical k-means, each with its members; it begins with the mean and the rows farthest from those chosen."""
-    chosen = [v.mean(axis=0)]
-    chosen[0] /= np.linalg.norm(chosen[0]) or 1
-    while len(chosen) < min(clusters, len(v)):
-        chosen.append(v[np.argmin((v @ np.array(chosen).T).max(axis=1))])
-    c = np.array(chosen)
+            found = [model.vector(t) for t in batch.column(1).to_pylist()]
+            keep = [k for k, (at, _, _) in enumerate(found) if len(at)]
+            columns = [batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 2)]
+            columns += [pa.array([found[k][c].tobytes() for k in keep], pa.binary()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([found[k][2] for k in keep], pa.int64())], names=["lang", "h", "at", "v", "n"])
+
+    def centre(texts: pa.Table) -> pa.Table:
+        texts = texts.sort_by([("h", "ascending"), ("n", "ascending")])
+        at = [np.frombuffer(b, dtype=np.int32) for b in texts.column("at").to_pylist()]
+        v = [np.frombuffer(b, dtype=np.float32) for b in texts.column("v").to_pylist()]
+        full = np.minimum(1.0, np.sqrt(texts.column("n").to_numpy() / FULL_GRAMS))
+        made = []
+        for c, members, near in _kmeans(at, v, n, clusters):
+            some = np.flatnonzero(c)
+            made.append((some.astype(np.int32).tobytes(), c[some].astype(np.float32).tobytes(), reject * float(np.median(near / full[members]))))
+        return pa.table([pa.array([texts.column("lang")[0].as_py()] * len(made), pa.string()), pa.array(range(len(made)), pa.int32()), *(pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.float64())))], names=["lang", "k", "at", "v", "floor"])
+
+    sample = rows.where(drawn < F.try_element_at(shares, F.col("lang"))).select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    sample = sample.mapInArrow(vectors, "lang string, h bigint, at binary, v binary, n bigint")
+    # `clusters` rows of each language come to the driver.
+    got = sorted(sample.groupBy("lang").applyInArrow(centre, "lang string, k int, at binary, v binary, floor double").collect(), key=lambda r: (r.lang, r.k))
+    langs = sorted({r.lang for r in got})
+    at = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r.at, dtype=np.int32) for r in got)])
+    weight = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(r.v, dtype=np.float32) for r in got)])
+    which = np.repeat(np.arange(len(got), dtype=np.int32), [len(r.at) // 4 for r in got])
+    order = np.argsort(at, kind="stable")
+    starts = np.searchsorted(at[order], np.arange(n + 1))
+    return Model(place, idf, idf_unknown, starts, which[order], weight[order], np.array([langs.index(r.lang) for r in got], dtype=int), langs, np.array([r.floor for r in got]))
+
+
+def _kmeans(at: list[np.ndarray], v: list[np.ndarray], features: int, clusters: int, rounds: int = 12) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Unit centroids of sparse rows by spherical k-means, each with its members and their cosines; it begins with the mean and the rows farthest from those chosen."""
+    sizes = np.array([len(a) for a in at])
+    at, v, first = np.concatenate(at), np.concatenate(v), np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+
+    def centre(mine: np.ndarray) -> np.ndarray:
+        keep = mine[owner]
+        c = np.bincount(at[keep], weights=v[keep], minlength=features)
+        return c / (np.linalg.norm(c) or 1)
+
+    def cosines(c: list[np.ndarray]) -> np.ndarray:
+        return np.column_stack([np.add.reduceat(v * x[at], first) for x in c])
+
+    c = [centre(np.ones(len(sizes), dtype=bool))]
+    while len(c) < min(clusters, len(sizes)):
+        far = int(np.argmin(cosines(c).max(axis=1)))
+        c.append(centre(np.arange(len(sizes)) == far))
     for _ in range(rounds):
-        near = (v @ c.T).argmax(axis=1)
-        for k in range(len(c)):
-            if (near == k).any():
-                m = v[near == k].sum(axis=0)
-                c[k] = m / (np.linalg.norm(m) or 1)
-    near = (v @ c.T).argmax(axis=1)
-    return [(c[k], near == k) for k in range(len(c)) if (near == k).any()]
+        near = cosines(c).argmax(axis=1)
+        c = [centre(near == k) if (near == k).any() else x for k, x in enumerate(c)]
+    found = cosines(c)
+    near = found.argmax(axis=1)
+    return [(x, near == k, found[near == k, k]) for k, x in enumerate(c) if (near == k).any()]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with lang_pred, score (the cosine) and rejected; where docs has such names, underscores are added to these."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB, set by `features` and the number of languages
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a few MB for each language at most
     names = fresh(docs, "lang_pred", "score", "rejected")
     at = docs.columns.index(text_col)
 

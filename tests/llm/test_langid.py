@@ -46,3 +46,16 @@ def test_cases(spark):
     empty = docs.limit(0)
     assert langid.predict(empty, langid.fit(empty)).count() == 0
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(empty)).collect()} == {"und"}
+
+
+def test_rare_language_of_another_script(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    words = "собака река дерево молоко быстро зима город вечер письмо солнце дорога человек говорить белый чёрный окно хлеб".split()
+    n = 40
+    rare = spark.createDataFrame([(10**6 + k, " ".join(words[(k * 7 + j * (k % 5 + 1)) % len(words)] for j in range(60)), "ru") for k in range(n)], docs.schema)
+    # 0.5 % of 8,000 texts.
+    common = docs.crossJoin(spark.range(8).withColumnRenamed("id", "times")).select((F.col("doc_id") * 8 + F.col("times")).alias("doc_id"), "text", "lang")
+    model = langid.fit(common.union(rare))
+    got = langid.predict(rare, model).collect()
+    assert len(got) == n and all(r.lang_pred == "ru" and r.score > 0.3 and not r.rejected for r in got)
+    assert model.nearest(["日本語"])[0] == ["und"]
