@@ -197,8 +197,8 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, thres
     return dealt.mapInArrow(compare, "set bigint, links bigint, root bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.99999, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """Per row of docs: id, k1, k2 (its text's hashes), class_id (the least id of its component), n_links (different texts that are similar to its own)."""
+def _labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.99999, small: int = SMALL, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
+    """near_duplicates with the label of the component, which tells apart components of one least id."""
     if id_col != "id":
         docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         text_col = "text"
@@ -209,23 +209,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(found.select(F.col("set").alias("a"), F.col("root").alias("b")))
     labelled = classes.select("set", "id", "k1", "k2").join(groups.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = labelled.groupBy("label").agg(F.min("id").alias("class_id"))
-    sets = labelled.join(least, "label").join(counts, "set", "left").select("k1", "k2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sets = labelled.join(least, "label").join(counts, "set", "left").select("k1", "k2", "label", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows.select(F.col("id").alias(id_col), "k1", "k2").join(sets, ["k1", "k2"])
 
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row of docs: id, k1, k2 (its text's hashes), class_id (the least id of its component), n_links (different texts that are similar to its own)."""
+    return _labelled(docs, id_col, text_col, **options).drop("label")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs for each group of near duplicates: that with the least id (of rows that repeat it, those whose text has the least hash). Groups whose ids are all null stay whole."""
+    """One row of docs for each component of near duplicates: that with the least id, null only if all are, and of these the least text hash; of rows equal in id and text, any one."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = near_duplicates(docs, id_col, text_col, **options)
-    h, c = fresh(docs, "quaymark_k1", "quaymark_class")
-    keep = found.where(F.col("class_id").isNull() | (F.col(id_col) == F.col("class_id"))).groupBy(id_col, "class_id").agg(F.min("k1").alias("k1"))
-    keep = keep.select(F.col(id_col).alias(c), F.col("k1").alias(h))
-    mark = fresh(docs, "quaymark_text")[0]
-    return docs.withColumn(mark, F.xxhash64(text)).join(keep, F.col(id_col).eqNullSafe(F.col(c)) & (F.col(mark) == F.col(h)), "left_semi").select(*docs.columns)
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    times = _labelled(plain, "id", "text", **options).groupBy("label", "id", "k1", "k2").agg(F.count("*").alias("times"))
+    least = times.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "times")).alias("one"))
+    c, h1, h2, m1, m2 = fresh(docs, "quaymark_id", "quaymark_k1", "quaymark_k2", "quaymark_h1", "quaymark_h2")
+    keep = written(least.select(F.col("one.id").alias(c), F.col("one.k1").alias(h1), F.col("one.k2").alias(h2), "one.times"), "kept")
+    marked = docs.withColumn(m1, F.xxhash64(text)).withColumn(m2, F.xxhash64(F.lit(1), text))
+
+    def of(kept: DataFrame) -> DataFrame:
+        return marked.join(kept.drop("times"), F.col(id_col).eqNullSafe(F.col(c)) & (F.col(m1) == F.col(h1)) & (F.col(m2) == F.col(h2)), "left_semi")
+
+    once = of(keep.where("times = 1"))
+    repeated = keep.where("times > 1")
+    if not repeated.isEmpty():  # only rows that repeat an id and text are shuffled once more
+        once = once.unionByName(of(repeated).dropDuplicates([m1, m2]))
+    return once.select(*docs.columns)
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -73,3 +73,14 @@ def test_runs_and_empty(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     assert C.near_duplicates(docs.limit(0)).count() == 0
     assert [tuple(x)[0] for x in C.keep_one(docs).collect()] == [1]
+
+
+def test_keep_one_by_component(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    docs = [(None, a), (None, a + " end"), (None, b), (5, c), (9, c + " end"), (5, d), (7, d + " end"), (11, "alone"), (11, "alone"), (12, None), (12, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(docs)], "doc_id bigint, text string, row int")
+    kept = {r.row: r for r in C.keep_one(df).collect()}
+    assert len(kept) == 6
+    groups = [{0, 1}, {2}, {3}, {5}, {7, 8}, {9, 10}]
+    assert all(len(g & set(kept)) == 1 for g in groups)
+    assert all((r.doc_id, r.text) == docs[k] for k, r in kept.items())
