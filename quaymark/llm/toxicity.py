@@ -45,9 +45,11 @@ PATTERNS = ("plain", "aimed", "negated", "reported", "threat")
 PRIOR = np.array([1.0, 1.2, 0.4, 0.4, 1.0])
 PRIOR_BIAS, LISTED = -3.0, 4.0
 REACH = 3  #: words within which a negation reaches
-_CLASS = {w: c for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+_CLASS = {w: c for c, words in ((TARGET, [*TARGETS, "t'"]), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
 _CLAUSE_END = regex.compile(r"[.!?;:\n|]")
-_WORD = regex.compile(r"[\p{L}\p{N}]+(?:'\p{L}+)*")
+#: Words end at an apostrophe, where a hit may begin; only listed contractions stay whole, and the elided t' (te, tu).
+_CONTRACTED = "|".join(sorted((w.replace("'", "['’]") for w in _CLASS if "'" in w[:-1]), key=len, reverse=True))
+_WORD = regex.compile(rf"(?:{_CONTRACTED})(?![\p{{L}}\p{{N}}])|(?<!['’])t['’](?=\p{{L}})|[\p{{L}}\p{{N}}]+")
 _WORDS = regex.compile(r"\p{L}+")
 #: Lengths of word beginnings that may become stems, the support and the G2 that they need, and how many at most.
 STEM_CHARS, MIN_DOCS, MIN_G2, MIN_ODDS, MAX_STEMS = range(4, 11), 7, 30.0, 4.0, 20_000
@@ -156,7 +158,7 @@ class Scorer:
             begin, end = ends[after - 1] + 1, ends[after]
             state = 0
             for m in _WORD.finditer(low, begin, end):
-                symbol, weight = hits.get(m.start()) or (_CLASS.get(m[0], OTHER), 0.0)
+                symbol, weight = hits.get(m.start()) or (_CLASS.get(m[0].replace("’", "'"), OTHER), 0.0)
                 state, pattern = GRAMMAR.arcs[state, symbol]
                 if pattern is not None:
                     yield begin, end, pattern, weight, m[0]

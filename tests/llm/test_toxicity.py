@@ -60,3 +60,16 @@ def test_stems_are_learned(spark):
     assert all((got[k] >= 0.5) == (k % 4 == 0) for k in got)
     assert T.score(docs.limit(0), model).count() == 0
     assert T.fit(docs, labels.limit(0)).stems == {}
+
+
+def test_hits_and_targets_behind_apostrophes():
+    scorer = T.Scorer(T.Model())
+
+    def found(text):
+        return [(T.PATTERNS[p], word) for _, _, p, _, word in scorer.clauses(text)]
+
+    assert found("Tas d'idiots. L'imbécile! l’idiot") == [("plain", "idiots"), ("plain", "imbécile"), ("plain", "idiot")]
+    assert found("t'es idiot. T’es abruti") == [("aimed", "idiot"), ("aimed", "abruti")]
+    assert found("you'll see, idiot") == [("aimed", "idiot")]
+    assert found("you're an idiot. isn't an idiot. didn't see that idiot") == [("aimed", "idiot"), ("negated", "idiot"), ("plain", "idiot")]
+    assert scorer.score("Espèce d'idiot") == scorer.score("Espèce de idiot") > scorer.score("Espèce")
