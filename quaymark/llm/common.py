@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that end a word: ASCII that is neither digit nor letter. Letters A-Z are lower-cased first; every other byte is part of a word.
 _BREAK = np.ones(256, dtype=bool)
@@ -39,22 +42,51 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets one of its own, made once; a cluster's executors have no folder in common then, so that is an error."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext)
     if not there:
-        there = f"file://{tempfile.mkdtemp(prefix='spark-quaymark-')}"
-        spark.conf.set("quaymark.own.shared", there) if not spark.conf.get("quaymark.own.shared", None) else None
-        there = spark.conf.get("quaymark.own.shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        there = _OWN[spark.sparkContext] = f"file://{tempfile.mkdtemp(prefix='spark-quaymark-')}"
     return there.rstrip("/")
 
 
+_OWN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_PLACES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table of the shared folder and read it back: lineage ends here, and what a plan draws once stays as drawn."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_folder(spark)}/quaymark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once all that was derived from them is itself written."""
+    for table in tables:
+        place = _PLACES.pop(table, None)
+        if place:
+            spark = table.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than one of so many parts of all rows is hot; there are fewer hot keys than parts.
+HOT_PARTS = 1000
+
+
+def joined(rows: DataFrame, side: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """The inner join of rows with a side that has each key once, with its number of rows in the column times (which goes). Hot keys, fewer than HOT_PARTS, meet by broadcast, where rows stay where they are; the others are shuffled. Both frames are read twice, so they had better be tables."""
+    total = side.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * HOT_PARTS > F.lit(total)
+    few, rest = side.where(hot & (F.col(times) > 1)).drop(times), side.where(~(hot & (F.col(times) > 1))).drop(times)
+    cold = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(cold)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -68,11 +100,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def outputs(id_col: str, *names: str) -> list[str]:
+    """Names of output columns: those given, with an underscore where the id's column has that name."""
+    return [n + "_" if n.lower() == id_col.lower() else n for n in names]
+
+
+#: Bytes that a slice of a batch takes, unless it is a single row.
+SLICE_BYTES = 32 << 20
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that what a task makes of one stays small whatever the session's batch size."""
+    """Batches of few rows and bytes, so that what a task makes of one stays small whatever the session's batch size."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if batch.nbytes <= SLICE_BYTES:
+            cuts = range(0, batch.num_rows, rows)
+        else:
+            size = np.zeros(batch.num_rows, dtype=np.int64)
+            for column in batch.columns:
+                if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                    size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            cuts, held = [], SLICE_BYTES + 1
+            for k, n in enumerate(size.tolist()):
+                if held + n > SLICE_BYTES or k - cuts[-1] >= rows:
+                    cuts.append(k)
+                    held = 0
+                held += n
+        ends = [*cuts[1:], batch.num_rows]
+        for a, b in zip(cuts, ends, strict=True):
+            yield batch.slice(a, b - a)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
