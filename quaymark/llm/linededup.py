@@ -3,14 +3,17 @@
 Every line with a word is one letter; equal lines have equal ids. Suffixes are ordered by prefix doubling: the rank of a
 suffix by its first 2h lines follows from the ranks, by h lines, of itself and of the suffix h lines on. Ranks come from
 sorting the distinct pairs over range partitions. A suffix whose rank is its own is settled and takes no further part,
-and doubling ends once prefixes reach `min_words` lines, for no shorter run needs more lines than words. Suffixes
-that share a rank form an interval of the suffix array with a common prefix; for a window of m lines the interval is named
-by the two ranks, by the largest power of two up to m, of its first and last such part.
+and doubling ends once prefixes reach `min_words` lines, for no shorter run needs more lines than words.
+
+Suffixes that have m lines in common are neighbours in that order: an LCP interval, whose longest common prefix is m lines
+at least. For any m it is named by the two ranks, by the largest power of two up to m, of the first and the last such part
+of these lines. An interval of two places or more, with m lines of `min_words` words, is a repeated passage. Places of
+intervals that follow each other line by line, and copy the same earlier text line by line, make up a maximal run.
 
 A run of lines counts as a repeated passage if it has at least `min_words` words and occurs more than once. Of a passage,
-the first occurrence by (id, text hash, line) stays; the lines of all later ones are deleted. A line lies in a maximal
-repeated run with enough words exactly if the shortest such window that begins, or that ends, somewhere around it is
-repeated, so these windows find all maximal runs. Lines without a word go with the line before them.
+the first occurrence by (id, text hash, line) stays; the lines of all later ones are deleted. A line lies in a repeated
+run with enough words exactly if the shortest such window that begins, or that ends, somewhere around it is repeated, so
+the intervals of these windows give all runs. Lines without a word go with the line before them.
 
 Cases: null texts stay null, empty ones empty. Rows equal in id and text are one document: they don't count as copies of
 each other and all get the same text. Repeats within a text are deleted too. Ties don't occur among different lines. Null
@@ -24,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import fresh, read, written
+from quaymark.llm.common import discard, fresh, joined, read, written
 
 MIN_WORDS = 50
 
@@ -43,16 +46,21 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
 
 
 def _ranked(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, rank) of the pairs that occur more than once, ranks in the pairs' order."""
-    repeated = pairs.select(a, b).groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b)
-    return repeated.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id())
+    """pairs, a table, with the rank of (a, b) in the order of all that occur more than once; the others go."""
+    repeated = pairs.select(a, b).groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1")
+    ranks = written(repeated.repartitionByRange(a, b).sortWithinPartitions(a, b).withColumn("rank", F.monotonically_increasing_id()), "ranks")
+    out = written(joined(pairs, ranks, [a, b], "n").select("row", "seq", "rank"), "suffixes")
+    discard(ranks)
+    return out
 
 
 def _double(suffixes: DataFrame, h: int) -> DataFrame:
     """(row, seq, rank) by 2h lines of the suffixes that still share their rank, from the ranks by h lines."""
     on = suffixes.select("row", (F.col("seq") - h).alias("seq"), F.col("rank").alias("next"))
-    pairs = suffixes.join(on, ["row", "seq"]).select("row", "seq", F.col("rank").alias("first"), "next")
-    return written(pairs.join(_ranked(pairs, "first", "next"), ["first", "next"]).select("row", "seq", "rank"), "suffixes")
+    pairs = written(suffixes.join(on, ["row", "seq"]).select("row", "seq", F.col("rank").alias("first"), "next"), "pairs")
+    out = _ranked(pairs, "first", "next")
+    discard(pairs)
+    return out
 
 
 def _windows(lines: DataFrame) -> DataFrame:
@@ -62,37 +70,51 @@ def _windows(lines: DataFrame) -> DataFrame:
     return begin.union(finish)
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, start, stop, later) of the shortest windows that occur more than once; later: it isn't the first occurrence."""
+def intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, seq, m, start, stop, first): the places of all LCP intervals of the shortest windows that occur more than once, with the interval's first place (id, th, seq); start and stop are raw lines."""
     lines = written(_line_table(docs, id_col, text_col, min_words), "lines")
-    letters, windows = lines.where("not end"), _windows(lines)
+    windows = _windows(lines)
     most = windows.agg(F.max("m")).first()[0] or 0
-    suffixes = written(letters.join(_ranked(letters, "h1", "h2"), ["h1", "h2"]).select("row", "seq", "rank"), "suffixes")
+    suffixes = _ranked(lines.where("not end"), "h1", "h2")
     levels, h = [], 1
     while h <= most and not suffixes.isEmpty():
         levels.append(suffixes.withColumn("h", F.lit(h)))
         if 2 * h <= most:
             suffixes = _double(suffixes, h)
         h *= 2
+    place = F.struct("id", "th", "seq")
     if not levels:
-        return lines.select("id", "th", F.col("raw").alias("start"), F.col("raw").alias("stop"), F.lit(True).alias("later")).limit(0)
+        return lines.select("id", "th", "seq", F.col("seq").alias("m"), F.col("raw").alias("start"), F.col("raw").alias("stop"), place.alias("first")).limit(0)
     ranks = reduce(DataFrame.union, levels)
     here = windows.withColumn("h", F.expr("shiftleft(1, length(bin(m)) - 1)"))
     named = here.join(ranks.withColumnRenamed("rank", "head"), ["row", "seq", "h"]).withColumn("tail_seq", F.col("seq") + F.col("m") - F.col("h"))
     named = named.join(ranks.select("row", F.col("seq").alias("tail_seq"), "h", F.col("rank").alias("tail")), ["row", "tail_seq", "h"])
-    named = written(named.select("m", "head", "tail", F.struct("id", "th", "seq").alias("place"), "start", "stop").distinct(), "windows")
-    intervals = named.groupBy("m", "head", "tail").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
-    hits = named.join(intervals, ["m", "head", "tail"])
-    return hits.select(F.col("place.id").alias("id"), F.col("place.th").alias("th"), "start", "stop", (F.col("place") != F.col("first")).alias("later"))
+    named = written(named.select("m", "head", "tail", place.alias("place"), "start", "stop").distinct(), "windows")
+    first = named.groupBy("m", "head", "tail").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).where("first != last")
+    found = joined(named, written(first.drop("last"), "intervals"), ["m", "head", "tail"], "n")
+    return found.select("place.*", "m", "start", "stop", "first")
+
+
+def _merged(rows: DataFrame, keys: list[str], begin: str, end: str, *more: Column) -> DataFrame:
+    """(keys, begin, end, more) of the unions of the overlapping or adjoining ranges [begin, end) of each key."""
+    by = Window.partitionBy(*keys).orderBy(begin, end)
+    marked = rows.withColumn("fresh", F.coalesce((F.col(begin) > F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    numbered = marked.withColumn("run", F.sum("fresh").over(by))
+    return numbered.groupBy(*keys, "run").agg(F.min(begin).alias(begin), F.max(end).alias(end), *more).drop("run")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, start, stop, first_id, first_th, first_seq): the maximal runs of raw lines [start, stop) that copy an earlier run line by line, and where that one begins."""
+    later = intervals(docs, id_col, text_col, min_words).where(F.struct("id", "th", "seq") != F.col("first"))
+    moved = later.select("id", "th", "seq", (F.col("seq") + F.col("m")).alias("upto"), "start", "stop", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"), (F.col("seq") - F.col("first.seq")).alias("shift"))
+    # All runs of a text lie in one partition, as those of doomed_runs() do, so texts are shuffled once.
+    runs = _merged(moved.repartition("id", "th"), ["id", "th", "first_id", "first_th", "shift"], "seq", "upto", F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.select("id", "th", "start", "stop", "first_id", "first_th", (F.col("seq") - F.col("shift")).alias("first_seq"))
 
 
 def doomed_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, runs): of each text the runs [start, stop) of lines to delete, merged and in order."""
-    later = repeated_windows(docs, id_col, text_col, min_words).where("later").select("id", "th", "start", "stop").distinct()
-    by_start = Window.partitionBy("id", "th").orderBy("start", "stop")
-    marked = later.withColumn("fresh", F.coalesce((F.col("start") > F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
-    numbered = marked.withColumn("run", F.sum("fresh").over(by_start))
-    runs = numbered.groupBy("id", "th", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    runs = _merged(repeated_runs(docs, id_col, text_col, min_words).select("id", "th", "start", "stop"), ["id", "th"], "start", "stop")
     # One list for each text, no longer than its lines.
     return runs.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("runs"))
 

@@ -63,3 +63,32 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id bigint, text string")
     assert L.dedupe(docs).collect()[0].text is None
     assert L.dedupe(docs.limit(0)).count() == 0
+
+
+def test_runs_are_maximal(spark):
+    body = [f"line {k} with some words" for k in range(12)]
+    docs = [(1, "\n".join(["a b", *body, "z"])), (2, "\n".join(["c", "", *body[2:9], "d d"])), (3, "\n".join([*body[5:], *body[:3]])), (4, "\n".join(body[:2]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.id, r.start, r.stop, r.first_id, r.first_seq) for r in L.repeated_runs(df, min_words=10).collect())
+    assert got == [(2, 2, 9, 1, 3), (3, 0, 7, 1, 6), (3, 7, 10, 1, 1), (4, 0, 2, 1, 1)]
+
+
+def test_one_line_everywhere(spark):
+    docs = [(k, "\n".join(["the same line of seven words here"] * (k % 3 + 1) + [f"own {k}"])) for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in L.dedupe(df, min_words=14).collect()}
+    assert got == dict(brute_fast(docs))
+
+
+def brute_fast(docs):
+    """Of these texts, runs of two lines and more are copies of the first such run, by order of ids."""
+    seen = False
+    for k, text in docs:
+        lines = text.split("\n")
+        if len(lines) < 3:
+            yield k, text
+        elif not seen:
+            seen = True
+            yield k, "\n".join(lines[:2] + lines[-1:]) if len(lines) > 3 else text
+        else:
+            yield k, lines[-1]
