@@ -6,9 +6,13 @@ posting lists (document, position, and the words around it) are stored for these
 needs. A window's two lists are intersected with their offsets adjusted, starting from the rarer, and the words around
 the meeting point say how far the exact phrase runs. Nearby meetings that miss the offset are proximity matches.
 
+Sets of terms reach the executors as a bitmap of fixed size; words that it lets through by chance are dropped by the
+joins. The lists of a frequent term are dealt to several tasks by document.
+
 Cases: null and wordless texts have no words and no hits; null and wordless items have no windows; an item id that
-several items share counts once, a null item id counts as `null`. Repeated rows each give a row. A table without rows,
-or a benchmark without rows, gives rows without hits. Only the named columns are read.
+several items share counts once, a null item id counts as `null`. Equally rare words rank by their place in the window.
+Repeated rows each give a row. A table without rows, or a benchmark without rows, gives rows without hits. Only the named
+columns are read; an output column that would have the id's name gets an underscore.
 """
 
 from __future__ import annotations
@@ -20,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import fresh, read, sliced, word_hashes, written
+from quaymark.llm.common import HOT_PARTS, fresh, outputs, read, sliced, word_hashes, written
 
 WINDOW = 13
 REACH = WINDOW - 1
-#: Terms up to which a set of terms is sent to every executor (8 bytes each); beyond it, every word of the corpus is counted and stored.
-MAX_SHIPPED_TERMS = 2_000_000
+#: Bits of the bitmap that stands for a set of terms: 8 MB, whatever the set.
+BITS = 1 << 26
+#: Terms that a task counts before it passes its counts on.
+COUNTED = 500_000
 
 
 def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, words): the hashed words of every item that has any."""
+    """(item, words, key): the hashed words of every item that has any; each different item has a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -37,59 +43,69 @@ def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item", "words"])
 
     named = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "item string, words array<bigint>").where("size(words) > 0").distinct()
+    return named.mapInArrow(run, "item string, words array<bigint>").where("size(words) > 0").distinct().withColumn("key", F.monotonically_increasing_id())
 
 
 def _shipped(spark: SparkSession, terms: DataFrame):
-    """A sorted array of the terms on every executor, or None if there are too many."""
-    if terms.count() > MAX_SHIPPED_TERMS:
-        return None
-    return spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in terms.collect()], dtype=np.int64)))
+    """A bitmap of the terms on every executor."""
+    spot = F.pmod("term", F.lit(BITS))
+    each = terms.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 64).cast("int").alias("word"))
+    words = each.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot % 64 as int))")).alias("bits")).toArrow()  # BITS / 64 rows at most
+    bitmap = np.zeros(BITS // 64, dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return spark.sparkContext.broadcast(bitmap.view(np.uint64))
 
 
-def _placed(words: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Of each word its place among the sorted terms, or -1."""
-    if not len(terms) or not len(words):
-        return np.full(len(words), -1)
-    at = np.minimum(np.searchsorted(terms, words), len(terms) - 1)
-    return np.where(terms[at] == words, at, -1)
+def _among(words: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """The places of the words that the bitmap holds."""
+    spot = words.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
+    return np.flatnonzero(bitmap[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): how often each term occurs in all the texts. Every task adds up its own before anything is shuffled."""
+    """(term, n): how often words occur in all the texts, the terms among them. Every task adds up its own before anything is shuffled."""
     shipped = _shipped(docs.sparkSession, terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shipped is None:
-            for batch in sliced(batches):
-                found, n = np.unique(np.concatenate([np.empty(0, np.int64), *(word_hashes(t).view(np.int64) for t in batch.column(0).to_pylist())]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["term", "n"])
-            return
-        terms = shipped.value
-        total = np.zeros(len(terms) + 1, dtype=np.int64)
+        bitmap = shipped.value
+        held, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums)], names=["term", "n"])
+
         for batch in sliced(batches):
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(_placed(word_hashes(text).view(np.int64), terms) + 1, minlength=len(total))
-        some = np.flatnonzero(total[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(terms[some]), pa.array(total[1:][some])], names=["term", "n"])
+            found = [np.empty(0, np.int64)]
+            for text in batch.column(0):
+                words = word_hashes(text.as_py()).view(np.int64)
+                found.append(words[_among(words, bitmap)])
+            some, n = np.unique(np.concatenate(found), return_counts=True)
+            held, at = np.unique(np.concatenate([held, some]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([sums, n]), minlength=len(held)).astype(np.int64)
+            if len(held) > COUNTED:
+                yield told()
+                held, sums = held[:0], sums[:0]
+        yield told()
 
     return docs.select(text_col).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def anchors(bench: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item, term, other, step, around, need): of each window the rarest word and the next, the steps between them, the item's words around the first, and the words that a hit needs."""
-    n = F.size("words")
-    starts = F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))
-    spots = bench.select("item", "words", F.least(n, F.lit(WINDOW)).alias("need"), F.explode(starts).alias("first"))
-    spots = spots.select("*", F.explode(F.sequence("first", F.col("first") + F.col("need") - 1)).alias("spot"))
-    spots = spots.select("item", "words", "need", "first", "spot", F.element_at("words", F.col("spot") + 1).alias("term"))
-    spots = spots.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = spots.groupBy("item", "words", "need", "first").agg(F.array_sort(F.collect_list(F.struct("n", "spot", "term"))).alias("by"))  # 13 at most
-    rare, next_ = F.element_at("by", 1), F.when(F.size("by") > 1, F.element_at("by", 2)).otherwise(F.element_at("by", 1))
+    """(item, term, other, step, around, need, n): of each window the rarest word and the next, the steps between them, the item's words around the first, the words that a hit needs, and the first's frequency. Each word of an item takes part in the lists of its own place only."""
+    words = bench.select("item", "key", F.size("words").alias("size"), F.posexplode("words").alias("spot", "term"))
+    placed = words.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    by = Window.partitionBy("key").orderBy("spot")
+    ahead, before, after = by.rowsBetween(0, REACH), by.rowsBetween(-REACH, -1), by.rowsBetween(0, REACH)
+    ranked = F.array_sort(F.collect_list(F.struct("n", "spot", "term")).over(ahead))  # 13 at most
+    left, right = F.collect_list("term").over(before), F.collect_list("term").over(after)
     # Words outside the item are 1, which no document's word is taken for.
-    wide = F.concat(F.array_repeat(F.lit(1).cast("bigint"), REACH), F.col("words"), F.array_repeat(F.lit(1).cast("bigint"), REACH))
-    around = F.slice(wide, rare["spot"] + 1, 2 * REACH + 1)
-    return ranked.where(rare["n"] > 0).select("item", rare["term"].alias("term"), next_["term"].alias("other"), (next_["spot"] - rare["spot"]).alias("step"), around.alias("around"), "need").distinct()
+    none = lambda n: F.array_repeat(F.lit(1).cast("bigint"), n)
+    around = F.concat(none(F.lit(REACH) - F.size(left)), left, right, none(F.lit(REACH + 1) - F.size(right)))
+    placed = placed.select("item", "key", "size", "spot", ranked.alias("by"), around.alias("around"))
+    rare, next_ = F.element_at("by", 1), F.when(F.size("by") > 1, F.element_at("by", 2)).otherwise(F.element_at("by", 1))
+    windows = placed.where(F.col("spot") <= F.greatest(F.col("size") - WINDOW, F.lit(0)))
+    windows = windows.select("key", "item", F.least("size", F.lit(WINDOW)).alias("need"), rare.alias("rare"), next_.alias("next")).where("rare.n > 0")
+    windows = windows.select("key", "item", "need", F.col("rare.spot").alias("spot"), F.col("rare.term").alias("term"), F.col("rare.n").alias("n"), F.col("next.term").alias("other"), (F.col("next.spot") - F.col("rare.spot")).alias("step")).distinct()
+    return windows.join(placed.select("key", "spot", "around"), ["key", "spot"]).select("item", "term", "other", "step", "around", "need", "n").distinct()
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,10 +117,10 @@ def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sizes, ats, found, around = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = word_hashes(text).view(np.int64)
+            for text in batch.column(1):
+                words = word_hashes(text.as_py()).view(np.int64)
                 sizes.append(len(words))
-                at = np.arange(len(words)) if shipped is None else np.flatnonzero(_placed(words, shipped.value) >= 0)
+                at = _among(words, shipped.value)
                 ats.append(at)
                 found.append(words[at])
                 wide = np.concatenate([np.zeros(REACH, np.int64), words, np.zeros(REACH, np.int64)])
@@ -123,9 +139,20 @@ def _lists(index: DataFrame) -> DataFrame:
     return index.select("row", F.inline("lists"))
 
 
+def _dealt(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists with their anchors. A term that has more than one of HOT_PARTS parts of all postings is dealt to several tasks by document, its anchors to each of them; there are fewer such terms than parts."""
+    terms = found.groupBy("term").agg(F.first("n").alias("n"))
+    total = terms.agg(F.sum("n")).first()[0] or 0
+    hot = terms.where(F.col("n") * HOT_PARTS > F.lit(total)).select("term", F.ceil(F.col("n") * HOT_PARTS / F.lit(max(total, 1))).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = lists.join(F.broadcast(hot), "term", "left").withColumn("part", F.pmod(F.xxhash64("row"), parts).cast("int")).drop("parts")
+    side = found.join(F.broadcast(hot), "term", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts", "n")
+    return rows.join(side, ["term", "part"]).drop("part")
+
+
 def phrases(index: DataFrame, found: DataFrame) -> DataFrame:
     """(row, item, first, last): exact runs of an item's words, as word positions of the document."""
-    rare = _lists(index).withColumnRenamed("around", "here").join(found, "term")
+    rare = _dealt(_lists(index).withColumnRenamed("around", "here"), found)
     rare = rare.withColumn("meets", F.col("at") + F.col("step"))
     others = _lists(index).select("row", F.col("term").alias("other"), F.col("at").alias("meets"))
     both = rare.join(others, ["row", "other", "meets"], "left_semi")
@@ -136,11 +163,14 @@ def phrases(index: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def proximity(index: DataFrame, found: DataFrame, slack: int = 5) -> DataFrame:
-    """(row, item, at, meets): places where an item's two rarest words of a window stand close, up to slack words off their offset in the item."""
-    rare = _lists(index).select("row", "term", "at").join(found.select("item", "term", "other", "step").distinct(), "term").where("step <> 0")
-    others = _lists(index).select("row", F.col("term").alias("other"), F.col("at").alias("meets"))
-    off = F.abs(F.col("meets") - F.col("at") - F.col("step"))
-    return rare.join(others, ["row", "other"]).where(off.between(1, slack)).select("row", "item", "at", "meets").distinct()
+    """(row, item, at, meets): places where an item's two rarest words of a window stand close, up to slack words off their offset in the item. Places meet by stretches of slack words, so a frequent pair costs what it matches."""
+    rare = _dealt(_lists(index).select("row", "term", "at"), found.where("step <> 0").select("item", "term", "other", "step", "n").distinct())
+    stretch = lambda at: F.floor(at / F.lit(slack))
+    due = F.col("at") + F.col("step")
+    rare = rare.withColumn("stretch", F.explode(F.sequence(stretch(due - slack), stretch(due + slack))))
+    others = _lists(index).select("row", F.col("term").alias("other"), F.col("at").alias("meets"), stretch(F.col("at")).alias("stretch"))
+    off = F.abs(F.col("meets") - due)
+    return rare.join(others, ["row", "other", "stretch"]).where(off.between(1, slack)).select("row", "item", "at", "meets").distinct()
 
 
 def build(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -160,9 +190,10 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     spans = hits.select("row", "first", "last").distinct().withColumn("done", F.coalesce(F.max("last").over(before), F.lit(-1)))
     lengths = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.col("done") + 1) + 1)).alias("n_hit"))
     names = hits.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    rows = index.select("row", F.col("id").alias(id_col), "n_words").join(lengths.join(names, "row"), "row", "left")
-    rows = rows.select(id_col, "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    rows = index.select("row", "id", "n_words").join(lengths.join(names, "row"), "row", "left")
+    rows = rows.select("id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    rows = rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return rows.toDF(id_col, *outputs(id_col, "n_words", "n_hit", "items", "contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

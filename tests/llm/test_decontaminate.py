@@ -57,3 +57,23 @@ def test_proximity_and_empty(spark):
     assert 3 not in {r.id for r in near.collect()}
     assert D.report(docs.limit(0), bench).count() == 0
     assert D.report(docs, bench.limit(0)).where("n_hit = 0 and size(items) = 0").count() == 3
+
+
+def test_long_items_and_chance_terms(spark, monkeypatch):
+    r = random.Random(2)
+    body = [f"w{r.randrange(4000)}" for _ in range(10_000)]
+    bench = spark.createDataFrame([(1, " ".join(body)), (2, "to be")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(body[5000:5013])), (2, " ".join(body[100:112])), (3, "x " * 50 + " ".join(body)), (4, "to be " * 5000)], "doc_id bigint, text string")
+    for bits in (D.BITS, 1 << 10):  # in the small bitmap nearly every word passes
+        monkeypatch.setattr(D, "BITS", bits)
+        got = {x.doc_id: (x.n_hit, list(x["items"])) for x in D.report(docs, bench).collect()}
+        assert got == {1: (13, ["1"]), 2: (0, []), 3: (10_000, ["1"]), 4: (10_000, ["2"])}
+
+
+def test_clashing_names(spark):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, "one two three"), (8, "no")], "n_hit bigint, text string")
+    got = D.report(docs, bench, id_col="n_hit")
+    assert got.columns == ["n_hit", "n_words", "n_hit_", "items", "contaminated"]
+    assert {r["n_hit"]: r["n_hit_"] for r in got.collect()} == {7: 3, 8: 0}
+    assert D.keep_clean(docs, bench, id_col="n_hit").first()[0] == 8
