@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import fresh, read, written
+from quaymark.llm.common import fresh, joined, read, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. Runs are taken possessively and begin where no run is under way, so that long runs take linear time; the matches are the same.
@@ -103,14 +103,19 @@ def contexts(base: DataFrame) -> DataFrame:
     left = F.transform(_terms("before", F.col("gap") > WINDOW_CHARS), lambda t: F.struct(t["term"].alias("term"), (F.col("start") - F.col("width") + t["from"]).alias("start"), (F.col("start") - F.col("width") + t["from"] + t["n"]).alias("stop")))
     right = F.transform(_terms("after", F.col("cut")), lambda t: F.struct(t["term"].alias("term"), (F.col("stop") + t["from"]).alias("start"), (F.col("stop") + t["from"] + t["n"]).alias("stop")))
     around = split.select("row", "entity", "context", F.concat(left, right).alias("terms"))
-    # The base spans of one document, to leave out terms within them.
-    spans = base.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    free = around.join(spans, "row").select("row", "entity", "context", F.inline("terms"), "spans")
-    return free.where(~F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (F.col("start") < s["stop"]))).drop("spans")
+    terms = around.select("row", "entity", "context", F.inline("terms"))
+    # Sorted by where they begin, a term overlaps a base span if one that begins no later ends behind its begin, or the next one begins before its end.
+    none = F.lit(None).cast("bigint")
+    both = terms.withColumns({"ends": none, "begins": none}).unionByName(base.select("row", F.lit(None).cast("string").alias("entity"), none.alias("context"), F.lit(None).cast("string").alias("term"), "start", "stop", F.col("stop").alias("ends"), F.col("start").alias("begins")))
+    up = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("reach", F.max("ends").over(up)).withColumn("next", F.min("begins").over(down))
+    free = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("stop")))
+    return seen.where(F.col("entity").isNotNull() & free).select("row", "entity", "context", "term", "start", "stop")
 
 
 def disclosures(docs: DataFrame, base: DataFrame, around: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, ratio): the terms that reveal an entity, PMI over the entity's information."""
+    """(entity, term, ratio, beside): the terms that reveal an entity, PMI over the entity's information, and how often they stand beside it."""
     times = around.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     beside = written(times.groupBy("entity", "term").agg(F.sum("n").alias("beside"), F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS), "pii-beside")
     wanted = written(beside.select(F.xxhash64("term").alias("word")).distinct(), "pii-terms")
@@ -125,7 +130,7 @@ def disclosures(docs: DataFrame, base: DataFrame, around: DataFrame, text_col: s
     p = F.least(F.lit(0.5), F.col("n_entity") * (2.0 * WINDOW_TERMS) / F.lit(float(max(total or 0, 1))))
     share = F.least(F.lit(1.0), F.col("beside") / F.col("n_term"))
     ratio = (F.log(share) - F.log(p)) / -F.log(p)
-    scored = beside.withColumn("word", F.xxhash64("term")).join(counted, "word").join(entities, "entity").select("entity", "term", ratio.alias("ratio"))
+    scored = beside.withColumn("word", F.xxhash64("term")).join(counted, "word").join(entities, "entity").select("entity", "term", ratio.alias("ratio"), "beside")
     return scored.where(F.col("ratio") >= GENERALISE)
 
 
@@ -134,8 +139,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     found = matches(docs, id_col, text_col)
     base = written(base_spans(found), "pii-base")
     around = written(contexts(base), "pii-contexts")
-    told = disclosures(docs, base, around, text_col)
-    terms = around.join(told, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("ratio").alias("ratio"))
+    told = written(disclosures(docs, base, around, text_col), "pii-told")
+    terms = joined(around, told, ["entity", "term"], "beside").groupBy("row", "start", "stop").agg(F.max("ratio").alias("ratio"))
     every = base.select("row", "kind", "start", "stop", F.lit(None).cast("double").alias("ratio")).union(terms.select("row", F.lit(len(KINDS)), "start", "stop", "ratio"))
     return found.select("row", "id", "th"), every
 

@@ -99,3 +99,16 @@ def test_odd_cases(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert P.query(spark, str(tmp_path)).count() == 0
+
+
+def test_many_addresses_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, " ".join(f"user 10.{k % 250}.{k // 250 % 250}.{k % 7} said" for k in range(n)))], "doc_id bigint, text string")
+    assert P.report(docs).first().n_ip == n
+
+
+def test_terms_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = sorted(P.report(docs).collect(), key=str)
+    monkeypatch.setattr(P, "MAX_SHIPPED_TERMS", -1)
+    assert sorted(P.report(docs).collect(), key=str) == want
