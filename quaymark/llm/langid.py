@@ -110,6 +110,8 @@ class Model:
         return langs, top, rejected
 
 
+#: Languages that a model may have; more values than that are an error.
+MAX_LANGS = 10_000
 #: N-grams from which a text counts as of full length for rejection.
 FULL_GRAMS = 1500
 
@@ -145,7 +147,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     place[bucket] = np.arange(n)
     idf = (np.log((1 + texts) / (1 + df)) + 0.1).astype(np.float32)
     idf_unknown = float(np.log(1 + texts) + 0.1)
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}  # a row for each language
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGS} values; it can't be a language")
     empty = Model(place, idf, idf_unknown, np.zeros(n + 1, int), np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, int), [], np.zeros(0))
     if not sizes or not n:
         return empty

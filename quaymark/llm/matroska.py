@@ -6,8 +6,11 @@ clusters. The parser reads variable-length ids and sizes (unknown sizes too), cl
 lacing and cues, and gives a row for each frame: track, timestamp, byte range, lacing, key flag, cluster.
 
 Cases: a null payload is an empty one; an empty payload makes a file without clusters and no packets. Equal payloads
-make equal files. Payloads of any length are stored whole. Damaged files raise ValueError when they are parsed.
-Repeated rows each give a row; an empty table gives an empty result; only the named columns are read.
+make equal files. Payloads of any length are stored whole. A damaged file gets the
+reason in the column `error` and nulls for what it would tell; its packets are none.
+Repeated
+rows each give a row; an empty table gives an empty result; only the named columns are read. An output column that would
+have the id's name gets an underscore.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import read, sliced
+from quaymark.llm.common import outputs, read, sliced, written
 
 #: Element ids of the format.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -184,7 +187,14 @@ def block_frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tu
 
 
 def packets(data: bytes) -> list[dict]:
-    """A row for each frame, in file order; each cue must point at a cluster of its time."""
+    """A row for each frame, in file order; each cue must point at a cluster of its time. A damaged file raises ValueError."""
+    try:
+        return _packets(data)
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"the file ends too early ({e})") from e
+
+
+def _packets(data: bytes) -> list[dict]:
     out, cluster, cluster_time, segment = [], -1, 0, 0
     times: dict[int, int] = {}
     cue_time, at_cluster, cues, group = 0, 0, [], None
@@ -231,14 +241,24 @@ def feature(samples: np.ndarray) -> str:
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every text as a Matroska file."""
+    """(id, n_bytes, media): every text as a Matroska file, as a table of the shared folder."""
+    names = outputs(id_col, "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             made = [padded(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary())], names=[id_col, "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary())], names=[id_col, *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return written(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {names[0]} bigint, {names[1]} binary"), "media")
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, media binary")
+def _parsed(media: bytes | None) -> tuple[list[dict], str | None]:
+    """The packets of a file, and why there are none if it is damaged."""
+    try:
+        return (packets(media), None) if media is not None else ([], "no file")
+    except ValueError as e:
+        return [], str(e)
 
 
 def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -247,7 +267,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [packets(m) if m is not None else [] for m in batch.column(1).to_pylist()]
+            found = [_parsed(m)[0] for m in batch.column(1).to_pylist()]
             rows = [{"n": k} | p for file in found for k, p in enumerate(file)]
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[c] for r in rows], t) for c, t in kinds)], names=[id_col, *(c for c, _ in kinds)])
@@ -256,23 +276,28 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 
 def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per file what its packets hold: sizes, hashes and features of the payload read back and of the file."""
+    """Per file what its packets hold: sizes, hashes and features of the payload read back and of the file, and an error if it is damaged."""
+    size, held = outputs(id_col, "n_bytes", "media")
+    told = outputs(id_col, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def row(data: bytes | None) -> tuple:
+        found, error = _parsed(data)
+        if error:
+            return None, None, None, None, None, None, error
+        payload = b"".join(data[p["start"] : p["start"] + p["size"]] for p in found)
+        shape = f"packets={len(found)};clusters={len({p['cluster'] for p in found})};end={max((p['timestamp'] for p in found), default=0)};"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), shape + feature(np.frombuffer(payload, dtype=np.uint8)), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            rows = []
-            for data in batch.column(2).to_pylist():
-                found = packets(data)
-                payload = b"".join(data[p["start"] : p["start"] + p["size"]] for p in found)
-                shape = f"packets={len(found)};clusters={len({p['cluster'] for p in found})};end={max((p['timestamp'] for p in found), default=0)};"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), shape + feature(np.frombuffer(payload, dtype=np.uint8))))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+            rows = [row(data.as_py()) for data in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=[id_col, size, *told])
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    types = ("bigint", "string", "bigint", "bigint", "string", "string", "string")
+    return media.select(id_col, size, held).mapInArrow(run, f"`{id_col}` {kind}, {size} bigint, " + ", ".join(f"{n} {t}" for n, t in zip(told, types, strict=True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(store(read(spark, sf_dir, "documents")))
+    return describe(store(read(spark, sf_dir, "documents"))).drop("error")

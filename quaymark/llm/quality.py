@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import read, sliced, small_batches
+from quaymark.llm.common import outputs, read, sliced, small_batches
 from quaymark.llm.labelled import held_out, sample
 
 PASSAGE_WORDS = 64
@@ -178,16 +178,20 @@ def train(bags: list[np.ndarray], y: np.ndarray, rounds: int = 120, rate: float
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, held: int = 2, fit_docs: int = 4_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from about fit_docs labelled texts at most, none of them held out."""
+def _spread(bag: np.ndarray, most: int) -> np.ndarray:
+    return bag if len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 4, held: int = 2, fit_docs: int = 4_000, fit_passages: int = 64, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from about fit_docs labelled texts at most, none of them held out, and of each at most fit_passages passages, evenly spread; scores read all."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 64):
-            bags = [passages(t).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
+            bags = [_spread(passages(t), fit_passages).astype(np.float16).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 
     rows = sample(docs, labels, label, fold, held, fit_docs, id_col, text_col).mapInArrow(encode, "id string, y int, bag binary")
-    got = sorted(rows.collect(), key=lambda r: r.id)  # fit_docs bags; a passage takes 232 bytes
+    got = sorted(rows.collect(), key=lambda r: r.id)  # fit_docs bags of fit_passages passages of 232 bytes at most: 60 MB
     bags = [np.frombuffer(r.bag, dtype=np.float16).reshape(-1, FEATURES) for r in got]
     return train(bags, np.array([r.y > 0 for r in got], dtype=np.float64))
 
@@ -196,15 +200,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score, attention): of every text its score, and the weights of its passages in order."""
     small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # some 20 kB, whatever the corpus
+    names = outputs(id_col, "score", "attention")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in sliced(batches, 64):
             found, weights = model.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.float64)), pa.array([w.astype(np.float32) for w in weights], pa.list_(pa.float32()))], names=[id_col, "score", "attention"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.float64)), pa.array([w.astype(np.float32) for w in weights], pa.list_(pa.float32()))], names=[id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, attention array<float>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {names[0]} double, {names[1]} array<float>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ A bundle is a file of independent Zstandard frames, each with several records, a
 offset within that frame, so fetching one record decompresses one frame. Bundles are rows of a binary column,
 which Spark's committer writes once however often a task is repeated; export_files() lays them out as files.
 
-Cases: a null payload is an empty one. Null ids are kept as null; equal payloads under null ids only are all
+Cases: a null payload is an empty one. Null ids are kept as null, empty ones as empty; equal payloads under null ids only are all
 responses. Rows that repeat an id and a payload are all responses if theirs is the largest id. A payload larger
 than a frame or a bundle gets a frame or a bundle of its own. An empty table gives no bundles and no rows.
 """
@@ -23,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import fresh, read, written
+from quaymark.llm.common import fresh, joined, read, written
 
 #: Fixed values of the formats.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-ID_PREFIX = "urn:record:"
+ID_PREFIX, NO_ID = "urn:record:", "urn:unnamed"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 BUNDLE_SCHEMA = "bundle string, n_records bigint, n_frames bigint, content binary, entries array<struct<record_id:string,frame:int,frame_at:bigint,at:bigint,length:bigint>>"
@@ -42,15 +42,18 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     """(record_id, uri, payload, refers_to): refers_to is the largest id with an equal payload, null for that record itself and for payloads under min_bytes."""
     rows = pages.select(F.col(id_col).alias("record_id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
+    ids = written(rows.select("record_id", "digest"), "digests")
     # A count and a maximum for each digest: a group of copies of any size leaves one row for each map task.
-    groups = rows.select("digest", "record_id").groupBy("digest").agg(F.max("record_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1").select("digest", "keeper")
-    joined = rows.join(groups, "digest", "left")
-    refers = F.when((F.col("record_id") != F.col("keeper")) | (F.col("record_id").isNull() & F.col("keeper").isNotNull()), F.col("keeper"))
-    return joined.select("record_id", "uri", "payload", F.when(F.octet_length("payload") >= min_bytes, refers).alias("refers_to"))
+    groups = written(ids.groupBy("digest").agg(F.max("record_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 and refers_to is not null"), "copies")
+    # Only ids meet their group; payloads then meet by id, so no group of copies gathers.
+    others = joined(ids, groups, ["digest"], "copies").where("not record_id <=> refers_to").distinct()
+    found = others.select(F.col("record_id").alias("other_id"), F.col("digest").alias("other"), "refers_to")
+    marked = rows.join(found, F.col("record_id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other")), "left")
+    return marked.select("record_id", "uri", "payload", F.when(F.octet_length("payload") >= min_bytes, F.col("refers_to")).alias("refers_to"))
 
 
 def _name(record_id) -> str:
-    return ID_PREFIX + ("" if record_id is None else quote(str(record_id), safe=""))
+    return NO_ID if record_id is None else ID_PREFIX + quote(str(record_id), safe="")
 
 
 def _record(record_id, uri: str | None, payload: bytes, refers_to, date: str) -> bytes:
@@ -167,7 +170,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     size = int(http["content-length"])
     if payload is not None and (len(payload) != size or base32_sha1(payload) != digest):
         raise ValueError("a payload differs from its digest")
-    name = lambda key: unquote(head[key].strip("<>").removeprefix(ID_PREFIX)) or None if key in head else None
+    named = lambda key: key in head and head[key] != f"<{NO_ID}>"
+    name = lambda key: unquote(head[key].strip("<>").removeprefix(ID_PREFIX)) if named(key) else None
     return {"record_id": name("warc-record-id"), "uri": unquote(head["warc-target-uri"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": name("warc-refers-to"), "payload": payload}, stop + 4
 
 
@@ -195,12 +199,14 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
     return bundles.select("bundle", "content").mapInArrow(run, RECORD_SCHEMA)
 
 
-def fetch(bundles: DataFrame, wanted: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """The records with the ids of wanted, by their frame-relative offsets: only frames that hold one are decompressed."""
-    (key,) = fresh(wanted, "wanted_id")
-    ids = wanted.select(F.col(id_col).cast("string").alias(key)).distinct()
+def fetch(bundles: DataFrame, wanted: DataFrame | None = None, id_col: str = "record_id", payloads: bool = True) -> DataFrame:
+    """The records with the ids of wanted (all without it), by their frame-relative offsets: only frames that hold one are decompressed. payloads=False checks payloads but leaves them out."""
+    places = index(bundles)
+    if wanted is not None:
+        (key,) = fresh(wanted, "wanted_id")
+        places = places.join(wanted.select(F.col(id_col).cast("string").alias(key)).distinct(), F.col("record_id") == F.col(key), "left_semi")
     # The places of a bundle are at most its records, which bundle_bytes bounds.
-    places = index(bundles).join(ids, F.col("record_id") == F.col(key), "left_semi").groupBy("bundle").agg(F.collect_list(F.struct("frame", "at")).alias("places"))
+    places = places.groupBy("bundle").agg(F.collect_list(F.struct("frame", "at")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -211,9 +217,14 @@ def fetch(bundles: DataFrame, wanted: DataFrame, id_col: str = "record_id") -> D
                 for place in places.as_py():
                     k = place["frame"]
                     if k not in held:
+                        if rows:
+                            yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
                         start, packed, full = table[k]
-                        held = {k: press.decompress(raw[start : start + packed], max_output_size=full)}
-                    rows.append(parse_record(held[k], place["at"])[0] | {"bundle": bundle.as_py(), "frame": k, "at": place["at"]})
+                        rows, held = [], {k: press.decompress(raw[start : start + packed], max_output_size=full)}
+                    row = parse_record(held[k], place["at"])[0]
+                    if not payloads:
+                        row["payload"] = None
+                    rows.append(row | {"bundle": bundle.as_py(), "frame": k, "at": place["at"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
     return bundles.select("bundle", "content").join(places, "bundle").select("bundle", "content", F.array_sort("places").alias("places")).mapInArrow(run, RECORD_SCHEMA)
@@ -242,7 +253,7 @@ def export_files(bundles: DataFrame, folder: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    records = read_bundles(write_bundles(mark_revisits(pages)), payloads=False)
+    records = fetch(write_bundles(mark_revisits(pages)), payloads=False)
     return records.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 

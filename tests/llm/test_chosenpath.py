@@ -84,3 +84,45 @@ def test_keep_one_by_component(spark):
     groups = [{0, 1}, {2}, {3}, {5}, {7, 8}, {9, 10}]
     assert all(len(g & set(kept)) == 1 for g in groups)
     assert all((r.doc_id, r.text) == docs[k] for k, r in kept.items())
+
+
+def test_low_thresholds_and_names(spark):
+    r = random.Random(9)
+    docs = []
+    for k in range(30):
+        base = [f"v{k}_{j}" for j in range(60)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: r.choice([20, 30, 40, 50])] + [f"u{k}_{j}" for j in range(15)]))]
+    for threshold in (0.5, 0.3):
+        df = spark.createDataFrame(docs, "k1 bigint, text string")
+        got = C.near_duplicates(df, id_col="k1", threshold=threshold)
+        assert got.columns == ["k1", "k1_", "k2", "class_id", "n_links"]
+        sets = [grams(t) for _, t in docs]
+        want = {}
+        for k, (d, _) in enumerate(docs):
+            other = sets[k ^ 1]
+            near = len(sets[k] & other) >= threshold * len(sets[k] | other)
+            want[d] = (d & ~1 if near else d, int(near))
+        assert {x["k1"]: (x.class_id, x.n_links) for x in got.collect()} == want
+    kept = C.keep_one(spark.createDataFrame(docs[:2] + [(9, docs[0][1])], "class_id bigint, text string"), id_col="class_id", threshold=0.2)
+    assert [x.class_id for x in kept.collect()] == [0]
+
+
+def test_recall_is_measured(spark):
+    """Near the threshold, over pairs made to lie between 0.8 and 0.85, with large buckets split."""
+    r = random.Random(4)
+    docs, common = [], [f"c{j}" for j in range(40)]
+    for k in range(400):
+        base = common + [f"b{k}x{j}" for j in range(60)]
+        cut = r.choice([10, 9, 8])
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:-cut] + [f"e{k}x{j}" for j in range(cut)]))]
+    sets = [grams(t) for _, t in docs]
+    pairs = {2 * k for k in range(400) if 5 * len(sets[2 * k] & sets[2 * k + 1]) >= 4 * len(sets[2 * k] | sets[2 * k + 1])}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {x.doc_id: x.n_links for x in C.near_duplicates(df).collect()}
+    assert len(pairs) > 200
+    assert sum(got[d] > 0 for d in pairs) / len(pairs) >= 0.99
+    assert not any(n for d, n in got.items() if d & ~1 not in pairs)
+
+
+def test_agreeing():
+    assert C.agreeing(0.8, 0.99999, 32) in range(10, 18) and C.agreeing(1.0, 0.99999, 32) == 32

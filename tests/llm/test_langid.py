@@ -1,4 +1,8 @@
+import collections
+import zlib
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quaymark.llm import langid
@@ -59,3 +63,34 @@ def test_rare_language_of_another_script(spark):
     got = langid.predict(rare, model).collect()
     assert len(got) == n and all(r.lang_pred == "ru" and r.score > 0.3 and not r.rejected for r in got)
     assert model.nearest(["日本語"])[0] == ["und"]
+
+
+def test_every_text_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    rows = docs.collect()
+    learnable = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    df = collections.Counter(b for r in learnable for b in set(langid.gram_buckets(r.text).tolist()))
+    assert {b for b in range(1 << langid.BITS) if model.place[b] < len(model.idf)} == set(df)
+    idf = {b: float(np.log((1 + len(learnable)) / (1 + n)) + 0.1) for b, n in df.items()}
+    assert all(abs(model.idf[model.place[b]] - x) < 1e-5 for b, x in idf.items())
+    centroids = model.centroids
+    got = {r.doc_id: r for r in langid.predict(docs.select("doc_id", "text"), model).collect()}
+    for r in rows:
+        counts = collections.Counter(langid.gram_buckets(r.text).tolist())
+        if not counts:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        known = {b: np.log1p(n) * idf[b] for b, n in counts.items() if b in idf}
+        rest = np.log1p(sum(n for b, n in counts.items() if b not in idf)) * model.idf_unknown
+        norm = np.sqrt(sum(x * x for x in known.values()) + rest**2)
+        cosines = [sum(x * c[model.place[b]] for b, x in known.items()) / norm for c in centroids]
+        assert abs(got[r.doc_id].score - max(cosines)) < 1e-4
+        near = [model.langs[model.of[k]] for k, c in enumerate(cosines) if c > max(cosines) - 1e-4]
+        assert got[r.doc_id].lang_pred in near
+
+
+def test_values_that_are_no_languages(spark):
+    docs = spark.range(langid.MAX_LANGS + 8).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="can't be a language"):
+        langid.fit(docs, fold=1, held=1)

@@ -23,6 +23,7 @@ def test_round_trip_and_fetch(spark):
     assert got[None].record_type == "response"
     some = warc.fetch(bundles, spark.createDataFrame([(5,), (2,), (99,)], "record_id bigint")).collect()
     assert {r.record_id: r.payload for r in some} == {"5": long.encode(), "2": None}
+    assert sorted(warc.fetch(bundles).collect(), key=str) == sorted(warc.read_bundles(bundles).collect(), key=str)
     for r in bundles.collect():
         plain = zstandard.ZstdDecompressor()
         for start, packed, full in warc.seek_table(r.content):
@@ -38,3 +39,9 @@ def test_min_bytes_and_empty(spark, tmp_path):
     bundles = warc.write_bundles(warc.mark_revisits(pages))
     files = warc.export_files(bundles, f"file://{tmp_path}").collect()
     assert all((tmp_path / f"{r.bundle}.warc.zst").stat().st_size > 0 for r in files)
+
+
+def test_empty_ids(spark):
+    pages = spark.createDataFrame([("", "u", "a"), (None, "u", "a"), (None, "u", "b"), ("x", "u", "")], "page_id string, url string, html string")
+    got = sorted(((r.record_id, r.record_type, r.refers_to) for r in warc.fetch(warc.write_bundles(warc.mark_revisits(pages))).collect()), key=str)
+    assert got == sorted([("", "response", None), (None, "revisit", ""), (None, "response", None), ("x", "response", None)], key=str)
