@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.llm import bpe, chosenpath, decontaminate, langid, linededup
-from quaymark.llm.common import fresh, read, written
+from quaymark.llm.common import discard, fresh, read, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the texts that are left (little-endian unsigned 32-bit integers), and the hash of the text that they decode to."""
+    """Ids of the texts that are left (little-endian unsigned 32-bit integers), and the hash of the text that they decode to. Other columns of the documents end here."""
     decoded = bpe.decode(bpe.encode(docs))
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        kept = written(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = kept
     return docs
