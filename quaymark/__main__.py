@@ -9,16 +9,26 @@ from quaymark import session
 from quaymark.api import Engine
 
 
+#: Arguments that are whole numbers, and that are yes or no; all others are texts.
+WHOLE, YES_NO = {"year", "month", "sessions", "days", "top", "limit", "max_chars"}, {"whole_word", "annualised"}
+
+
+def _typed(name: str, text: str) -> object:
+    if name in WHOLE:
+        return int(text)
+    return text.strip().lower() in ("true", "yes", "1") if name in YES_NO else text
+
+
 def main(args: list[str]) -> int:
     if len(args) < 2 or args[1] not in ("metrics", "coverage", "query", "retrieve") or (args[1] == "query" and len(args) < 4):
         print(__doc__, file=sys.stderr)
         return 2
     engine = Engine(session.build("quaymark-cli"), args[0])
-    given = dict(a.split("=", 1) for a in args[2:] if "=" in a)
+    given = {k: _typed(k, v) for k, v in (a.split("=", 1) for a in args[2:] if "=" in a)}
     if args[1] == "metrics":
         found, ok = {"metrics": engine.schemas()}, True
     elif args[1] == "query":
-        found, ok = engine.execute("query_data", {"dataset": args[2], "metric": args[3], **{k: int(v) if v.lstrip("-").isdigit() else v for k, v in given.items()}})
+        found, ok = engine.execute("query_data", {"dataset": args[2], "metric": args[3], **given})
     else:
         found, ok = engine.execute(args[1], given)
     print(json.dumps(found, ensure_ascii=False, indent=1))

@@ -9,7 +9,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.functions import compact
+from quaymark.functions import calls as tool_calls
+from quaymark.functions import compact, dates
 from quaymark.operators import prices as P
 from quaymark.operators import rates as R
 from quaymark.operators import text as T
@@ -28,9 +29,11 @@ SCOPE = frozenset({"start", "end", "year", "month", "tickers", "exclude", "patte
 
 
 class Engine:
-    """Metrics over the canonical views of a folder of tables."""
+    """Metrics over the canonical views of a folder of tables. Dates may be days, months or years."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, left_out: Sequence[str] = ("5-LOW",)):
+        """left_out: tickers that `basket` leaves out."""
+        self.left_out = tuple(left_out)
         self.rates, self.prices, self.text = V.decisions(spark, sf_dir), V.bars(spark, sf_dir), V.articles(spark, sf_dir)
         self.spark = spark
         self.metrics: dict[str, dict[str, Callable[..., DataFrame]]] = {
@@ -61,7 +64,7 @@ class Engine:
                 "price_on_date": lambda day, tickers=None, exclude=(): P.price_on_date(self._bars(tickers, exclude), day),
                 "window_return": lambda start, end, tickers=None, exclude=(): self._window(start, end, tickers, exclude),
                 "event_window": lambda day, sessions=None, days=None, tickers=None, exclude=(): self._event(day, sessions, days, tickers, exclude),
-                "basket_tickers": lambda exclude=(): self._bars(None, exclude).select("ticker").distinct(),
+                "basket_tickers": lambda exclude=(): self._bars("basket", exclude).select("ticker").distinct(),
             },
             "text": {
                 "coverage": lambda: T.coverage(self.text),
@@ -73,13 +76,16 @@ class Engine:
         }
 
     def _day(self, day: str) -> DataFrame:
-        return self.spark.createDataFrame([(day,)], "d string").selectExpr("cast(d as date) as requested")
+        return self.spark.createDataFrame([(dates.bound(day, upper=True),)], "requested date")
 
     def _bars(self, tickers: Sequence[str] | str | None, exclude: Sequence[str] | str = ()) -> DataFrame:
         listed = lambda x: [t.strip() for t in x.split(",")] if isinstance(x, str) else list(x or ())
         wanted, without = listed(tickers), listed(exclude)
-        if [w.lower() for w in wanted] in (["all"], ["basket"]):
+        # Shorthands for many tickers, each only by itself.
+        if [w.lower() for w in wanted] in (["all"], ["*"], ["everything"]):
             wanted = []
+        elif [w.lower() for w in wanted] == ["basket"]:
+            wanted, without = [], [*without, *self.left_out]
         if wanted:
             known = {r.ticker for r in self.prices.select("ticker").distinct().collect()}  # the universe, a dimension
             unknown = [t for t in wanted if t not in known]
@@ -96,9 +102,10 @@ class Engine:
         return P.correlation(self._bars(pair), *pair, start, end)
 
     def _window(self, start: str, end: str, tickers, exclude) -> DataFrame:
-        if start >= end:
+        low, high = dates.window(start, end)
+        if low >= high:
             raise MetricError("a window must begin before it ends")
-        one = self.spark.createDataFrame([("window", start, end)], "key string, s string, e string").selectExpr("key", "cast(s as date) as start", "cast(e as date) as end")
+        one = self.spark.createDataFrame([("window", low, high)], "key string, start date, end date")
         return P.window_returns(self._bars(tickers, exclude), one)
 
     def _event(self, day: str, sessions: int | None, days: int | None, tickers, exclude) -> DataFrame:
@@ -173,13 +180,16 @@ class Engine:
         return [{"dataset": d, "metric": m, "arguments": {k: "required" if p.default is inspect.Parameter.empty else "optional" for k, p in inspect.signature(f).parameters.items()}} for d, ms in self.metrics.items() for m, f in ms.items()]
 
 
-def answer(engine: Engine, question: str, plan: Callable[[str, list[dict]], list[tuple[str, dict]]], steps: int = 8, word: Callable[[str, list[dict]], str] | None = None) -> dict[str, Any]:
-    """A loop of planned calls and a worded answer. plan says the next calls, none to end; only calls that went well are worded."""
+def answer(engine: Engine, question: str, plan: Callable[[str, list[dict]], list[tuple[str, dict]] | str], steps: int = 8, word: Callable[[str, list[dict]], str] | None = None) -> dict[str, Any]:
+    """A loop of planned calls and a worded answer. plan says the next calls, as pairs or as the text that a model wrote them into, none to end; only calls that went well are worded."""
     trace: list[dict[str, Any]] = []
-    while len(trace) < steps and (calls := plan(question, trace)):
+    while len(trace) < steps and (planned := plan(question, trace)):
+        calls = tool_calls.found(planned) if isinstance(planned, str) else planned
+        if not calls:
+            break
         for tool, arguments in calls[: steps - len(trace)]:
             found, ok = engine.execute(tool, arguments)
             trace.append({"tool": tool, "args": arguments, "result": found, "compact": compact.payload(found), "ok": ok})
     good = [t for t in trace if t["ok"]]
-    template = lambda _, t: "\n".join(x["compact"] for x in t) or "There is no evidence to answer from."
+    template = lambda _, t: tool_calls.evidence(t) if t else "There is no evidence to answer from."
     return {"answer": (word or template)(question, good), "steps": len(trace), "tool_trace": trace}

@@ -21,7 +21,7 @@ def bound(raw: Column, upper: bool) -> Column:
     """A day, month or year as the begin (or, upper, the end) of what it names."""
     text = F.trim(raw)
     year = F.when(text.rlike(r"^\d{4}$"), F.try_to_date(F.concat(text, F.lit("-01-01")), "yyyy-MM-dd"))
-    month = F.when(text.rlike(r"^\d{4}-\d{2}$"), F.try_to_date(F.concat(text, F.lit("-01")), "yyyy-MM-dd"))
+    month = F.when(text.rlike(r"^\d{4}-\d{1,2}$"), F.try_to_date(F.concat(text, F.lit("-1")), "yyyy-M-d"))
     named = F.when(text.rlike(r"^[A-Za-z]{3,9} \d{4}$"), F.try_to_date(F.concat(F.lit("1 "), F.substring(text, 1, 3), F.right(text, F.lit(5))), "d MMM yyyy"))
     if upper:
         year, month, named = F.date_sub(F.add_months(year, 12), 1), F.last_day(month), F.last_day(named)
@@ -51,32 +51,6 @@ def numbers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), normal_number)
 
 
-def iso_dates(text: Column) -> Column:
-    """Days named in a text, as sorted ISO texts: 2019-06-05, 5 Jun 2019, Jun 5, 2019."""
-    iso = F.regexp_extract_all(text, F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0))
-    day_first = F.transform(F.regexp_extract_all(text, F.lit(r"\d{1,2} (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{4}"), F.lit(0)), lambda x: F.date_format(flexible_date(x), "yyyy-MM-dd"))
-    month_first = F.transform(F.regexp_extract_all(text, F.lit(r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}"), F.lit(0)), lambda x: F.date_format(flexible_date(x), "yyyy-MM-dd"))
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(iso, day_first, month_first))))
-
-
-def without_dates(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\d{4}-\d{2}-\d{2}", " "), r"\d{1,2} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{4}", " ")
-
-
-def numeric_check(expected: Column, answer: Column, tolerance: float = 0.02) -> Column:
-    """PASS if every date and number that is expected is matched, numbers within the tolerance; N/A if none is expected."""
-    as_double = lambda t: F.transform(numbers(without_dates(t)), lambda x: x.cast("double"))
-    want, have = as_double(expected), as_double(answer)
-    near = F.forall(want, lambda e: F.exists(have, lambda a: F.abs(e - a) <= tolerance + 1e-9))
-    dates = F.forall(iso_dates(expected), lambda e: F.array_contains(iso_dates(answer), e))
-    return F.when((F.size(want) == 0) & (F.size(iso_dates(expected)) == 0), "N/A").when(near & dates, "PASS").otherwise("FAIL")
-
-
-def hedged(answer: Column) -> Column:
-    """A hedge word with a digit soon behind it."""
-    return F.lower(answer).rlike(r"(about|around|approximately|roughly|nearly|almost)[\s\S]{0,40}?\d")
-
-
 def without_reasoning(text: Column) -> Column:
     """What stands between think tags goes, from the text's begin if the opening one is missing."""
     closed = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
@@ -89,11 +63,14 @@ def tool_calls(text: Column) -> Column:
     return F.transform(bodies, lambda b: F.struct(F.get_json_object(b, "$.name").alias("name"), F.get_json_object(b, "$.arguments").alias("arguments")))
 
 
-def cut_at_sentence(text: Column, budget: int, marker: str = " …") -> Column:
-    """At most budget characters, up to the last full stop of the second half if there is one."""
+def cut_at_sentence(text: Column, budget: int, marker: str = " [truncated]") -> Column:
+    """At most budget characters, up to the last end of a sentence in their second half: full stops before a space first, then ! and ?, then line ends."""
     head = F.substring(text, 1, budget)
-    stop = F.regexp_extract(head, rf"(?s)^(.{{{budget // 2},}}[.!?])", 1)
-    return F.when(F.length(text) <= budget, text).when(stop != "", F.concat(stop, F.lit(marker))).otherwise(F.concat(head, F.lit(marker)))
+    cut = F
+    for stop in (r"\. ", "! ", r"\? ", "\n"):
+        upto = F.regexp_extract(head, rf"(?s)^(.*){stop}", 1)  # greedy: the last one
+        cut = cut.when(F.length(upto) > budget * 0.5, F.substr(head, F.lit(1), F.length(upto) + 1))
+    return F.when(F.length(text) <= budget, text).otherwise(F.concat(F.regexp_replace(cut.otherwise(head), r"\s+$", ""), F.lit(marker)))
 
 
 def oxford(items: Column) -> Column:
@@ -106,9 +83,16 @@ def ranking(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(") "), x)), "; ")
 
 
+#: Items of which combinations() makes subsets, at most: 65,536 masks.
+MOST_ITEMS = 16
+
+
 def combinations(items: Column, low: int = 1, high: int = 4) -> Column:
-    """Subsets of up to a few items by bit mask; items are few (16 at most)."""
-    masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), F.least(F.size(items), F.lit(16))).cast("int") - 1), lambda m: F.bit_count(m).between(low, high))
+    """Subsets of low to high items by bit mask; more than MOST_ITEMS items are an error."""
+    n = F.size(items)
+    n = F.when(n > MOST_ITEMS, F.raise_error(F.concat(F.lit("too many items for subsets: "), n.cast("string"))).cast("int")).otherwise(n)
+    last = F.pow(F.lit(2), n).cast("int") - 1
+    masks = F.filter(F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>")), lambda m: F.bit_count(m).between(low, high))
     return F.transform(masks, lambda m: F.filter(items, lambda x, i: F.pmod(F.floor(m / F.pow(F.lit(2.0), i)), F.lit(2)) == 1))
 
 
@@ -126,20 +110,59 @@ def rounding_variants(x: Column) -> Column:
     return F.array_distinct(F.array(*[F.format_string(f"%.{n}f", x) for n in range(5)]))
 
 
-# Sector words, in the order in which they are tried.
-SECTORS = (("banks", "bank|lend|mortgage"), ("mining", "iron|ore|coal|mine"), ("energy", "oil|gas|energy"), ("retail", "retail|store|shop"), ("health", "health|drug|hospital"), ("property", "house|property|rent"), ("technology", "tech|software|data"))
+# Sectors and their words, in the order in which they are tried, and words of headlines that move markets.
+SECTORS = {
+    "travel": "travel|airline|qantas|tourism|flight|holiday",
+    "energy": "energy|oil|gas|petrol|crude|coal",
+    "banks": "bank|banks|banking|cba|nab|anz|westpac|lender",
+    "miners": "mining|miner|iron ore|bhp|rio tinto|resources",
+    "property": "property|housing|reit|real estate|mortgage",
+    "retail": "retail|consumer|shopper|sales",
+    "tech": "tech|technology|telco|telecom|nbn|software",
+}
+MARKET = "shares?|stocks?|market|asx|rally|slump|surge|plunge|investors?|profit|earnings|outlook|rates?|rba|dividend|guidance|forecast|selloff|rebound"
 
 
 def sector(headline: Column) -> Column:
+    """The first sector of which the headline holds a whole word."""
     found = F
-    for name, words in SECTORS:
-        found = found.when(F.lower(headline).rlike(words), name)
+    for name, words in SECTORS.items():
+        found = found.when(headline.rlike(rf"(?i)\b({words})\b"), name)
     return found.otherwise("broad")
 
 
+def market_relevant(headline: Column) -> Column:
+    return headline.rlike(rf"(?i)\b({MARKET})\b")
+
+
 def coarse(label: Column) -> Column:
     return F.when(label.isin("strong_positive", "positive"), "pos").when(label.isin("strong_negative", "negative"), "neg").otherwise("mix")
 
 
 def latency_factor(seconds: Column) -> Column:
-    return F.when(seconds <= 60, 1.0).when(seconds <= 300, 0.8).otherwise(0.0)
+    """What a response time leaves of the points: all up to a minute or where none was taken, four fifths up to five minutes, then none."""
+    return F.when(seconds.isNull() | (seconds <= 60), 1.0).when(seconds <= 300, 0.8).otherwise(0.0)
+
+
+def rate_percent(x: Column) -> Column:
+    return F.format_string("%.2f%%", x)
+
+
+def signed_points(x: Column) -> Column:
+    return F.format_string("%+.2f percentage points", x)
+
+
+def thousands(x: Column) -> Column:
+    return F.format_number(x.cast("bigint"), 0)
+
+
+def volume_text(x: Column) -> Column:
+    return F.format_string("%,.2f", x)
+
+
+def correlation_text(x: Column) -> Column:
+    return F.format_string("%.3f", x)
+
+
+def close_text(x: Column) -> Column:
+    return F.format_string("%.4f", x)

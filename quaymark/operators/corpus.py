@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.operators.ranks import running
+
 
 def mixed(key: Column, seed: int) -> Column:
     """A portable scramble of an integer key: any engine gets the same order from it."""
@@ -29,25 +31,23 @@ def first_per_bucket(rows: DataFrame, k: int, buckets: list[str], order: str) ->
 def interleave(examples: DataFrame) -> DataFrame:
     """Round robin: each category by tokens, categories by size, one of each in turn."""
     sizes = examples.groupBy("category").agg(F.count("*").alias("size"))
-    turn = F.row_number().over(Window.partitionBy("category").orderBy("tokens", "example_id"))
-    rows = examples.withColumn("turn", turn).join(F.broadcast(sizes), "category")
+    turns = running(examples.select("example_id", "category", "tokens"), ["category"], ["tokens", "example_id"], "turn")
+    rows = turns.join(F.broadcast(sizes), "category")
     return rows.withColumn("seat", F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("size"), "category"))).select("example_id", "category", "turn", "seat")
 
 
 def split_by_group(examples: DataFrame, val_rows: int, most: float = 0.2) -> DataFrame:
     """Whole groups go to validation, in a scrambled order of their keys, until val_rows or the fraction is reached."""
     groups = examples.groupBy("gold_key").agg(F.count("*").alias("n"), F.min("example_id").alias("lead"))
-    order = Window.orderBy(mixed(F.col("lead"), 17), "gold_key")  # a row a group
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = running(groups, [], [mixed(F.col("lead"), 17), "gold_key"], "upto", "n")
     total = groups.agg(F.sum("n").alias("total"))
-    placed = groups.withColumn("before", before).join(F.broadcast(total), F.lit(True))
+    placed = upto.withColumn("before", F.col("upto") - F.col("n")).join(F.broadcast(total), F.lit(True))
     chosen = placed.select("gold_key", F.when(F.col("before") < F.least(F.lit(float(val_rows)), F.col("total") * most), "val").otherwise("train").alias("split"))
     return examples.join(chosen, "gold_key").select("example_id", "gold_key", "split")
 
 
-def stratify(examples: DataFrame, target: int, shares: dict[str, float]) -> DataFrame:
-    """A scrambled sample by quota; what a category lacks is refilled by the largest shares, up to 1.5 times their quota."""
-    have = {r.category: r.n for r in examples.groupBy("category").agg(F.count("*").alias("n")).collect()}  # a row a category
+def quotas(have: dict[str, int], target: int, shares: dict[str, float]) -> dict[str, int]:
+    """How many of each category to take: its share, and where others lack some, more of the largest shares, up to 1.5 times their quota."""
     quota = {c: round(target * s) for c, s in shares.items()}
     take = {c: min(q, have.get(c, 0)) for c, q in quota.items()}
     short = target - sum(take.values())
@@ -55,9 +55,16 @@ def stratify(examples: DataFrame, target: int, shares: dict[str, float]) -> Data
         more = max(0, min(short, have.get(c, 0) - take[c], int(1.5 * quota[c]) - take[c]))
         take[c] += more
         short -= more
-    table = examples.sparkSession.createDataFrame([(c, n) for c, n in take.items()], "category string, quota int")
-    rows = examples.join(F.broadcast(table), "category").withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy(mixed(F.col("example_id"), 41), "example_id")))
-    return rows.where("nth <= quota").select("example_id", "category", "nth")
+    return take
+
+
+def stratify(examples: DataFrame, target: int, shares: dict[str, float]) -> DataFrame:
+    """A scrambled sample by quota; what a category lacks is refilled by the largest shares, up to 1.5 times their quota."""
+    wanted = examples.where(F.col("category").isin(*shares))
+    have = {r.category: r.n for r in wanted.groupBy("category").agg(F.count("*").alias("n")).collect()}  # a row a share
+    table = examples.sparkSession.createDataFrame(list(quotas(have, target, shares).items()), "category string, quota int")
+    rows = running(wanted.select("example_id", "category"), ["category"], [mixed(F.col("example_id"), 41), "example_id"], "nth")
+    return rows.join(F.broadcast(table), "category").where("nth <= quota").select("example_id", "category", "nth")
 
 
 def perturbation(key: Column, rate: int = 35) -> Column:
@@ -86,6 +93,15 @@ def drop_component(examples: DataFrame, blocks: str, components: str, key: str)
     return fit.withColumn(blocks, F.filter(blocks, lambda b, i: i != F.col("pick"))).withColumn(components, F.slice(components, F.lit(1), F.size(components) - 1))
 
 
+#: What an example says that has no evidence at all.
+NO_EVIDENCE = "The supplied data does not contain the evidence needed to answer this question, so no grounded answer can be given."
+
+
+def empty_trace(examples: DataFrame, blocks: str, components: str) -> DataFrame:
+    """Negatives without any evidence: no block, one component that says so, and that answer."""
+    return examples.withColumns({blocks: F.array().cast("array<string>"), components: F.array(F.lit("no grounded answer can be given")), "answer": F.lit(NO_EVIDENCE)})
+
+
 def plausible(variant: Column, original: Column, low: int = 15, high: int = 400) -> Column:
     """A paraphrase must have a fair length and keep every year of the original."""
     years = F.regexp_extract_all(original, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
@@ -104,6 +120,14 @@ def gates(split: DataFrame, examples: DataFrame, budget: int, prefix: int, least
     return sides.join(front, F.lit(True)).join(rest, F.lit(True))
 
 
+def holdout_gates(held: DataFrame, least: int) -> DataFrame:
+    """One row of booleans on rows (gold_key, split, category, answer): enough held-out rows, none of a group that is trained on, every category, and no empty answer."""
+    val = F.col("split") == "val"
+    groups = held.groupBy("gold_key").agg(F.count_distinct("split").alias("sides")).agg((F.max("sides") <= 1).alias("unseen"))
+    rows = held.agg((F.count_if(val) >= least).alias("enough"), (F.count_distinct(F.when(val, F.col("category"))) == F.count_distinct("category")).alias("every_category"), (F.count_if(val & (F.trim("answer") == "")) == 0).alias("answered"))
+    return rows.join(groups, F.lit(True)).select("enough", "unseen", "every_category", "answered")
+
+
 def quantiles(examples: DataFrame, value: str = "tokens") -> DataFrame:
     """Least, sorted[n // 2], sorted[0.95 n] and most, exact, by counting equal values: no list of all rows is made."""
     counts = examples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))

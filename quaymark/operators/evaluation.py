@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.operators.corpus import mixed
@@ -63,3 +63,14 @@ def yes_probability(logprobs: Column) -> Column:
     """P(yes) among the yes and no tokens of an array of (token, logprob)."""
     of = lambda word: F.aggregate(F.filter(logprobs, lambda x: F.lower(F.trim(x["token"])) == word), F.lit(0.0), lambda s, x: s + F.exp(x["logprob"]))
     return F.try_divide(of("yes"), of("yes") + of("no"))
+
+
+def grid(answers: DataFrame) -> DataFrame:
+    """A row for each arm and condition of answers (arm, condition, earned, components, words, hedged, ungrounded, leaked, misformatted, empty): scores and rates, and the median and the most of the words."""
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    cells = answers.groupBy("arm", "condition").agg(F.count("*").alias("n"), F.round(F.sum("earned") / F.sum("components"), 4).alias("score"), *[rate(c).alias(f"{c}_rate") for c in ("hedged", "ungrounded", "leaked", "misformatted", "empty")], F.max("words").alias("words_max"))
+    # sorted[n // 2], from counts of equal values.
+    counts = answers.groupBy("arm", "condition", "words").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("arm", "condition").orderBy("words").rowsBetween(Window.unboundedPreceding, 0)))
+    middle = upto.join(F.broadcast(cells.select("arm", "condition", "n")), ["arm", "condition"]).where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("arm", "condition").agg(F.min("words").alias("words_p50"))
+    return cells.join(middle, ["arm", "condition"])

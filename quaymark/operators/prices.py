@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quaymark.functions import dates
+
 SESSIONS_A_YEAR = 252
 
 
@@ -20,10 +22,10 @@ def pct(new: Column, old: Column) -> Column:
 
 
 def within(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    if start and end and start > end:
-        raise ValueError(f"the window begins at {start}, after its end {end}")
-    kept = bars if start is None else bars.where(F.col("day") >= F.lit(start).cast("date"))
-    return kept if end is None else kept.where(F.col("day") <= F.lit(end).cast("date"))
+    """Bars of the closed window, whose bounds may be days, months or years."""
+    low, high = dates.window(start, end)
+    kept = bars if low is None else bars.where(F.col("day") >= F.lit(low))
+    return kept if high is None else kept.where(F.col("day") <= F.lit(high))
 
 
 def universe(bars: DataFrame, tickers: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
@@ -129,7 +131,7 @@ def close_as_of(requests: DataFrame, bars: DataFrame, date_col: str = "requested
 def price_on_date(bars: DataFrame, day: str) -> DataFrame:
     """Every ticker's bar of a day, or the last one before; tickers with none are left out."""
     last = within(bars, end=day).groupBy("ticker").agg(F.max_by(F.struct("day", "open", "high", "low", "close", "volume"), "day").alias("bar"))
-    return last.select("ticker", "bar.*").withColumn("exact", F.col("day") == F.lit(day).cast("date")).withColumnRenamed("day", "used_day")
+    return last.select("ticker", "bar.*").withColumn("exact", F.col("day") == F.lit(dates.bound(day, upper=True))).withColumnRenamed("day", "used_day")
 
 
 def window_returns(bars: DataFrame, windows: DataFrame, start: str = "start", end: str = "end") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quaymark.functions import dates
+
 
 def _by_date() -> WindowSpec:
     return Window.orderBy("effective")  # decisions are a dimension: a row a month
@@ -16,11 +18,10 @@ def points(bp: Column) -> Column:
 
 
 def within(decisions: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows of the closed window; a bound that is missing doesn't bind."""
-    if start and end and start > end:
-        raise ValueError(f"the window begins at {start}, after its end {end}")
-    kept = decisions if start is None else decisions.where(F.col("effective") >= F.lit(start).cast("date"))
-    return kept if end is None else kept.where(F.col("effective") <= F.lit(end).cast("date"))
+    """Rows of the closed window, whose bounds may be days, months or years; a bound that is missing doesn't bind."""
+    low, high = dates.window(start, end)
+    kept = decisions if low is None else decisions.where(F.col("effective") >= F.lit(low))
+    return kept if high is None else kept.where(F.col("effective") <= F.lit(high))
 
 
 def coverage(decisions: DataFrame) -> DataFrame:
@@ -78,29 +79,26 @@ def open_streak(decisions: DataFrame) -> DataFrame:
 
 
 def as_of(requests: DataFrame, decisions: DataFrame, date_col: str = "requested") -> DataFrame:
-    """Requests with the decision in force: the last one on or before the date, never a later one; null before the first."""
-    rows = decisions.select(F.col("effective").alias("at"), F.lit(0).alias("side"), F.struct("effective", "target_bp").alias("row"), F.lit(None).cast("date").alias(date_col))
-    asked = requests.select(F.col(date_col).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), date_col)
-    held = F.last("row", ignorenulls=True).over(Window.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.union(asked).withColumn("held", held).where("side = 1").select(date_col, F.col("held.effective").alias("effective"), points(F.col("held.target_bp")).alias("target"))
+    """Requests with the decision in force: the last one on or before the date, never a later one; null before the first. Decisions are a dimension: their spans go to the requests, however many these are."""
+    spans = decisions.select("effective", points(F.col("target_bp")).alias("target"), F.lead("effective").over(_by_date()).alias("until"))
+    held = (F.col(date_col) >= F.col("effective")) & (F.col("until").isNull() | (F.col(date_col) < F.col("until")))
+    return requests.select(date_col).join(F.broadcast(spans), held, "left").select(date_col, "effective", "target")
 
 
 def next_change(requests: DataFrame, decisions: DataFrame, date_col: str = "requested") -> DataFrame:
     """Requests with the first change after the date."""
-    rows = decisions.where("change_bp <> 0").select(F.col("effective").alias("at"), F.lit(0).alias("side"), F.struct("effective", "change_bp").alias("row"), F.lit(None).cast("date").alias(date_col))
-    asked = requests.select(F.col(date_col).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), date_col)
-    # A change on the very date isn't after it: requests sort behind it only among later dates.
-    later = rows.union(asked).withColumn("order", F.when(F.col("side") == 1, 0).otherwise(1))
-    ahead = F.last("row", ignorenulls=True).over(Window.orderBy(F.desc("at"), "order").rowsBetween(Window.unboundedPreceding, 0))
-    return later.withColumn("found", ahead).where("side = 1").select(date_col, F.col("found.effective").alias("next_effective"), F.col("found.change_bp").alias("next_change_bp"))
+    moved = decisions.where("change_bp <> 0")
+    spans = moved.select(F.col("effective").alias("next_effective"), F.col("change_bp").alias("next_change_bp"), F.lag("effective").over(_by_date()).alias("since"))
+    ahead = (F.col(date_col) < F.col("next_effective")) & (F.col("since").isNull() | (F.col(date_col) >= F.col("since")))
+    return requests.select(date_col).join(F.broadcast(spans), ahead, "left").select(date_col, "next_effective", "next_change_bp")
 
 
 def period_summary(decisions: DataFrame, start: str, end: str) -> DataFrame:
     """Counts of the window, the rate before its first change (before its begin if it has none), at its end, and its first and last change."""
     first = within(decisions, start, end).where("change_bp <> 0").agg(F.min("effective").alias("first_change"), F.max("effective").alias("last_change"))
     total = within(decisions, start, end).agg(F.count("*").alias("records"), *_totals())
-    edge = F.coalesce("first_change", F.lit(start).cast("date"))
-    levels = decisions.join(F.broadcast(first), F.lit(True)).groupBy("first_change", "last_change").agg(F.max_by("target_bp", F.when(F.col("effective") < edge, F.col("effective"))).alias("before_bp"), F.max_by("target_bp", F.when(F.col("effective") <= F.lit(end).cast("date"), F.col("effective"))).alias("end_bp"))
+    edge = F.coalesce("first_change", F.lit(dates.bound(start)))
+    levels = decisions.join(F.broadcast(first), F.lit(True)).groupBy("first_change", "last_change").agg(F.max_by("target_bp", F.when(F.col("effective") < edge, F.col("effective"))).alias("before_bp"), F.max_by("target_bp", F.when(F.col("effective") <= F.lit(dates.bound(end, upper=True)), F.col("effective"))).alias("end_bp"))
     return total.join(levels, F.lit(True)).select("records", "changes", "increases", "decreases", "net_points", "first_change", "last_change", points(F.col("before_bp")).alias("rate_before"), points(F.col("end_bp")).alias("rate_end"))
 
 

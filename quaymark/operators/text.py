@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.functions import dates
+
 #: What isn't part of a word, the same in every engine.
 EDGE = r"[^\p{L}\p{N}_]"
 
@@ -27,35 +29,28 @@ def build_pattern(pattern: str | None = None, terms: Sequence[str] | str | None
 
 
 def literals(pattern: str) -> list[str] | None:
-    """One literal of each top-level alternative that every match must hold, or None where an alternative has none."""
-    found = []
-    for branch in split_alternatives(pattern):
-        bare = branch.removeprefix(f"(^|{EDGE})").removesuffix(f"({EDGE}|$)")
-        plain = re.sub(r"\\(\W)", r"\1", bare) if not re.search(r"\\[A-Za-z0-9]|(?<!\\)[\[\](){}.*+?^$|]", bare) else ""
-        if not plain:
-            return None
-        found.append(plain)
-    return found
-
-
-def split_alternatives(pattern: str) -> list[str]:
-    """The alternatives of the top level; escapes, classes and groups are left whole."""
-    parts, depth, inside, at, k = [], 0, False, 0, 0
-    while k < len(pattern):
-        c = pattern[k]
-        if c == "\\":
-            k += 1
-        elif inside:
-            inside = c != "]"
-        elif c == "[":
-            inside = True
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "|" and not depth:
-            parts.append(pattern[at:k])
-            at = k + 1
-        k += 1
-    return [*parts, pattern[at:]]
+    """Texts of which every match holds one, by Python's own reading of the pattern; None where that can't be told."""
+    try:
+        parsed = re._parser.parse(pattern.replace(EDGE, "[^_]"))
+    except (re.error, OverflowError):
+        return None
+    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return None
+
+    def longest(items) -> str:
+        """The longest run of plain characters among the items of a sequence."""
+        runs = [""]
+        for kind, value in items:
+            runs = [*runs[:-1], runs[-1] + chr(value)] if kind is re._constants.LITERAL else [*runs, ""]
+        return max(runs, key=len)
+
+    if whole := longest(parsed):
+        return [whole]
+    for kind, value in parsed:
+        if kind is re._constants.BRANCH:
+            found = [longest(branch) for branch in value[1]]
+            return found if all(found) else None
+    return None
 
 
 def matches(pattern: str, blob: str = "blob") -> Column:
@@ -70,13 +65,18 @@ def matches(pattern: str, blob: str = "blob") -> Column:
     return any_of & found
 
 
-def dated(articles: DataFrame, year: int | None = None, month: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Articles of a year, a month (of any year, if none is named) or a closed window; undated ones only if nothing is asked."""
-    day = F.col("publication")
-    for wanted, test in ((year, F.year(day) == year), (month, F.month(day) == month), (start, day >= F.lit(start).cast("date")), (end, day <= F.lit(end).cast("date"))):
+def _inside(year: int | None = None, month: int | None = None, start: str | None = None, end: str | None = None) -> Column:
+    """Whether an article is of a year, a month (of any year, if none is named) and a closed window; undated ones are only if nothing is asked."""
+    day, (low, high) = F.col("publication"), dates.window(start, end)
+    test = F.lit(True)
+    for wanted, asked in ((year, F.year(day) == year), (month, F.month(day) == month), (low, day >= F.lit(low)), (high, day <= F.lit(high))):
         if wanted is not None:
-            articles = articles.where(test)
-    return articles
+            test = test & F.coalesce(asked, F.lit(False))
+    return test
+
+
+def dated(articles: DataFrame, **asked) -> DataFrame:
+    return articles.where(_inside(**asked))
 
 
 def coverage(articles: DataFrame) -> DataFrame:
@@ -85,11 +85,7 @@ def coverage(articles: DataFrame) -> DataFrame:
 
 def count(articles: DataFrame, pattern: str, **filters) -> DataFrame:
     """Matches within the filters, and their share of the whole corpus, filtered or not."""
-    inside = F.lit(True)
-    day = F.col("publication")
-    for name, test in (("year", lambda v: F.year(day) == v), ("month", lambda v: F.month(day) == v), ("start", lambda v: day >= F.lit(v).cast("date")), ("end", lambda v: day <= F.lit(v).cast("date"))):
-        if filters.get(name) is not None:
-            inside = inside & F.coalesce(test(filters[name]), F.lit(False))
+    inside = _inside(**filters)
     return articles.agg(F.count_if(inside & matches(pattern)).alias("matches"), F.count("*").alias("total")).select("matches", "total", F.round(100.0 * F.col("matches") / F.nullif("total", F.lit(0)), 4).alias("share_pct"))
 
 
@@ -114,15 +110,26 @@ def normalise_headline(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+#: Length of the pieces by which parts of headlines find those that may hold them.
+PIECE = 3
+
+
 def find_headline(articles: DataFrame, requests: DataFrame) -> DataFrame:
-    """Articles for requests (wanted, day): exact normalised headline on the day, else on any day, else of those that hold it on the day; the first stage that finds some wins."""
-    named = articles.withColumn("norm", normalise_headline(F.col("headline")))
-    asked = requests.withColumn("want", normalise_headline(F.col("wanted")))
+    """Articles for requests (wanted, day): exact normalised headline on the day, else on any day, else of those that hold it on the day; the first stage that finds some wins. Only requests that are still open reach the last stage, and meet the day's headlines that share their first letters."""
+    named = articles.select("article_id", "publication", normalise_headline(F.col("headline")).alias("norm"))
+    asked = requests.select("wanted", "day").distinct().withColumn("want", normalise_headline(F.col("wanted")))
     exact = named.join(asked, F.col("norm") == F.col("want")).withColumn("stage", F.when(F.col("publication").eqNullSafe(F.col("day")), 1).otherwise(2))
-    part = named.join(asked.where("want <> ''"), (F.col("publication") == F.col("day")) & F.contains("norm", F.col("want"))).withColumn("stage", F.lit(3))
-    every = exact.unionByName(part)
-    best = every.withColumn("best", F.min("stage").over(Window.partitionBy("wanted", "day")))
-    return best.where("stage = best").select("wanted", "day", "stage", "article_id", "publication").distinct()
+    exact = exact.select("wanted", "day", "stage", "article_id", "publication")
+    best = exact.withColumn("best", F.min("stage").over(Window.partitionBy("wanted", "day"))).where("stage = best").drop("best")
+    open_ = asked.where("want <> '' and day is not null").join(exact.select("wanted", "day").distinct(), ["wanted", "day"], "left_anti")
+    starts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - PIECE + 1, F.lit(1))), lambda k: F.substr(c, k, F.lit(PIECE))))
+    long = open_.where(F.length("want") >= PIECE).withColumn("piece", F.substring("want", 1, PIECE))
+    days = named.join(F.broadcast(open_.select(F.col("day").alias("publication")).distinct()), "publication", "left_semi")  # a row a day
+    pieces = days.where(F.length("norm") >= PIECE).select("article_id", "publication", "norm", F.explode(starts(F.col("norm"))).alias("piece"))
+    part = pieces.join(long.withColumnRenamed("day", "publication"), ["publication", "piece"]).where(F.contains("norm", F.col("want")))
+    short = days.join(open_.where(F.length("want") < PIECE).withColumnRenamed("day", "publication"), "publication").where(F.contains("norm", F.col("want")))
+    last = part.select("wanted", F.col("publication").alias("day"), F.lit(3).alias("stage"), "article_id", "publication").union(short.select("wanted", F.col("publication").alias("day"), F.lit(3), "article_id", "publication"))
+    return best.union(last).distinct()
 
 
 def retrieve(articles: DataFrame, pattern: str | None = None, day: str | None = None, limit: int = 5, max_chars: int = 1000) -> DataFrame:
@@ -131,7 +138,7 @@ def retrieve(articles: DataFrame, pattern: str | None = None, day: str | None =
         raise ValueError("give a pattern or a day")
     chars = max(200, min(20_000, max_chars))
     found = articles if pattern is None else articles.where(matches(pattern))
-    found = found if day is None else found.where(F.col("publication") == F.lit(day).cast("date"))
+    found = found if day is None else found.where(F.col("publication") == F.lit(dates.bound(day, upper=True)))
     total = found.agg(F.count("*").alias("total"))
     top = found.orderBy("article_id").limit(max(1, limit))
     return top.join(F.broadcast(total), F.lit(True)).select("article_id", "publication", "total", F.substring("blob", 1, chars).alias("snippet"), (F.length("blob") > chars).alias("truncated"))

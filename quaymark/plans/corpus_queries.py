@@ -48,8 +48,9 @@ register("corpus_prefix_balance", _E + ", t AS (SELECT category, row_number() OV
 register("corpus_gates", _SPLIT + ", t AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY tokens, example_id) AS turn FROM examples) SELECT (SELECT max(n) <= 1 FROM (SELECT count(DISTINCT split) AS n FROM sp GROUP BY gold_key)) AS no_leak, (SELECT min(n) >= 6 FROM (SELECT count(*) AS n FROM t WHERE turn <= 40 GROUP BY category)) AS balanced, max(tokens) <= 1024 AS within_budget, count(*) FILTER (length(trim(answer)) = 0) = 0 AS answered FROM examples")(
     lambda s, d: C.gates(C.split_by_group(_x(s, d), VAL_ROWS), _x(s, d), BUDGET, 40, 6)
 )
-register("holdout_gates", _SPLIT + "SELECT count(*) AS held, count(*) FILTER (length(answer) > 0) AS with_components FROM sp JOIN examples USING (example_id) WHERE split = 'val'")(
-    lambda s, d: C.split_by_group(_x(s, d), VAL_ROWS).where("split = 'val'").join(_x(s, d).select("example_id", "answer"), "example_id").agg(F.count("*").alias("held"), F.count_if(F.length("answer") > 0).alias("with_components"))
+register("holdout_gates", _SPLIT + """, h AS (SELECT example_id, gold_key, split, category, answer FROM sp JOIN (SELECT example_id, category, answer FROM examples) USING (example_id))
+SELECT count(*) FILTER (split = 'val') >= 100 AS enough, (SELECT count(*) FROM (SELECT gold_key FROM h WHERE split = 'val' INTERSECT SELECT gold_key FROM h WHERE split = 'train')) = 0 AS unseen, count(DISTINCT category) FILTER (split = 'val') = count(DISTINCT category) AS every_category, count(*) FILTER (split = 'val' AND trim(answer) = '') = 0 AS answered FROM h""")(
+    lambda s, d: C.holdout_gates(C.split_by_group(_x(s, d), VAL_ROWS).join(_x(s, d).select("example_id", "category", "answer"), "example_id"), 100)
 )
 register("holdout_params", V.with_(V.BARS) + "SELECT ticker, year(day) AS year, ticker = '5-LOW' OR year(day) = 1999 AS held_out, count(*) AS n FROM bars GROUP BY ALL")(lambda s, d: V.bars(s, d).groupBy("ticker", F.year("day").alias("year")).agg(F.count("*").alias("n")).withColumn("held_out", (F.col("ticker") == "5-LOW") | (F.col("year") == 1999)))
 register("perturb_mix", _E + f", p AS (SELECT {_MIX.format('example_id', 99)} % 100 AS pick, {_MIX.format('example_id', 7)} % 100 AS gate FROM examples) SELECT CASE WHEN gate >= 35 THEN 'none' WHEN pick < 30 THEN 'coverage_probe' WHEN pick < 55 THEN 'distractor' WHEN pick < 75 THEN 'shuffle' WHEN pick < 90 THEN 'contradictory_duplicate' ELSE 'truncate' END AS kind, count(*) AS n FROM p GROUP BY 1")(lambda s, d: _x(s, d).groupBy(C.perturbation(F.col("example_id")).alias("kind")).agg(F.count("*").alias("n")))
@@ -58,19 +59,19 @@ register("perturb_mix", _E + f", p AS (SELECT {_MIX.format('example_id', 99)} %
 def _blocks(s, d):
     """Conversations as examples with a list of evidence blocks; ids and texts of their turns in order."""
     turns = V.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return turns.select("conv_id", F.transform("t", lambda x: F.coalesce(F.substring(x["text"], 1, 60), F.lit(""))).alias("blocks"), F.transform("t", lambda x: F.coalesce(x["role"], F.lit(""))).alias("components"))
+    return turns.select("conv_id", F.transform("t", lambda x: F.coalesce(x["text"], F.lit(""))).alias("blocks"), F.transform("t", lambda x: F.coalesce(x["role"], F.lit(""))).alias("components"))
 
 
-_BL = "bl AS (SELECT conv_id, list(substr(coalesce(text, ''), 1, 60) ORDER BY turn, role, text) AS blocks, list(coalesce(role, '') ORDER BY turn, role, text) AS components FROM conversations GROUP BY 1)"
-register("negatives", "WITH " + _BL + f", p AS (SELECT *, {_MIX.format('conv_id', 5)} % len(blocks) AS pick FROM bl WHERE len(blocks) >= 2) SELECT conv_id, array_to_string(list_concat(blocks[1:pick], blocks[pick + 2:]), '|') AS blocks, array_to_string(components[1:len(components) - 1], '|') AS components FROM p")(
-    lambda s, d: C.drop_component(_blocks(s, d), "blocks", "components", "conv_id").select("conv_id", F.array_join("blocks", "|").alias("blocks"), F.array_join("components", "|").alias("components"))
+_BL = "bl AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, role, text) AS blocks, list(coalesce(role, '') ORDER BY turn, role, text) AS components FROM conversations GROUP BY 1)"
+register("negatives", "WITH " + _BL + f", p AS (SELECT *, {_MIX.format('conv_id', 5)} % len(blocks) AS pick FROM bl WHERE len(blocks) >= 2) SELECT conv_id, sha256(array_to_string(list_concat(blocks[1:pick], blocks[pick + 2:]), '|')) AS blocks, array_to_string(components[1:len(components) - 1], '|') AS components FROM p")(
+    lambda s, d: C.drop_component(_blocks(s, d), "blocks", "components", "conv_id").select("conv_id", F.sha2(F.array_join("blocks", "|"), 256).alias("blocks"), F.array_join("components", "|").alias("components"))
 )
 register("perturb_blocks", "WITH " + _BL + f""", p AS (SELECT *, {_MIX.format('conv_id', 99)} % 100 AS pick, {_MIX.format('conv_id', 7)} % 100 AS gate FROM bl)
-SELECT conv_id, array_to_string(CASE WHEN gate >= 35 THEN blocks WHEN pick < 30 THEN list_concat(['coverage'], blocks) WHEN pick < 55 THEN list_concat(blocks, ['distractor']) WHEN pick < 75 THEN list_reverse(blocks) WHEN pick < 90 THEN list_concat(blocks, [blocks[1] || ' (revised)']) ELSE list_transform(blocks, lambda b: substr(b, 1, 40)) END, '|') AS blocks FROM p""")(
-    lambda s, d: _blocks(s, d).select("conv_id", F.array_join(C.perturb(F.col("blocks"), C.perturbation(F.col("conv_id")), F.lit("coverage"), F.lit("distractor")), "|").alias("blocks"))
+SELECT conv_id, sha256(array_to_string(CASE WHEN gate >= 35 THEN blocks WHEN pick < 30 THEN list_concat(['coverage'], blocks) WHEN pick < 55 THEN list_concat(blocks, ['distractor']) WHEN pick < 75 THEN list_reverse(blocks) WHEN pick < 90 THEN list_concat(blocks, [blocks[1] || ' (revised)']) ELSE list_transform(blocks, lambda b: substr(b, 1, 40)) END, '|')) AS blocks FROM p""")(
+    lambda s, d: _blocks(s, d).select("conv_id", F.sha2(F.array_join(C.perturb(F.col("blocks"), C.perturbation(F.col("conv_id")), F.lit("coverage"), F.lit("distractor")), "|"), 256).alias("blocks"))
 )
-register("evidence_conditions", "WITH " + _BL + ", c AS (SELECT conv_id, 'clean' AS condition, blocks FROM bl UNION ALL SELECT conv_id, 'noisy', list_concat(['noise'], blocks) FROM bl UNION ALL SELECT conv_id, 'insufficient', blocks[1:len(blocks) - 1] FROM bl UNION ALL SELECT conv_id, 'shuffled', list_reverse(blocks) FROM bl) SELECT conv_id, condition, array_to_string(blocks, '|') AS blocks FROM c")(
-    lambda s, d: _blocks(s, d).select("conv_id", F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.array_join(e, "|").alias("blocks")) for n, e in (("clean", F.col("blocks")), ("noisy", F.concat(F.array(F.lit("noise")), "blocks")), ("insufficient", F.slice("blocks", F.lit(1), F.size("blocks") - 1)), ("shuffled", F.reverse("blocks")))])).alias("x")).select("conv_id", "x.*")
+register("evidence_conditions", "WITH " + _BL + ", c AS (SELECT conv_id, 'clean' AS condition, blocks FROM bl UNION ALL SELECT conv_id, 'noisy', list_concat(['noise'], blocks) FROM bl UNION ALL SELECT conv_id, 'insufficient', blocks[1:len(blocks) - 1] FROM bl UNION ALL SELECT conv_id, 'shuffled', list_reverse(blocks) FROM bl) SELECT conv_id, condition, sha256(array_to_string(blocks, '|')) AS blocks FROM c")(
+    lambda s, d: _blocks(s, d).select("conv_id", F.explode(F.array(*[F.struct(F.lit(n).alias("condition"), F.sha2(F.array_join(e, "|"), 256).alias("blocks")) for n, e in (("clean", F.col("blocks")), ("noisy", F.concat(F.array(F.lit("noise")), "blocks")), ("insufficient", F.slice("blocks", F.lit(1), F.size("blocks") - 1)), ("shuffled", F.reverse("blocks")))])).alias("x")).select("conv_id", "x.*")
 )
 register("corpus_records", "SELECT conv_id, sha256(array_to_string(list(coalesce(role, '') || ': ' || coalesce(text, '') ORDER BY turn, role, text), chr(10))) AS record_sha256, count(*) AS messages FROM conversations GROUP BY 1")(
     lambda s, d: V.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select("conv_id", F.sha2(F.array_join(F.transform("t", lambda x: F.concat(F.coalesce(x["role"], F.lit("")), F.lit(": "), F.coalesce(x["text"], F.lit("")))), "\n"), 256).alias("record_sha256"), F.size("t").cast("bigint").alias("messages"))
@@ -92,8 +93,23 @@ register("gen_examples", V.with_(V.BARS) + """, ann AS (SELECT ticker, year, rou
 r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY return_pct DESC, ticker) AS u, row_number() OVER (PARTITION BY year ORDER BY return_pct, ticker DESC) AS v FROM ann),
 e AS (SELECT year, max(CASE WHEN u = 1 THEN printf('%s %.4f', ticker, return_pct) END) AS best, max(CASE WHEN v = 1 THEN printf('%s %.4f', ticker, return_pct) END) AS worst FROM r GROUP BY 1)
 SELECT year, 'Which ticker was best in ' || year || '?' AS question, best AS answer FROM e UNION ALL SELECT year, 'Which ticker was worst in ' || year || '?', worst FROM e UNION ALL SELECT year, 'Which ticker was best and worst in ' || year || '?', best || '; ' || worst FROM e""")(_generated)
-register("paraphrase_plausible", _E + r"SELECT example_id, length(question || ' please') BETWEEN 15 AND 400 AND len(list_filter(regexp_extract_all(question, '\b(?:19|20)\d{2}\b'), lambda y: NOT contains(question || ' please', y))) = 0 AS plausible FROM examples")(lambda s, d: _x(s, d).select("example_id", C.plausible(F.concat("question", F.lit(" please")), F.col("question")).alias("plausible")))
-register("span_grounded", _E + "SELECT example_id, contains(lower(substr(answer, 1, 500)), substr(lower(substr(answer, 450, 80)), 1, 60)) AS grounded FROM examples")(lambda s, d: _x(s, d).select("example_id", C.grounded(F.substring("answer", 450, 80), F.substring("answer", 1, 500)).alias("grounded")))
+register("negatives_empty", "SELECT conv_id, '' AS blocks, 'no grounded answer can be given' AS components, 'The supplied data does not contain the evidence needed to answer this question, so no grounded answer can be given.' AS answer FROM conversations GROUP BY 1")(
+    lambda s, d: C.empty_trace(_blocks(s, d), "blocks", "components").select("conv_id", F.array_join("blocks", "|").alias("blocks"), F.array_join("components", "|").alias("components"), "answer")
+)
+
+
+def _paraphrases(s, d):
+    """A question and a variant of it that keeps the year, loses it, changes it, or is too short."""
+    year = (F.lit(1990) + F.col("example_id") % 30).cast("string")
+    variants = [F.concat(F.lit("Tell me what the basket did in "), year), F.lit("Tell me what the basket did"), F.concat(F.lit("Tell me what the basket did in "), (F.lit(1991) + F.col("example_id") % 30).cast("string")), F.concat(year, F.lit("?"))]
+    variant = F.coalesce(*[F.when(F.col("example_id") % 4 == k, v) for k, v in enumerate(variants)])
+    return _x(s, d).select("example_id", C.plausible(variant, F.concat(F.lit("What happened to the basket in "), year, F.lit("?"))).alias("plausible"))
+
+
+register("paraphrase_plausible", "SELECT doc_id AS example_id, doc_id % 4 = 0 AS plausible FROM documents")(_paraphrases)
+register("span_grounded", _E + ", x AS (SELECT example_id, answer, CASE WHEN example_id % 3 = 0 THEN '' ELSE string_split(answer, chr(10))[-1] END || CASE WHEN example_id % 5 = 0 THEN ' #' ELSE '' END AS span FROM examples) SELECT example_id, contains(lower(answer), substr(lower(span), 1, 60)) AS grounded FROM x")(
+    lambda s, d: _x(s, d).select("example_id", C.grounded(F.concat(F.when(F.col("example_id") % 3 == 0, "").otherwise(F.element_at(F.split("answer", "\n", -1), -1)), F.when(F.col("example_id") % 5 == 0, " #").otherwise("")), F.col("answer")).alias("grounded"))
+)
 
 LABELS = ("strong_positive", "positive", "mixed", "negative", "strong_negative")
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quaymark.functions import scalars as S
+from quaymark.functions import compact
+from quaymark.functions import grading as G
+from quaymark.operators import corpus as C
 from quaymark.operators import evaluation as E
 from quaymark.operators import prices as P
 from quaymark.plans.catalogue import register
+from quaymark.sources import files
 from quaymark.sources import views as V
 
 _A = V.with_(V.ARMS)
@@ -15,26 +18,32 @@ _Q = _A + ", q AS (SELECT qid, arm, CAST(sum(points) AS BIGINT) AS earned, count
 _P = _Q + ", s AS (SELECT qid, arm, round(earned / components, 4) AS score FROM q), pr AS (SELECT a.qid, a.score AS a, b.score AS b, round(b.score - a.score, 4) AS diff FROM s a JOIN s b ON a.qid = b.qid AND a.arm = 'base' AND b.arm = 'tuned')"
 
 
+NOTE = "Counts and RBA values are exact; returns +/- 0.02; correlations allow +/- 0.001; closes allow +/- 0.0001; volume allows +/- 1 share."
+
+
 def _facts(s, d):
-    """A fact and an answer for each item: the answer is off by a few hundredths, sometimes hedged, sometimes without the date."""
-    off = (F.pmod(F.col("item_id") * 13, F.lit(7)) - 3) / 100.0
-    value = F.pmod(F.col("item_id") * 37, F.lit(1000)) / 10.0
-    day = F.date_add(F.lit("2019-01-01").cast("date"), F.pmod(F.col("item_id") * 11, F.lit(365)).cast("int"))
-    fact = F.format_string("return of %.2f%% on %s", value, F.date_format(day, "yyyy-MM-dd"))
-    answer = F.concat(F.when(F.col("item_id") % 5 == 0, "about ").otherwise("it was "), F.format_string("%.2f%%", value + off), F.when(F.col("item_id") % 6 == 0, "").otherwise(F.concat(F.lit(" on "), F.date_format(day, "yyyy-MM-dd"))))
-    return V.table(s, d, "benchmark").select("item_id", (F.col("item_id") % 12).alias("qid"), fact.alias("fact"), answer.alias("answer"), (F.pmod(F.col("item_id") * 7, F.lit(10)) < 8).alias("judged"))
-
-
-_F = """f AS (SELECT item_id, item_id % 12 AS qid, (item_id * 37 % 1000) / 10.0 AS value, ((item_id * 13) % 7 - 3) / 100.0 AS off, strftime(DATE '2019-01-01' + CAST(item_id * 11 % 365 AS INTEGER), '%Y-%m-%d') AS day, (item_id * 7) % 10 < 8 AS judged FROM benchmark),
-g AS (SELECT *, printf('return of %.2f%% on %s', value, day) AS fact, CASE WHEN item_id % 5 = 0 THEN 'about ' ELSE 'it was ' END || printf('%.2f%%', value + off) || CASE WHEN item_id % 6 = 0 THEN '' ELSE ' on ' || day END AS answer FROM f),
-n AS (SELECT *, [CAST(replace(x, ',', '') AS DOUBLE) FOR x IN regexp_extract_all(regexp_replace(fact, '\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '-?\\d[\\d,]*(?:\\.\\d+)?')] AS want, [abs(CAST(replace(x, ',', '') AS DOUBLE)) FOR x IN regexp_extract_all(regexp_replace(answer, '\\d{4}-\\d{2}-\\d{2}', ' ', 'g'), '-?\\d[\\d,]*(?:\\.\\d+)?')] AS have FROM g),
-c AS (SELECT item_id, qid, judged, CASE WHEN len(list_filter(want, lambda e: len(list_filter(have, lambda a: abs(e - a) <= 0.02 + 1e-9)) = 0)) = 0 AND contains(answer, day) THEN 'PASS' ELSE 'FAIL' END AS numeric, regexp_matches(lower(answer), '(about|around|approximately|roughly|nearly|almost)[\\s\\S]{0,40}?\\d') AS hedged FROM n),
+    """A fact, an answer and a tolerance note for each item, of six kinds of numbers: the answer is off by so many steps of the kind, sometimes hedged, sometimes without the date, and every seventh note declares nothing."""
+    i = F.col("item_id")
+    kind, off = i % 6, F.pmod(i * 13, F.lit(7)) - 3
+    value = F.pmod(i * 37, F.lit(1000)) / 10.0 + 1
+    day = F.date_add(F.lit("2019-01-01").cast("date"), F.pmod(i * 11, F.lit(365)).cast("int"))
+    steps = {0: (0.015, "the basket's return was %.3f%%"), 1: (0.0007, "a correlation of %.4f"), 2: (0.00007, "the closing price of %.5f"), 3: (0.7, "an average volume of %,.2f shares"), 4: (1.0, "%.0f changes in all"), 5: (0.01, "a cash rate of %.2f%%")}
+    said = lambda shift: F.coalesce(*[F.when(kind == k, F.format_string(text, (F.floor(value) if k == 4 else value) + shift * step)) for k, (step, text) in steps.items()])
+    dated = F.when(i % 4 == 1, F.concat(F.lit(" in "), F.date_format(day, "MMM yyyy"))).otherwise(F.concat(F.lit(" on "), F.date_format(day, "d MMM yyyy")))
+    answer = F.concat(F.when(i % 5 == 0, "roughly, ").otherwise("it was "), said(off), F.when(F.floor(i / 6) % 5 == 0, "").otherwise(F.concat(F.lit(" on "), F.date_format(day, "yyyy-MM-dd"))))
+    note = F.when(i % 7 == 0, "").otherwise(NOTE)
+    return V.table(s, d, "benchmark").select("item_id", (i % 12).alias("qid"), F.concat(said(F.lit(0)), dated).alias("fact"), answer.alias("answer"), note.alias("note"), (F.pmod(i * 7, F.lit(10)) < 8).alias("judged"))
+
+
+# What the rules say of those answers, without reading them: steps of a kind within its tolerance, a date that is named, a hedge.
+_F = """f AS (SELECT item_id, item_id % 12 AS qid, item_id % 6 AS kind, (item_id * 13) % 7 - 3 AS off, (item_id * 7) % 10 < 8 AS judged FROM benchmark),
+c AS (SELECT item_id, qid, judged, CASE WHEN (item_id // 6) % 5 = 0 THEN 'FAIL' WHEN off = 0 THEN 'PASS' WHEN item_id % 7 = 0 OR kind IN (4, 5) THEN 'FAIL' WHEN abs(off) <= 1 THEN 'PASS' ELSE 'FAIL' END AS numeric, item_id % 5 = 0 AS hedged FROM f),
 graded AS (SELECT *, judged AND numeric <> 'FAIL' AS strict, judged <> (numeric = 'PASS') AS disagree FROM c)
-""".replace("\\\\", "\\")
+"""
 
 
 def _graded(s, d):
-    rows = _facts(s, d).select("item_id", "qid", "judged", S.numeric_check(F.col("fact"), F.col("answer")).alias("numeric"), S.hedged(F.col("answer")).alias("hedged"))
+    rows = _facts(s, d).select("item_id", "qid", "judged", G.numeric_check(F.col("fact"), F.col("answer"), F.col("note")).alias("numeric"), G.hedged(F.col("answer")).alias("hedged"))
     return rows.select("*", (F.col("judged") & (F.col("numeric") != "FAIL")).alias("strict"), ((F.col("numeric") != "N/A") & (F.col("judged") != (F.col("numeric") == "PASS"))).alias("disagree"))
 
 
@@ -81,9 +90,8 @@ register("verdict_from_logprobs", "WITH p AS (SELECT item_id, exp(-(item_id % 5
 
 def _traces(s, d):
     each = V.table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("calls"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
-    place = F.expr("row_number() over (order by chars, conv_id)") - 1  # a row a trace
-    n = each.agg(F.count("*").alias("n"))
-    return each.withColumn("place", place).join(F.broadcast(n), F.lit(True)).agg(F.count("*").alias("traces"), F.round(F.avg("calls"), 4).alias("mean_calls"), F.max(F.when(F.col("place") == F.floor(F.col("n") / 2), F.col("chars"))).alias("p50_chars"), F.max("chars").alias("max_chars"))
+    middle = C.quantiles(each, "chars").select(F.col("p50").alias("p50_chars"), F.col("most").alias("max_chars"))
+    return each.agg(F.count("*").alias("traces"), F.round(F.avg("calls"), 4).alias("mean_calls")).join(middle, F.lit(True))
 
 
 register("trace_stats", "WITH e AS (SELECT conv_id, count(*) AS calls, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM conversations GROUP BY 1), l AS (SELECT list(chars ORDER BY chars) AS c FROM e) SELECT count(*) AS traces, round(avg(calls), 4) AS mean_calls, (SELECT c[len(c) // 2 + 1] FROM l) AS p50_chars, max(chars) AS max_chars FROM e")(_traces)
@@ -98,8 +106,58 @@ register("recent_telemetry", "WITH l AS (SELECT *, row_number() OVER (ORDER BY t
 register("answer_metrics_summary", V.with_(V.EXAMPLES) + r"""SELECT category, count(*) AS n, round(avg(CAST(length(trim(answer)) = 0 AS INTEGER)), 4) AS empty_rate, round(avg(CAST(regexp_matches(answer, '(?i)<think>') AS INTEGER)), 4) AS leaked_rate, max(length(answer)) AS max_chars FROM examples GROUP BY 1""")(
     lambda s, d: V.examples(s, d).groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg((F.length(F.trim("answer")) == 0).cast("int")), 4).alias("empty_rate"), F.round(F.avg(F.col("answer").rlike("(?i)<think>").cast("int")), 4).alias("leaked_rate"), F.max(F.length("answer")).cast("bigint").alias("max_chars"))
 )
-register("numbers_missing", "SELECT count(*) AS items, count(*) FILTER (len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: x NOT IN ('1', '2', '3', '4', '5'))) > 0) AS ungrounded FROM documents")(
-    lambda s, d: V.table(s, d, "documents").agg(F.count("*").alias("items"), F.count_if(F.size(F.array_except(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), F.array(*[F.lit(str(k)) for k in range(1, 6)]))) > 0).alias("ungrounded"))
+
+
+def _dialogues(s, d):
+    """Of each conversation the last turn as an answer, and all others as its evidence."""
+    turns = V.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    texts = F.transform("t", lambda x: F.coalesce(x["text"], F.lit("")))
+    return turns.select("conv_id", texts.alias("texts")).select("conv_id", F.concat(F.lit("1) "), F.element_at("texts", -1), (F.col("conv_id") % 3).cast("string"), F.lit(".250 of 1,0"), F.lpad((F.col("conv_id") % 100).cast("string"), 2, "0")).alias("answer"), F.slice("texts", F.lit(1), F.size("texts") - 1).alias("evidence"))
+
+
+_NORMAL = "CASE WHEN replace({0}, ',', '') = '' THEN '0' WHEN contains({0}, '.') THEN regexp_replace(regexp_replace(ltrim(replace({0}, ',', ''), '+-'), '0+$', ''), '\\.$', '') ELSE ltrim(replace({0}, ',', ''), '+-') END"
+_DIALOGUES = r"""t AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, role, text) AS texts FROM conversations GROUP BY 1),
+dl AS (SELECT conv_id, '1) ' || texts[len(texts)] || (conv_id % 3) || '.250 of 1,0' || lpad(CAST(conv_id % 100 AS VARCHAR), 2, '0') AS answer, texts[1:len(texts) - 1] AS evidence FROM t),
+ev AS (SELECT DISTINCT conv_id, """ + _NORMAL.format("tok") + r""" AS n FROM (SELECT conv_id, unnest(regexp_extract_all(body, '[-+]?\d[\d,]*(?:\.\d+)?')) AS tok FROM (SELECT conv_id, unnest(evidence) AS body FROM dl))),
+kn AS (SELECT conv_id, n FROM ev UNION SELECT conv_id, """ + _NORMAL.format("v") + r""" FROM (SELECT conv_id, unnest([printf('%.0f', CAST(n AS DOUBLE)), printf('%.1f', CAST(n AS DOUBLE)), printf('%.2f', CAST(n AS DOUBLE)), printf('%.3f', CAST(n AS DOUBLE)), printf('%.4f', CAST(n AS DOUBLE))]) AS v FROM ev)),
+tk AS (SELECT conv_id, answer, raw, """ + _NORMAL.format("raw") + r""" AS n FROM (SELECT conv_id, answer, unnest(regexp_extract_all(answer, '[-+]?\d[\d,]*(?:\.\d+)?')) AS raw FROM dl)),
+un AS (SELECT conv_id, count(*) AS ungrounded FROM tk WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.conv_id = tk.conv_id AND kn.n = tk.n) AND NOT (n IN ('1', '2', '3', '4', '5') AND regexp_matches(answer, '(?m)(?:^|[;\s])' || regexp_escape(raw) || '[).:]\s')) GROUP BY 1)
+"""
+register("numbers_missing", "WITH " + _DIALOGUES + "SELECT conv_id, CAST(coalesce(ungrounded, 0) AS BIGINT) AS ungrounded FROM dl LEFT JOIN un USING (conv_id)")(
+    lambda s, d: _dialogues(s, d).select("conv_id", F.size(G.ungrounded(F.col("answer"), F.col("evidence"))).cast("bigint").alias("ungrounded"))
+)
+_BEGINS = ("<think>so", "Okay, so", "Use ```", '{ "a": 1', "Hmm. tool_trace", "about 5")
+_FLAGS = r"""SELECT conv_id, turn, regexp_matches(body, '(?im)<think>|</think>|thinking process|let me (?:think|check|work|see)|^\s*(?:step \d|first,? i|okay,? so|hmm)|i need to (?:find|check|look)|the user (?:is asking|wants)|based on the tool results?,? i') AS leaked,
+ regexp_matches(body, '(?im)DOMAIN_PREDICT_MODE|mock-fallback|tool_trace|query_data\(|dataset_coverage\(|\[\d+\]\s+(?:query_data|retrieve|dataset_coverage)|```|^\s*\{\s*["'']|Verified tool results') AS misformatted FROM (SELECT conv_id, turn, CASE conv_id % 7 WHEN 0 THEN '<think>so' WHEN 1 THEN 'Okay, so' WHEN 2 THEN 'Use ```' WHEN 3 THEN '{ "a": 1' WHEN 4 THEN 'Hmm. tool_trace' WHEN 5 THEN 'about 5' ELSE '' END || ' ' || coalesce(text, '') AS body FROM conversations)"""
+register("answer_flags", _FLAGS)(
+    lambda s, d: V.table(s, d, "conversations").withColumn("body", F.concat_ws(" ", F.coalesce(*[F.when(F.col("conv_id") % 7 == k, F.lit(b)) for k, b in enumerate(_BEGINS)], F.lit("")), F.coalesce("text", F.lit("")))).select("conv_id", "turn", G.leaked(F.col("body")).alias("leaked"), G.misformatted(F.col("body")).alias("misformatted"))
+)
+
+
+def _cells(s, d):
+    """Answers of two arms under four conditions, with their signals."""
+    text = F.col("answer")
+    rows = _dialogues(s, d).withColumn("answer", F.when(F.col("conv_id") % 11 == 0, " ").otherwise(text))
+    return rows.select(
+        F.when(F.col("conv_id") % 2 == 0, "base").otherwise("tuned").alias("arm"), F.element_at(F.array(*[F.lit(c) for c in ("clean", "noisy", "insufficient", "shuffled")]), (F.floor(F.col("conv_id") / 2) % 4 + 1).cast("int")).alias("condition"),
+        (F.col("conv_id") % 4).alias("earned"), F.lit(3).alias("components"), F.regexp_count(text, F.lit(r"\S+")).cast("bigint").alias("words"), G.hedged(text).alias("hedged"), (F.size(G.ungrounded(text, F.col("evidence"))) > 0).alias("ungrounded"),
+        G.leaked(text).alias("leaked"), G.misformatted(text).alias("misformatted"), (F.trim(text) == "").alias("empty"),
+    )
+
+
+register("arm_condition_grid", "WITH " + _DIALOGUES + r""", a AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE answer END AS answer, CASE WHEN conv_id % 11 = 0 THEN 0 ELSE coalesce(ungrounded, 0) END AS ung FROM dl LEFT JOIN un USING (conv_id)),
+x AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS arm, ['clean', 'noisy', 'insufficient', 'shuffled'][conv_id // 2 % 4 + 1] AS condition, conv_id % 4 AS earned, len(regexp_extract_all(answer, '\S+')) AS words, ung > 0 AS u, trim(answer) = '' AS e,
+ regexp_matches(answer, '(?is)(approximately|roughly|about|around|circa|some|nearly|almost|just over|just under|in the region of|or so|give or take|ballpark|estimated|an estimated|close to|upwards of|north of|south of).{0,39}[0-9]') AS h,
+ regexp_matches(answer, '(?im)<think>|</think>|thinking process|let me (?:think|check|work|see)|^\s*(?:step \d|first,? i|okay,? so|hmm)|i need to (?:find|check|look)|the user (?:is asking|wants)|based on the tool results?,? i') AS l,
+ regexp_matches(answer, '(?im)DOMAIN_PREDICT_MODE|mock-fallback|tool_trace|query_data\(|dataset_coverage\(|\[\d+\]\s+(?:query_data|retrieve|dataset_coverage)|```|^\s*\{\s*["'']|Verified tool results') AS m FROM a)
+SELECT arm, condition, count(*) AS n, round(sum(earned) / (3 * count(*)), 4) AS score, round(avg(CAST(h AS INTEGER)), 4) AS hedged_rate, round(avg(CAST(u AS INTEGER)), 4) AS ungrounded_rate, round(avg(CAST(l AS INTEGER)), 4) AS leaked_rate, round(avg(CAST(m AS INTEGER)), 4) AS misformatted_rate, round(avg(CAST(e AS INTEGER)), 4) AS empty_rate, max(words) AS words_max, list(words ORDER BY words)[count(*) // 2 + 1] AS words_p50 FROM x GROUP BY 1, 2""")(lambda s, d: E.grid(_cells(s, d)))
+register("component_screen", """WITH f AS (SELECT item_id, (item_id * 13) % 7 - 3 AS off, item_id % 6 AS kind, (item_id // 6) % 5 = 0 AS undated FROM benchmark)
+SELECT item_id, off = 0 AND NOT undated AS numbers_told FROM f WHERE kind IN (4, 5) AND item_id % 4 <> 1""")(
+    # Of these kinds only the number, the day and the year are numbers; days are written as in the fact for the screening.
+    lambda s, d: _facts(s, d).where("item_id % 6 in (4, 5) and item_id % 4 <> 1").select("item_id", (F.size(G.screened(F.col("fact"), F.concat(F.col("answer"), F.when(F.floor(F.col("item_id") / 6) % 5 == 0, "").otherwise(F.regexp_extract("fact", r" on( \d+ \w+ \d+)$", 1))))["missing"]) == 0).alias("numbers_told"))
+)
+register("lookup_missing", "SELECT doc_id, 'found' AS status FROM documents JOIN labels USING (doc_id) UNION ALL SELECT DISTINCT doc_id, 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(
+    lambda s, d: (lambda found, missing: found.select("doc_id", F.lit("found").alias("status")).union(missing.select("doc_id", F.lit("missing"))))(*files.lookup(V.table(s, d, "documents").select("doc_id"), V.table(s, d, "labels"), "doc_id", "doc_id"))
 )
 
 
@@ -111,17 +169,16 @@ def _stats(s, d):
 
 
 register("load_stats", V.with_(V.BARS) + "SELECT count(*) AS records, min(day) AS first_day, max(day) AS last_day, (SELECT array_to_string(list_sort(list(DISTINCT n)), ',') FROM (SELECT count(*) AS n FROM bars GROUP BY ticker)) AS rows_by_ticker FROM bars")(_stats)
-register("scan_reconcile", "SELECT source, count(*) AS loaded, count(DISTINCT doc_id) AS expected, count(*) = count(DISTINCT doc_id) AS reconciled FROM documents GROUP BY 1")(
-    lambda s, d: V.table(s, d, "documents").groupBy("source").agg(F.count("*").alias("loaded"), F.count_distinct("doc_id").alias("expected")).withColumn("reconciled", F.col("loaded") == F.col("expected"))
+register("scan_reconcile", "WITH e AS (SELECT source, count(*) AS expected FROM documents SEMI JOIN labels USING (doc_id) WHERE source IS NOT NULL GROUP BY 1 UNION ALL SELECT 'a source without rows', 7), l AS (SELECT source, count(*) AS loaded FROM documents WHERE source IS NOT NULL GROUP BY 1) SELECT source, coalesce(loaded, 0) AS loaded, coalesce(expected, 0) AS expected, coalesce(loaded, 0) = coalesce(expected, 0) AS agrees FROM e FULL JOIN l USING (source)")(
+    # The labelled rows of each source stand in for a summary of what should have been loaded.
+    lambda s, d: (lambda docs: files.reconcile(docs, docs.join(V.table(s, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").groupBy("source").agg(F.count("*").alias("rows")).union(s.createDataFrame([("a source without rows", 7)], "source string, rows bigint")), "source"))(V.table(s, d, "documents").where("source is not null"))
 )
 
 
 def _compact(s, d):
-    """Ranked rows as text, columns that never change named once before them."""
-    rows = P.volume_stats(V.bars(s, d))
-    line = F.concat_ws(" | ", F.col("rank").cast("string"), "ticker", F.format_string("%.2f", "mean_volume"))
-    constant = F.when(F.count_distinct("days") == 1, F.concat(F.lit("days="), F.max("days").cast("string"))).otherwise("days vary")
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("table"), constant.alias("constants"))
+    """The ranked volumes as text, a column that never changes named once; a row a ticker comes to the driver."""
+    rows = P.volume_stats(V.bars(s, d)).orderBy("rank").select("rank", "ticker", F.col("total_volume").cast("bigint").alias("total"), F.lit("shares").alias("counted_in"))
+    return s.createDataFrame([(compact.table("volume", [r.asDict() for r in rows.collect()]),)], "rendered string")
 
 
-register("compact_render", V.with_(V.BARS) + ", v AS (SELECT ticker, count(*) AS days, round(avg(volume), 2) AS m FROM bars GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, ticker) AS rank FROM v) SELECT string_agg(rank || ' | ' || ticker || ' | ' || printf('%.2f', m), chr(10) ORDER BY rank) AS \"table\", CASE WHEN count(DISTINCT days) = 1 THEN 'days=' || max(days) ELSE 'days vary' END AS constants FROM r")(_compact)
+register("compact_render", V.with_(V.BARS) + ", v AS (SELECT ticker, CAST(round(sum(volume), 2) AS BIGINT) AS total, round(avg(volume), 2) AS m FROM bars GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, ticker) AS rank FROM v) SELECT 'volume: ' || count(*) || ' rows; counted_in = shares' || chr(10) || 'rank' || chr(9) || 'ticker' || chr(9) || 'total' || chr(10) || string_agg(rank || chr(9) || ticker || chr(9) || total, chr(10) ORDER BY rank) AS rendered FROM r")(_compact)

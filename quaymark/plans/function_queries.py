@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaymark.functions import grading as G
 from quaymark.functions import scalars as S
 from quaymark.plans.catalogue import register
 from quaymark.sources import views as V
@@ -30,15 +31,11 @@ def _bounds(s, d):
 
 register("fn_parse_bound", "WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders) SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN date_trunc('year', day) WHEN 3 THEN day ELSE date_trunc('month', day) END AS DATE) AS low, CAST(CASE o_orderkey % 4 WHEN 0 THEN date_trunc('year', day) + INTERVAL 1 YEAR - INTERVAL 1 DAY WHEN 3 THEN day ELSE last_day(day) END AS DATE) AS high FROM o")(_bounds)
 register("fn_reference_dates", "SELECT o_orderkey, strftime(o_orderdate, '%-d %b %Y') AS day_text, strftime(o_orderdate, '%b %Y') AS month_text, last_day(CAST(o_orderdate AS DATE)) AS month_end FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", S.reference_day(F.col("day")).alias("day_text"), S.reference_month(F.col("day")).alias("month_text"), F.last_day("day").alias("month_end")))
-register("fn_number_formats", "SELECT o_orderkey, printf('%+.2f%%', o_totalprice) AS signed_pct, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS thousands FROM orders")(lambda s, d: _orders(s, d).select("o_orderkey", S.signed_percent(F.col("o_totalprice")).alias("signed_pct"), F.format_number(F.floor("o_totalprice"), 0).alias("thousands")))
 register("fn_normal_number", r"WITH t AS (SELECT o_orderkey, replace(printf('%.3f', o_totalprice), '-', '') AS x FROM orders) SELECT o_orderkey, regexp_replace(regexp_replace(x, '0+$', ''), '\.$', '') AS normal FROM t")(lambda s, d: _orders(s, d).select("o_orderkey", S.normal_number(F.format_string("+%,.3f", F.col("o_totalprice"))).alias("normal")))
 register("fn_rounding_variants", "SELECT o_orderkey, array_to_string(list_distinct([printf('%.0f', x)]) || [printf('%.1f', x), printf('%.2f', x), printf('%.3f', x), printf('%.4f', x)], ',') AS variants FROM (SELECT o_orderkey, floor(o_totalprice) + 0.0 AS x FROM orders)")(lambda s, d: _orders(s, d).select("o_orderkey", F.array_join(S.rounding_variants(F.floor("o_totalprice").cast("double")), ",").alias("variants")))
 _T = V.with_(V.EXAMPLES)
-register("fn_sector", _T + "SELECT example_id, CASE " + " ".join(f"WHEN regexp_matches(lower(question), '{w}') THEN '{n}'" for n, w in S.SECTORS) + " ELSE 'broad' END AS sector FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.sector(F.col("question")).alias("sector")))
-register("fn_hedged", _T + r"SELECT example_id, regexp_matches(lower(answer), '(about|around|approximately|roughly|nearly|almost)[\s\S]{0,40}?\d') AS hedged FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.hedged(F.col("answer")).alias("hedged")))
 register("fn_token_estimate", _T + r"SELECT example_id, CAST(len(regexp_extract_all(answer, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) + 12 AS BIGINT) AS tokens FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.token_estimate(F.col("answer")).cast("bigint").alias("tokens")))
 register("fn_word_counts", _T + r"SELECT example_id, CASE WHEN trim(answer) = '' THEN 0 ELSE len(regexp_extract_all(answer, '\S+')) END AS words, length(answer) AS chars FROM examples")(lambda s, d: V.examples(s, d).select("example_id", F.regexp_count("answer", F.lit(r"\S+")).cast("bigint").alias("words"), F.length("answer").cast("bigint").alias("chars")))
-register("fn_cut_at_sentence", _T + r"SELECT example_id, CASE WHEN length(answer) <= 120 THEN answer WHEN regexp_extract(substr(answer, 1, 120), '(?s)^(.{60,}[.!?])', 1) <> '' THEN regexp_extract(substr(answer, 1, 120), '(?s)^(.{60,}[.!?])', 1) || ' …' ELSE substr(answer, 1, 120) || ' …' END AS cut FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.cut_at_sentence(F.col("answer"), 120).alias("cut")))
 register("fn_gold_key", _T + "SELECT example_id, substr(sha1(concat_ws('|', category, gold_key, 'a|b|' || category)), 1, 16) AS key FROM examples WHERE category > 'b'")(lambda s, d: V.examples(s, d).where("category > 'b'").select("example_id", S.gold_key(F.col("category"), F.col("gold_key"), F.array(F.col("category"), F.lit("b"), F.lit("a"))).alias("key")))
 register("fn_list_joiners", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' and x' ELSE n_name || ', x, and y' END AS oxford, CASE n_nationkey % 3 WHEN 0 THEN '1) ' || n_name WHEN 1 THEN '1) ' || n_name || '; 2) x' ELSE '1) ' || n_name || '; 2) x; 3) y' END AS ranking FROM nation")(
     lambda s, d: (lambda items: V.table(s, d, "nation").select("n_nationkey", S.oxford(items).alias("oxford"), S.ranking(items).alias("ranking")))(F.slice(F.array("n_name", F.lit("x"), F.lit("y")), F.lit(1), (F.col("n_nationkey") % 3 + 1).cast("int")))
@@ -52,7 +49,34 @@ register("fn_reasoning_strip", "SELECT conv_id, turn, trim(coalesce(text, '')) A
 register("fn_tool_calls", "SELECT conv_id, turn, 'count' AS name, '{\"year\":' || turn || '}' AS arguments FROM conversations")(
     lambda s, d: V.table(s, d, "conversations").select("conv_id", "turn", F.inline(S.tool_calls(F.concat(F.lit('so <tool_call>{"name": "count", "arguments": {"year":'), F.col("turn").cast("string"), F.lit("}}"), F.when(F.col("turn") % 2 == 0, "</tool_call> done").otherwise("")))))
 )
-register("fn_iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dates FROM orders")(
-    lambda s, d: _orders(s, d).select("o_orderkey", F.array_join(S.iso_dates(F.concat(F.lit("from "), F.date_format("day", "d MMM yyyy"), F.lit(" or "), F.date_format("day", "MMM d, yyyy"), F.lit(", 12 of them"))), ",").alias("dates"))
+register("fn_number_formats", "SELECT o_orderkey, printf('%+.2f%%', o_totalprice) AS signed_pct, printf('%.2f%%', o_totalprice) AS rate, printf('%+.2f percentage points', o_totalprice) AS points, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS thousands, format('{:,.2f}', CAST(o_totalprice AS DOUBLE)) AS volume, printf('%.3f', floor(o_totalprice) / 8) AS corr, printf('%.4f', o_totalprice) AS close FROM orders")(
+    lambda s, d: _orders(s, d).select("o_orderkey", S.signed_percent(F.col("o_totalprice")).alias("signed_pct"), S.rate_percent(F.col("o_totalprice")).alias("rate"), S.signed_points(F.col("o_totalprice")).alias("points"), S.thousands(F.floor("o_totalprice")).alias("thousands"), S.volume_text(F.col("o_totalprice")).alias("volume"), S.correlation_text(F.floor("o_totalprice") / 8).alias("corr"), S.close_text(F.col("o_totalprice")).alias("close"))
 )
-register("fn_latency_factor", "SELECT event_id, CASE WHEN value <= 60 THEN 1.0 WHEN value <= 300 THEN 0.8 ELSE 0.0 END::DOUBLE AS factor FROM events")(lambda s, d: V.table(s, d, "events").select("event_id", S.latency_factor(F.col("value")).alias("factor")))
+
+# Headlines of known sector and relevance, with words that only look like a sector's; the SQL names the outcome of each.
+_HEADLINES = "Qantas cuts flights and shares slump|Crude oil surges|Lender posts profit|BHP lifts iron ore output|Real estate agents wait|Shopper mood turns, says store owner|Telecom outage ends|More stores open before the calendar ends|A banker lends an oilier hand|Minerva resources rally|Nothing about marketing"
+_SECTORS = "travel|energy|banks|miners|property|retail|tech|broad|broad|miners|broad"
+_RELEVANT = "1|0|1|0|0|0|0|0|0|1|0"
+_HEAD = f"WITH h AS (SELECT n_nationkey, CAST(n_nationkey % 11 + 1 AS INTEGER) AS k FROM nation) SELECT n_nationkey, string_split('{_SECTORS}', '|')[k] AS sector, string_split('{_RELEVANT}', '|')[k] = '1' AS relevant FROM h"
+
+
+def _headlines(s, d):
+    headline = F.element_at(F.split(F.lit(_HEADLINES), r"\|"), (F.col("n_nationkey") % 11 + 1).cast("int"))
+    return V.table(s, d, "nation").select("n_nationkey", S.sector(headline).alias("sector"), S.market_relevant(headline).alias("relevant"))
+
+
+register("fn_sector", _HEAD)(_headlines)
+register("market_headlines", V.with_(V.ARTICLES) + r"SELECT article_id FROM articles WHERE publication IS NOT NULL AND regexp_matches('the ' || headline || CASE article_id % 5 WHEN 0 THEN ' outlook' WHEN 1 THEN ' rates' WHEN 2 THEN ' rated' ELSE '' END, '(?i)\b(shares?|stocks?|market|asx|rally|slump|surge|plunge|investors?|profit|earnings|outlook|rates?|rba|dividend|guidance|forecast|selloff|rebound)\b')")(
+    lambda s, d: V.articles(s, d).where(F.col("publication").isNotNull() & S.market_relevant(F.concat(F.lit("the "), "headline", F.when(F.col("article_id") % 5 == 0, " outlook").when(F.col("article_id") % 5 == 1, " rates").when(F.col("article_id") % 5 == 2, " rated").otherwise("")))).select("article_id")
+)
+register("fn_hedged", _T + r"SELECT example_id, regexp_matches(CASE WHEN example_id % 3 = 0 THEN 'Close to ' ELSE '' END || answer, '(?is)(approximately|roughly|about|around|circa|some|nearly|almost|just over|just under|in the region of|or so|give or take|ballpark|estimated|an estimated|close to|upwards of|north of|south of).{0,39}[0-9]') AS hedged FROM examples")(lambda s, d: V.examples(s, d).select("example_id", G.hedged(F.concat(F.when(F.col("example_id") % 3 == 0, "Close to ").otherwise(""), "answer")).alias("hedged")))
+register("fn_cut_at_sentence", _T + r"""SELECT example_id, CASE WHEN length(answer) <= 120 THEN answer ELSE regexp_replace(CASE
+ WHEN length(regexp_extract(head, '(?s)^(.*)\. ', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)\. ', 1)) + 1)
+ WHEN length(regexp_extract(head, '(?s)^(.*)! ', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)! ', 1)) + 1)
+ WHEN length(regexp_extract(head, '(?s)^(.*)\? ', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)\? ', 1)) + 1)
+ WHEN length(regexp_extract(head, '(?s)^(.*)\n', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)\n', 1)) + 1)
+ ELSE head END, '\s+$', '') || ' [truncated]' END AS cut FROM (SELECT *, substr(answer, 1, 120) AS head FROM examples)""")(lambda s, d: V.examples(s, d).select("example_id", S.cut_at_sentence(F.col("answer"), 120).alias("cut")))
+register("fn_iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ',' || strftime(o_orderdate + INTERVAL 1 YEAR, '%Y-%m') AS dates FROM orders")(
+    lambda s, d: _orders(s, d).select("o_orderkey", F.array_join(G.dates(F.concat(F.lit("from "), F.date_format("day", "d MMMM yyyy"), F.lit(" or "), F.date_format("day", "MMM d, yyyy"), F.lit(", 12 of them, until "), F.date_format(F.add_months("day", 12), "MMM yyyy"), F.lit(", that is "), F.date_format(F.add_months("day", 12), "yyyy-MM"))), ",").alias("dates"))
+)
+register("fn_latency_factor", "SELECT event_id, CAST(CASE WHEN event_id % 10 = 0 THEN 1 WHEN value * 4 > 300 THEN 0 WHEN value * 4 > 60 THEN 0.8 ELSE 1 END AS DOUBLE) AS factor FROM events")(lambda s, d: V.table(s, d, "events").select("event_id", S.latency_factor(F.when(F.col("event_id") % 10 != 0, F.col("value") * 4)).alias("factor")))

@@ -28,7 +28,8 @@ _RANK = _ANN + """, r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER B
 SELECT *, CASE WHEN rank = 1 THEN 'best' WHEN rank = max(rank) OVER (PARTITION BY year) THEN 'worst' ELSE 'between' END AS place FROM r"""
 register("rank_annual_returns", _B + _RANK)(lambda s, d: P.rank_annual_returns(V.bars(s, d)))
 register("basket_exclude", _B.replace("FROM orders", "FROM orders WHERE o_orderpriority <> '5-LOW'") + _RANK)(lambda s, d: P.rank_annual_returns(P.universe(V.bars(s, d), exclude=LEFT_OUT)))
-register("basket_tickers", _B + "SELECT ticker, ticker <> '5-LOW' AS in_basket FROM (SELECT DISTINCT ticker FROM bars)")(lambda s, d: V.bars(s, d).select("ticker").distinct().withColumn("in_basket", ~F.col("ticker").isin(list(LEFT_OUT))))
+register("basket_tickers", _B + "SELECT DISTINCT ticker FROM bars WHERE ticker <> '5-LOW'")(lambda s, d: P.universe(V.bars(s, d), exclude=LEFT_OUT).select("ticker").distinct())
+register("price_window_words", _B + "SELECT ticker, count(*) AS days FROM bars WHERE day BETWEEN DATE '1996-01-01' AND DATE '1997-03-31' GROUP BY 1")(lambda s, d: P.within(V.bars(s, d), "1996", "Mar 1997").groupBy("ticker").agg(F.count("*").alias("days")))
 register("full_sample_return", _B + """, f AS (SELECT ticker, n_bars, round((l / f - 1) * 100, 4) AS return_pct FROM (SELECT ticker, count(*) AS n_bars, arg_min(close, day) AS f, arg_max(close, day) AS l FROM bars GROUP BY 1) WHERE n_bars >= 2)
 SELECT *, row_number() OVER (ORDER BY return_pct DESC, ticker) AS rank FROM f""")(lambda s, d: P.full_sample_returns(V.bars(s, d)))
 register("basket_return", _B + _ANN + " SELECT year, count(*) AS constituents, round(avg(return_pct), 4) AS basket_pct FROM ann GROUP BY 1")(lambda s, d: P.basket_returns(V.bars(s, d)))

@@ -57,3 +57,10 @@ def _side(name: str, window: tuple[str, str]) -> str:
 
 
 register("rate_compare_periods", _D + f"SELECT one_changes, one_points, one_stance, other_changes, other_points, other_stance, CAST(one_bp - other_bp AS BIGINT) AS difference_bp FROM ({_side('one', ONE)}), ({_side('other', OTHER)})")(lambda s, d: R.compare_periods(V.decisions(s, d), ONE, OTHER))
+
+
+# Date words stand for their whole periods; the SQL spells them out.
+register("rate_count_words", _D + """SELECT 'year' AS asked, count(*) AS records FROM decisions WHERE effective BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' UNION ALL SELECT 'month', count(*) FROM decisions WHERE effective BETWEEN DATE '1997-06-01' AND DATE '1997-06-30'
+UNION ALL SELECT 'months', count(*) FROM decisions WHERE effective BETWEEN DATE '1996-02-01' AND DATE '1997-06-30' UNION ALL SELECT 'days', count(*) FROM decisions WHERE effective BETWEEN DATE '1996-02-01' AND DATE '1997-06-01'""")(
+    lambda s, d: (lambda x: R.count(x, "1996", "1996").select(F.lit("year").alias("asked"), "records").union(R.count(x, "Jun 1997", "June 1997").select(F.lit("month"), "records")).union(R.count(x, "1996-02", "Jun. 1997").select(F.lit("months"), "records")).union(R.count(x, "1 Feb 1996", "June 1, 1997").select(F.lit("days"), "records")))(V.decisions(s, d))
+)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaymark.functions.scalars import flexible_date
+from quaymark.session import stored
 
 PRICE_SCHEMA = "ticker string, date string, open double, high double, low double, close double, volume double"
 ARTICLE_SCHEMA = "HEADLINE string, SUBHEAD string, INTRO string, TEXT string, PUBLICATIONDATE string"
@@ -76,9 +77,26 @@ def write_flat(examples: DataFrame, path: str) -> None:
 
 
 def computed(wanted: DataFrame, cache: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Get or compute: all wanted keys with their values, and the new rows to add to the cache. Only keys that the cache lacks are computed."""
+    """Get or compute: all wanted keys with their values, and the new rows to add to the cache. Only keys that the cache lacks are computed, once: what was computed is a table of the shared folder. Of several rows of a key the greatest, by columns in order, counts."""
     misses = wanted.select(key).distinct().join(cache.select(key), key, "left_anti")
-    fresh = compute(misses)
-    known = cache.unionByName(fresh)
-    latest = known.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("n = 1").drop("n")
-    return wanted.join(latest, key), fresh
+    fresh = stored(compute(misses), "computed")
+    rest = [c for c in cache.columns if c != key]
+    known = cache.unionByName(fresh).groupBy(key).agg(F.max(F.struct(*rest)).alias("row")).select(key, *[F.col("row")[c].alias(c) for c in rest])
+    return wanted.join(known, key), fresh
+
+
+def lookup(wanted: DataFrame, records: DataFrame, key: str, record_key: str) -> tuple[DataFrame, DataFrame]:
+    """The wanted rows with their records, and the distinct keys that have none."""
+    found = wanted.join(records.withColumnRenamed(record_key, key) if record_key != key else records, key)
+    missing = wanted.select(key).distinct().join(records.select(F.col(record_key).alias(key)), key, "left_anti")
+    return found, missing
+
+
+def write_report(cells: DataFrame, path: str, title: str) -> None:
+    """A report of a few cells (a row an arm and condition): a folder with JSON records, and one with a markdown table."""
+    cells.coalesce(1).write.mode("errorifexists").json(f"{path}/json")
+    names = cells.columns
+    row = lambda texts: F.concat(F.lit("| "), F.concat_ws(" | ", *texts), F.lit(" |"))
+    head = cells.sparkSession.createDataFrame([(0, f"# {title}"), (1, ""), (2, "| " + " | ".join(names) + " |"), (3, "|" + "---|" * len(names))], "n int, value string")
+    body = cells.select(F.lit(4).alias("n"), row([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]).alias("value"))
+    head.union(body).coalesce(1).sortWithinPartitions("n", "value").select("value").write.mode("errorifexists").text(f"{path}/markdown")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quaymark.functions import compact
+from quaymark.functions import calls, compact
 from quaymark.sources import files as S
 
 
@@ -47,4 +47,40 @@ def test_sinks_cache_and_compact(spark, tmp_path):
     wanted, cache = spark.createDataFrame([("a",), ("b",), ("a",)], "k string"), spark.createDataFrame([("a", 1)], "k string, v int")
     got, fresh = S.computed(wanted, cache, "k", lambda d: d.withColumn("v", F.lit(7)))
     assert sorted((r.k, r.v) for r in got.collect()) == [("a", 1), ("a", 1), ("b", 7)] and fresh.count() == 1
-    assert compact.payload({"unit": "x", "n": 2.50001, "rows": [{"a": 1, "b": None}, {"a": 1, "b": True}]}) == "n=2.5\nrows (2) a=1\nb\nnull\ntrue"
+    assert compact.payload({"unit": "x", "n": 2.50001, "rows": [{"a": 1, "b": None}, {"a": 1, "b": True}]}) == "n = 2.5\nrows: 2 rows; a = 1\nb\nnull\ntrue"
+    long = compact.payload({"tickers": [f"T{k}" for k in range(1000)], "by": {str(k): k for k in range(1000)}})
+    assert all(f'"T{k}"' in long and f'"{k}": {k}' in long for k in range(1000))
+    assert compact.payload({}) == "" and compact.table("x", [{"a": 1.0}, {"b": "t"}]) == "x: 2 rows\na\tb\n1\tnull\nnull\tt"
+
+
+def test_computed_once_lookup_and_report(spark, tmp_path):
+    wanted, cache = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double")
+    got, fresh = S.computed(wanted, cache, "k", lambda d: d.withColumn("v", F.rand()))
+    assert {r.k: r.v for r in got.collect()} == {"a": 2.0, "b": fresh.first().v}
+    found, missing = S.lookup(wanted, cache.withColumnRenamed("k", "name"), "k", "name")
+    assert found.count() == 2 and [r.k for r in missing.collect()] == ["b"]
+    S.write_report(spark.createDataFrame([("base", 0.5), ("tuned", None)], "arm string, score double"), str(tmp_path / "r"), "Arms")
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r/markdown")).collect()]
+    assert lines == ["# Arms", "", "| arm | score |", "|---|---|", "| base | 0.5 |", "| tuned |  |"] and spark.read.json(str(tmp_path / "r/json")).count() == 2
+
+
+def test_questions_and_evidence(spark, tmp_path):
+    question = {"id": "q1", "difficulty": "easy", "dataset_scope": "rates", "grading": {"tolerance_note": "+/- 0.02", "components": [{"component_id": "a", "expected_fact": "f", "points": 2}, {"component_id": "b", "expected_fact": "g", "points": 1}]}}
+    got = S.questions_jsonl(spark, put(tmp_path / "q.jsonl", json.dumps(question) + "\n")).collect()
+    assert [(r.id, r.component_id, r.points, r.tolerance_note) for r in got] == [("q1", "a", 2.0, "+/- 0.02"), ("q1", "b", 1.0, "+/- 0.02")]
+    put(tmp_path / "e/q1.clean.json", json.dumps({"qid": "q1", "prompt": "p", "tool_trace": [{"tool": "t", "args": {"year": "2019"}, "result": "r", "compact": "c", "ok": True}]}, indent=1))
+    put(tmp_path / "e/q1.noisy.json", json.dumps({"qid": "q1", "prompt": "n"}))
+    (row,) = S.frozen_evidence(spark, str(tmp_path / "e")).collect()
+    assert (row.prompt, row.tool_trace[0].args) == ("p", {"year": "2019"})
+
+
+def test_calls_in_text():
+    call = "<function=count>\n<parameter=dataset>\nrates\n</parameter>\n<parameter=year>2018</parameter><parameter=exclude>[\"A\"]</parameter><parameter=flag>False</parameter><parameter=pattern>\\bword\\b</parameter>\n</function>"
+    want = ("count", {"dataset": "rates", "year": 2018, "exclude": ["A"], "flag": False, "pattern": "\\bword\\b"})
+    assert calls.found(call) == [want] == calls.found(f"so <tool_call>{call}</tool_call>")
+    assert calls.found(f"<tool_call>{call}</tool_call> <tool_call>\n<function=coverage>\n</function></tool_call>") == [want, ("coverage", {})]
+    assert calls.found('<tool_call>{"name": "r", "arguments": {"year": 2019}}</tool_call>') == [("r", {"year": 2019})] == calls.found('<tool_call>{"name": "r", "arguments": "{\\"year\\": 2019}"}')
+    assert calls.found("<tool_call><function=x><parameter=a>\nb\n</parameter>") == [("x", {"a": "b"})]
+    assert calls.found("All evidence is there.") == calls.found("") == calls.found(None) == calls.found("<tool_call>{broken</tool_call>") == []
+    assert calls.evidence([]) == "No tool results were gathered."
+    assert calls.evidence([{"tool": "t", "args": {"a": 1}, "compact": "x"}, {"tool": "u", "result": {"n": 2}}]) == '[1] t({"a": 1})\nx\n\n[2] u({})\nn = 2'

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quaymark.functions import dates, grading
+from quaymark.functions import scalars as S
 from quaymark.operators import corpus as C
 from quaymark.operators import evaluation as E
 from quaymark.operators import prices as P
@@ -98,7 +100,6 @@ def test_literals_are_in_every_match(words):
 
     pattern = T.build_pattern(terms=words, whole_word=False) if any(w.strip() for w in words) else "a"
     held = T.literals(pattern)
-    assert len(T.split_alternatives(pattern)) >= 1
     for w in words:
         if w.strip():
             assert re.search(pattern, w.strip().lower())
@@ -114,6 +115,10 @@ def test_corpus(spark):
     assert split.groupBy("gold_key").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     assert 5 <= split.where("split = 'val'").count() <= 8
     assert C.quantiles(rows).first()[:] == (0, 20, 38, 39)
+    with pytest.raises(Exception, match="too many items"):
+        rows.select(S.combinations(F.array(*[F.lit(str(k)) for k in range(17)]))).collect()
+    assert len(rows.select(S.combinations(F.array(*[F.lit(str(k)) for k in range(16)]), 1, 2).alias("c")).first().c) == 16 + 120
+    assert rows.select(S.combinations(F.array().cast("array<string>")).alias("c")).first().c == []
     assert [r.n for r in C.stratify(rows, 30, {"a": 0.8, "b": 0.2}).groupBy("category").agg(F.count("*").alias("n")).orderBy("category").collect()] == [20, 9]
     votes = spark.createDataFrame([(1, 0, "x", "p"), (1, 1, "y", "p"), (1, 2, "y", "p"), (2, 0, "x", "p"), (2, 1, "z", "n"), (2, 2, "x", "p"), (3, 0, "x", "p")], "k int, position int, label string, coarse string")
     assert [tuple(r) for r in C.vote(votes, "k").collect()] == [(1, "y", 3)]
@@ -127,3 +132,80 @@ def test_paired(spark):
     many = spark.createDataFrame([(k, 0.0, 1.0, 1.0 if k % 2 else -1.0) for k in range(24)], "qid bigint, a double, b double, diff double")
     assert E.sign_flip(many, trials=500).first()[:] == (500, 1.0)
     assert E.bootstrap(few, 200).first()[:] == (1.0, 1.0)
+
+
+def test_literals():
+    whole = T.build_pattern(terms=["rate rise", "bank"])
+    assert T.literals(whole) == ["rate rise", "bank"]
+    assert T.literals("a(bc|d)efg[hi]") == ["efg"] and T.literals(r"ab\.c|x+yz") == ["ab.c", "yz"]
+    assert T.literals("(a|b)") is None and T.literals("(?i)abc") is None and T.literals("ab|[cd]") is None and T.literals("(") is None
+
+
+def test_running_sums_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from quaymark.operators.ranks import running
+
+    rows = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.lit("hot")).alias("k"), (F.col("id") * 7919 % 13).alias("v"))
+    got = {r.id: r.upto for r in running(rows, ["k"], ["v", "id"], "upto", "v").collect()}
+    want, sums = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (r.v, r.id)):
+        want[r.id] = sums[r.k] = sums.get(r.k, 0) + r.v
+    assert got == want
+    assert running(rows.limit(0), ["k"], ["v", "id"], "upto").count() == 0
+
+
+def test_stratify_against_brute_force(spark):
+    from quaymark.plans.corpus_queries import SHARES
+    from quaymark.sources import views as V
+
+    examples = V.examples(spark, "/root/testdata/sf0.001").select("example_id", "category")
+    got = sorted((r.category, r.nth, r.example_id) for r in C.stratify(examples, 150, SHARES).collect())
+    by = {}
+    for r in examples.collect():
+        by.setdefault(r.category, []).append(r.example_id)
+    quota = {c: round(150 * s) for c, s in SHARES.items()}
+    take = {c: min(len(by.get(c, [])), quota[c]) for c in quota}
+    for c in sorted(quota, key=lambda c: (-SHARES[c], c)):
+        while sum(take.values()) < 150 and take[c] < len(by.get(c, [])) and take[c] < int(1.5 * quota[c]):
+            take[c] += 1
+    order = lambda k: ((k % 2147483647 * 1103515245 + 41) % 2147483647, k)
+    assert got == sorted((c, n, k) for c in take for n, k in enumerate(sorted(by.get(c, []), key=order)[: take[c]], 1))
+
+
+@pytest.mark.parametrize(("raw", "low", "high"), [("2019", "2019-01-01", "2019-12-31"), ("2020-2", "2020-02-01", "2020-02-29"), ("Feb. 2020", "2020-02-01", "2020-02-29"), ("September 2019", "2019-09-01", "2019-09-30"), ("5 Jun 2019", "2019-06-05", "2019-06-05"), ("Jun 5, 2019", "2019-06-05", "2019-06-05"), ("20190605", "2019-06-05", "2019-06-05"), ("05/06/2019", "2019-06-05", "2019-06-05"), (" 2019-6-5 ", "2019-06-05", "2019-06-05")])
+def test_date_words(raw, low, high):
+    assert (dates.bound(raw), dates.bound(raw, upper=True)) == (D(low), D(high))
+
+
+def test_date_words_that_name_nothing():
+    for bad in ("", "soon", "2019-13-01", "31 Feb 2019", "12", "201906"):
+        with pytest.raises(ValueError):
+            dates.bound(bad)
+    with pytest.raises(ValueError):
+        dates.window("2020", "2019")
+
+
+def test_grading(spark):
+    from pyspark.sql import functions as F
+
+    note = "Returns +/- 0.02; correlations allow +/- 0.001; closes allow +/- 0.0001; volume allows +/- 1 share."
+    cases = [
+        ("returned 22.17% on 5 Jun 2019", "22.19 per cent, 2019-06-05", note, "PASS"), ("returned 22.17%", "22.20%", note, "FAIL"), ("returned 22.17%", "22.18%", "", "FAIL"),
+        ("the cash rate is 1.50%", "1.51%", note, "FAIL"), ("up 0.25 percentage points", "0.26", note, "FAIL"), ("correlation of 0.5120", "0.5125", note, "PASS"), ("closing at 10.1234", "10.1236", note, "FAIL"),
+        ("volume of 1,000,000 shares", "1000000.9", note, "PASS"), ("41 changes", "there were 41", note, "PASS"), ("41 changes", "42", note, "FAIL"), ("in Jun 2019", "on 7 June 2019", note, "PASS"), ("in 2019-06", "Jun 2019", note, "PASS"),
+        ("on 7 Jun 2019", "in Jun 2019", note, "FAIL"), ("it rose", "yes 5", note, "N/A"), ("-3.5%", "-3.5", note, "PASS"), ("-3.5%", "3.5", note, "FAIL"),
+    ]
+    rows = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(cases)], "k int, fact string, answer string, note string")
+    got = {r.k: r.v for r in rows.select("k", grading.numeric_check(F.col("fact"), F.col("answer"), F.col("note")).alias("v")).collect()}
+    assert got == {k: c[3] for k, c in enumerate(cases)}
+    texts = [("1) A 12.30%; 2) B 1,774 and 0.5", ["12.2999", "1774 or 0.50"], []), ("it was 7, not 8.", ["7.0"], ["8"]), ("-82.45% of 5", ["-82.4531"], ["5"]), ("5) x", [], [])]
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "k int, answer string, texts array<string>, want array<string>")
+    assert all(r.got == r.want for r in rows.select("want", grading.ungrounded(F.col("answer"), F.col("texts")).alias("got")).collect())
+    flags = spark.createDataFrame([("about 5", True, False, False), ("about " + "x" * 60 + " 5", False, False, False), ("Hmm, let me see", False, True, False), ("a ```b``` 3", False, False, True), ("the data", False, False, False)], "a string, h boolean, l boolean, m boolean")
+    for r in flags.select("*", grading.hedged(F.col("a")).alias("h2"), grading.leaked(F.col("a")).alias("l2"), grading.misformatted(F.col("a")).alias("m2")).collect():
+        assert (r.h, r.l, r.m) == (r.h2, r.l2, r.m2), r.a
+    one = spark.createDataFrame([("BHP rose 5% in 2019", "bhp had 5 percent", "shares fell")], "f string, a string, b string")
+    got = one.select(grading.screened(F.col("f"), F.col("a")).alias("x"), grading.screened(F.lit("the market rally"), F.col("b")).alias("y")).first()
+    assert got.x.missing == ["2019"] and not got.x.likely and got.y.coverage == 0.0 and not got.y.likely
+    assert [r.v for r in spark.createDataFrame([(None,), (60.0,), (61.0,), (301.0,)], "s double").select(S.latency_factor(F.col("s")).alias("v")).collect()] == [1.0, 1.0, 0.8, 0.0]
