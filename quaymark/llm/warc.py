@@ -201,12 +201,14 @@ def read_bundles(bundles: DataFrame, payloads: bool = True) -> DataFrame:
 
 def fetch(bundles: DataFrame, wanted: DataFrame | None = None, id_col: str = "record_id", payloads: bool = True) -> DataFrame:
     """The records with the ids of wanted (all without it), by their frame-relative offsets: only frames that hold one are decompressed. payloads=False checks payloads but leaves them out."""
-    places = index(bundles)
-    if wanted is not None:
-        (key,) = fresh(wanted, "wanted_id")
-        places = places.join(wanted.select(F.col(id_col).cast("string").alias(key)).distinct(), F.col("record_id") == F.col(key), "left_semi")
     # The places of a bundle are at most its records, which bundle_bytes bounds.
-    places = places.groupBy("bundle").agg(F.collect_list(F.struct("frame", "at")).alias("places"))
+    if wanted is None:
+        sought = bundles.select("bundle", "content", F.transform("entries", lambda e: F.struct(e["frame"].alias("frame"), e["at"].alias("at"))).alias("places"))
+    else:
+        (key,) = fresh(wanted, "wanted_id")
+        ids = wanted.select(F.col(id_col).cast("string").alias(key)).distinct()
+        places = index(bundles).join(ids, F.col("record_id") == F.col(key), "left_semi").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("frame", "at"))).alias("places"))
+        sought = bundles.select("bundle", "content").join(places, "bundle").select("bundle", "content", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -227,7 +229,7 @@ def fetch(bundles: DataFrame, wanted: DataFrame | None = None, id_col: str = "re
                     rows.append(row | {"bundle": bundle.as_py(), "frame": k, "at": place["at"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
-    return bundles.select("bundle", "content").join(places, "bundle").select("bundle", "content", F.array_sort("places").alias("places")).mapInArrow(run, RECORD_SCHEMA)
+    return sought.mapInArrow(run, RECORD_SCHEMA)
 
 
 def export_files(bundles: DataFrame, folder: str) -> DataFrame:

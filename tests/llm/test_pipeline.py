@@ -50,3 +50,24 @@ def test_run(spark):
     assert [name for name, _ in P.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "encoding"]
     out = P.run(spark, DATA)
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and 0 < out.count() < 200
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    text = docs.where("length(text) between 300 and 2000").orderBy("doc_id").first().text
+    odd = [(9001, text), (9001, text), (9002, text + " and more"), (None, None), (None, text), (9003, ""), (9004, "\n\n"), (9005, "longer words of a text " * 60_000)]
+    many = docs.where("length(text) < 1000").select("doc_id", "text", "lang").union(spark.createDataFrame([(*o, "en") for o in odd], "doc_id bigint, text string, lang string"))
+    for name, table in (("empty", docs.limit(0)), ("odd", many.selectExpr("doc_id", "text", "lang", "'x' as source", "7L as n_chars", "'a' as n_removed", "'b' as class_id", "'c' as ids", "'d' as score"))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert P.run(spark, str(tmp_path / "empty")).count() == 0
+    source = spark.read.parquet(str(tmp_path / "odd/documents.parquet"))
+    stage = source
+    for _, function in P.STAGES[:-1]:
+        stage = function(spark, stage, str(tmp_path / "odd"))
+        assert stage.columns == source.columns
+    rows = P.run(spark, str(tmp_path / "odd")).collect()
+    assert len(rows) > 20 and not {9003, 9004} & {r.doc_id for r in rows}
+    # Copies go; of the variant at most what no other text has stays.
+    assert sum(r.doc_id == 9001 for r in rows) <= 1 and sum(r.doc_id is None for r in rows) <= 1 and len({r.ids_sha256 for r in rows}) == len(rows)
