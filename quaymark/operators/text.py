@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import dates
+from quaymark.session import stored
 
 #: What isn't part of a word, the same in every engine.
 EDGE = r"[^\p{L}\p{N}_]"
@@ -121,7 +122,7 @@ def find_headline(articles: DataFrame, requests: DataFrame) -> DataFrame:
     exact = named.join(asked, F.col("norm") == F.col("want")).withColumn("stage", F.when(F.col("publication").eqNullSafe(F.col("day")), 1).otherwise(2))
     exact = exact.select("wanted", "day", "stage", "article_id", "publication")
     best = exact.withColumn("best", F.min("stage").over(Window.partitionBy("wanted", "day"))).where("stage = best").drop("best")
-    open_ = asked.where("want <> '' and day is not null").join(exact.select("wanted", "day").distinct(), ["wanted", "day"], "left_anti")
+    open_ = stored(asked.where("want <> '' and day is not null").join(exact.select("wanted", "day").distinct(), ["wanted", "day"], "left_anti"), "open")
     starts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - PIECE + 1, F.lit(1))), lambda k: F.substr(c, k, F.lit(PIECE))))
     long = open_.where(F.length("want") >= PIECE).withColumn("piece", F.substring("want", 1, PIECE))
     days = named.join(F.broadcast(open_.select(F.col("day").alias("publication")).distinct()), "publication", "left_semi")  # a row a day
