@@ -7,7 +7,8 @@ that of applying the merges in order. Decoding looks tokens up in one byte strin
 
 Cases: null and empty texts, and texts of white space, have no tokens and decode to the empty string. Repeated
 rows each give a row. Texts of any length are encoded whole, chunk by chunk. An empty table gives an empty
-result; columns other than the id and the text are not looked at.
+result; columns other than the id and the text are not looked at. An output column that would have the id's name gets an
+underscore.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaymark.llm.common import read, sliced, small_batches
+from quaymark.llm.common import outputs, read, sliced, small_batches
 
 #: Fixed values of the vocabulary's format: its byte alphabet keeps the printable Latin-1 bytes and moves the others up from 256.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -256,30 +257,30 @@ def _ship(spark: SparkSession, path: str | None):
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(id, n_tokens, ids): ids of every text as little-endian unsigned 32-bit integers in one binary value."""
-    shipped = _ship(docs.sparkSession, path)
+    shipped, names = _ship(docs.sparkSession, path), outputs(id_col, "n_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped)
         for batch in sliced(batches):
             ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())], names=[id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {names[0]} bigint, {names[1]} binary")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """(id, n_tokens, ids, decoded): the text that the ids stand for."""
-    shipped = _ship(encoded.sparkSession, path)
+    shipped, names = _ship(encoded.sparkSession, path), outputs(id_col, "n_tokens", "ids", "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shipped)
         for batch in sliced(batches):
             texts = [codec.decode(b) for b in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[id_col, *names])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "n_tokens", "ids").mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids binary, decoded string")
+    return encoded.select(id_col, *names[:2]).mapInArrow(run, f"`{id_col}` {kind}, {names[0]} bigint, {names[1]} binary, {names[2]} string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -49,3 +49,24 @@ def test_nulls_repeats_and_clashes(spark):
     rows = bpe.digests(docs).collect()
     assert sorted(r.n_tokens for r in rows) == [0, 2, 2, 2]
     assert bpe.digests(docs.limit(0)).count() == 0
+    named = bpe.decode(bpe.encode(spark.createDataFrame([(5, "a b")], "ids bigint, text string"), id_col="ids"), id_col="ids")
+    assert named.columns == ["ids", "n_tokens", "ids_", "decoded"] and named.first()[0] == 5
+
+
+def test_long_text(spark):
+    text = "Ein longer text, with 12 numbers; and wordsthatrunonandon " * 20_000
+    got = bpe.digests(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    ids = LIB.encode(text, add_special_tokens=False).ids
+    assert got.n_tokens == len(ids) and got.ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+
+
+def test_batches_of_many_bytes():
+    import pyarrow as pa
+
+    from quaymark.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["x" * 400_000 if k % 3 else None for k in range(300)])], names=["id", "text"])
+    parts = list(common.sliced(iter([batch])))
+    assert len(parts) > 2 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()) <= common.SLICE_BYTES for p in parts)
+    assert [p.num_rows for p in common.sliced(iter([batch.select(["id"])]))] == [256, 44]
