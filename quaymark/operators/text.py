@@ -123,7 +123,7 @@ def find_headline(articles: DataFrame, requests: DataFrame) -> DataFrame:
     exact = exact.select("wanted", "day", "stage", "article_id", "publication")
     best = exact.withColumn("best", F.min("stage").over(Window.partitionBy("wanted", "day"))).where("stage = best").drop("best")
     open_ = stored(asked.where("want <> '' and day is not null").join(exact.select("wanted", "day").distinct(), ["wanted", "day"], "left_anti"), "open")
-    starts = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - PIECE + 1, F.lit(1))), lambda k: F.substr(c, k, F.lit(PIECE))))
+    starts = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=(.{{{PIECE}}}))"), F.lit(1)))
     long = open_.where(F.length("want") >= PIECE).withColumn("piece", F.substring("want", 1, PIECE))
     days = named.join(F.broadcast(open_.select(F.col("day").alias("publication")).distinct()), "publication", "left_semi")  # a row a day
     pieces = days.where(F.length("norm") >= PIECE).select("article_id", "publication", "norm", F.explode(starts(F.col("norm"))).alias("piece"))
