@@ -6,17 +6,15 @@ import json
 import sys
 
 from quaymark import session
-from quaymark.api import Engine
-
-
-#: Arguments that are whole numbers, and that are yes or no; all others are texts.
-WHOLE, YES_NO = {"year", "month", "sessions", "days", "top", "limit", "max_chars"}, {"whole_word", "annualised"}
+from quaymark.api import TYPES, Engine
 
 
 def _typed(name: str, text: str) -> object:
-    if name in WHOLE:
+    """An argument of the command line by its type; lists stay texts with commas."""
+    kind = TYPES.get(name)
+    if kind == "integer":
         return int(text)
-    return text.strip().lower() in ("true", "yes", "1") if name in YES_NO else text
+    return text.strip().lower() in ("true", "yes", "1") if kind == "boolean" else text
 
 
 def main(args: list[str]) -> int:

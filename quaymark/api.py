@@ -28,6 +28,10 @@ METRIC_ALIASES = {("rates", "list"): "list_changes", ("prices", "dimensions"): "
 SCOPE = frozenset({"start", "end", "year", "month", "tickers", "exclude", "pattern", "terms", "whole_word", "day", "sessions", "days", "compare_start", "compare_end", "one", "other"})
 
 
+#: What arguments hold; all others are texts.
+TYPES = {k: "integer" for k in ("year", "month", "sessions", "days", "top", "limit", "max_chars")} | {k: "boolean" for k in ("whole_word", "annualised")} | {k: "list of texts" for k in ("tickers", "exclude", "terms")} | {k: "day, month or year" for k in ("start", "end", "day", "compare_start", "compare_end")}
+
+
 class Engine:
     """Metrics over the canonical views of a folder of tables. Dates may be days, months or years."""
 
@@ -176,8 +180,8 @@ class Engine:
             return {"error": f"{type(e).__name__}: {e}"}, False
 
     def schemas(self) -> list[dict[str, Any]]:
-        """What each metric takes, from its signature."""
-        return [{"dataset": d, "metric": m, "arguments": {k: "required" if p.default is inspect.Parameter.empty else "optional" for k, p in inspect.signature(f).parameters.items()}} for d, ms in self.metrics.items() for m, f in ms.items()]
+        """What each metric takes and of what type, from its signature."""
+        return [{"dataset": d, "metric": m, "arguments": {k: "required" if p.default is inspect.Parameter.empty else "optional" for k, p in inspect.signature(f).parameters.items()}, "types": {k: TYPES.get(k, "text") for k in inspect.signature(f).parameters}} for d, ms in self.metrics.items() for m, f in ms.items()]
 
 
 def answer(engine: Engine, question: str, plan: Callable[[str, list[dict]], list[tuple[str, dict]] | str], steps: int = 8, word: Callable[[str, list[dict]], str] | None = None) -> dict[str, Any]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.operators.ranks import running
+from quaymark.session import stored
 
 
 def mixed(key: Column, seed: int) -> Column:
@@ -30,8 +31,9 @@ def first_per_bucket(rows: DataFrame, k: int, buckets: list[str], order: str) ->
 
 def interleave(examples: DataFrame) -> DataFrame:
     """Round robin: each category by tokens, categories by size, one of each in turn."""
-    sizes = examples.groupBy("category").agg(F.count("*").alias("size"))
-    turns = running(examples.select("example_id", "category", "tokens"), ["category"], ["tokens", "example_id"], "turn")
+    short = stored(examples.select("example_id", "category", "tokens"), "examples")  # without texts
+    sizes = short.groupBy("category").agg(F.count("*").alias("size"))
+    turns = running(short, ["category"], ["tokens", "example_id"], "turn")
     rows = turns.join(F.broadcast(sizes), "category")
     return rows.withColumn("seat", F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("size"), "category"))).select("example_id", "category", "turn", "seat")
 

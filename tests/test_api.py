@@ -35,6 +35,11 @@ def test_checks(engine):
         engine.retrieve(chart=1, day="2016-01-01")
 
 
+def test_schemas(engine):
+    (one,) = [s for s in engine.schemas() if s["metric"] == "volatility"]
+    assert one["types"] == {"tickers": "list of texts", "exclude": "list of texts", "year": "integer", "annualised": "boolean"} and one["arguments"]["year"] == "optional"
+
+
 def test_loop(engine):
     calls = iter([[("extremes", {}), ("nonsense", {})], []])
     out = api.answer(engine, "?", lambda q, t: next(calls))
