@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts that are left (little-endian unsigned 32-bit integers), and the hash of the text that they decode to. Other columns of the documents end here."""
-    decoded = bpe.decode(bpe.encode(docs))
+    decoded = bpe.round_trip(docs)
     return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
