@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quaymark.plans import corpus_queries, evaluation_queries, function_queries, generator_queries, price_queries, rate_queries, stream_queries, text_queries  # noqa: F401
+    from quaymark.plans import corpus_queries, evaluation_queries, function_queries, generator_queries, price_queries, rate_queries, source_queries, stream_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
