@@ -166,3 +166,10 @@ def correlation_text(x: Column) -> Column:
 
 def close_text(x: Column) -> Column:
     return F.format_string("%.4f", x)
+
+
+def evidence_text(trace: Column) -> Column:
+    """A trace (array of structs tool, args, compact, result, all texts) as numbered blocks: the call, then its compact result, or the result itself where there is none."""
+    body = lambda t: F.coalesce(F.nullif(t["compact"], F.lit("")), t["result"], F.lit(""))
+    blocks = F.transform(trace, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.coalesce(t["tool"], F.lit("None")), F.lit("("), F.coalesce(t["args"], F.lit("{}")), F.lit(")\n"), body(t)))
+    return F.when(F.coalesce(F.size(trace), F.lit(0)) <= 0, "No tool results were gathered.").otherwise(F.array_join(blocks, "\n\n"))

@@ -130,6 +130,20 @@ def holdout_gates(held: DataFrame, least: int) -> DataFrame:
     return rows.join(groups, F.lit(True)).select("enough", "unseen", "every_category", "answered")
 
 
+def question_gates(components: DataFrame, trained: DataFrame, total: float = 10.0, slack: float = 0.05) -> DataFrame:
+    """Per set of questions booleans on rows (set, qid, gold_key, component_id, points), with one row of nulls for a question without components: no question's key is trained on, every question has components, and each one's points sum to the total."""
+    each = components.groupBy("set", "qid", "gold_key").agg(F.count("component_id").alias("parts"), F.coalesce(F.sum("points"), F.lit(0.0)).alias("points"))
+    told = each.join(trained.select("gold_key", F.lit(True).alias("trained")).distinct(), "gold_key", "left")
+    return told.groupBy("set").agg((F.count("trained") == 0).alias("unseen"), (F.min("parts") > 0).alias("has_components"), (F.max(F.abs(F.col("points") - total)) <= slack).alias("full_points"))
+
+
+def collisions(split: DataFrame, *content: str) -> DataFrame:
+    """One row: how many validation rows equal a training row in all of the content; contents meet by hash, counted before they are shuffled."""
+    print_of = F.sha2(F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in content]), 256)
+    each = split.groupBy(print_of.alias("print")).agg(F.count_if(F.col("split") == "val").alias("val"), F.count_if(F.col("split") == "train").alias("train"))
+    return each.agg(F.coalesce(F.sum(F.when(F.col("train") > 0, F.col("val"))), F.lit(0)).alias("identical"))
+
+
 def quantiles(examples: DataFrame, value: str = "tokens") -> DataFrame:
     """Least, sorted[n // 2], sorted[0.95 n] and most, exact, by counting equal values: no list of all rows is made."""
     counts = examples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))

@@ -52,6 +52,24 @@ register("holdout_gates", _SPLIT + """, h AS (SELECT example_id, gold_key, split
 SELECT count(*) FILTER (split = 'val') >= 100 AS enough, (SELECT count(*) FROM (SELECT gold_key FROM h WHERE split = 'val' INTERSECT SELECT gold_key FROM h WHERE split = 'train')) = 0 AS unseen, count(DISTINCT category) FILTER (split = 'val') = count(DISTINCT category) AS every_category, count(*) FILTER (split = 'val' AND trim(answer) = '') = 0 AS answered FROM h""")(
     lambda s, d: C.holdout_gates(C.split_by_group(_x(s, d), VAL_ROWS).join(_x(s, d).select("example_id", "category", "answer"), "example_id"), 100)
 )
+register("split_collisions", _SPLIT + ", h AS (SELECT split, question, answer FROM sp JOIN (SELECT example_id, question, answer FROM examples) USING (example_id)) SELECT count(*) AS identical FROM h a WHERE split = 'val' AND EXISTS (SELECT 1 FROM h b WHERE b.split = 'train' AND b.question = a.question AND b.answer = a.answer)")(
+    lambda s, d: C.collisions(C.split_by_group(_x(s, d), VAL_ROWS).join(_x(s, d).select("example_id", "question", "answer"), "example_id"), "question", "answer")
+)
+
+
+def _question_sets(s, d):
+    """Five items to a question, in three sets: one right, one in which some questions have no components, one whose points are too many and whose keys are trained on."""
+    qid = F.floor(F.col("item_id") / 5)
+    has = (qid % 3 != 1) | (qid % 2 != 0)
+    points = F.when(qid % 3 == 2, 2 + F.col("item_id") % 5 * 0.02).otherwise(2 + (F.col("item_id") % 5 - 2) * 0.005).cast("double")
+    rows = V.table(s, d, "benchmark").select(F.element_at(F.array(F.lit("heldout"), F.lit("probe"), F.lit("faulty")), (qid % 3 + 1).cast("int")).alias("set"), qid.alias("qid"), F.concat(F.lit("q"), qid.cast("string")).alias("gold_key"), F.when(has, F.col("item_id")).alias("component_id"), F.when(has, points).alias("points"))
+    trained = V.table(s, d, "documents").where("doc_id % 3 = 2").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("gold_key"))
+    return C.question_gates(rows, trained)
+
+
+register("question_gates", """WITH q AS (SELECT item_id // 5 AS qid, count(*) AS parts FROM benchmark GROUP BY 1),
+g AS (SELECT qid, ['heldout', 'probe', 'faulty'][qid % 3 + 1] AS name, CASE WHEN qid % 3 = 1 AND qid % 2 = 0 THEN 0 ELSE parts END AS parts, parts AS items FROM q)
+SELECT name AS "set", count(*) FILTER (qid % 3 = 2 AND qid IN (SELECT doc_id FROM documents)) = 0 AS unseen, min(parts) > 0 AS has_components, bool_and(parts = 5 AND name <> 'faulty') AS full_points FROM g GROUP BY 1""")(_question_sets)
 register("holdout_params", V.with_(V.BARS) + "SELECT ticker, year(day) AS year, ticker = '5-LOW' OR year(day) = 1999 AS held_out, count(*) AS n FROM bars GROUP BY ALL")(lambda s, d: V.bars(s, d).groupBy("ticker", F.year("day").alias("year")).agg(F.count("*").alias("n")).withColumn("held_out", (F.col("ticker") == "5-LOW") | (F.col("year") == 1999)))
 register("perturb_mix", _E + f", p AS (SELECT {_MIX.format('example_id', 99)} % 100 AS pick, {_MIX.format('example_id', 7)} % 100 AS gate FROM examples) SELECT CASE WHEN gate >= 35 THEN 'none' WHEN pick < 30 THEN 'coverage_probe' WHEN pick < 55 THEN 'distractor' WHEN pick < 75 THEN 'shuffle' WHEN pick < 90 THEN 'contradictory_duplicate' ELSE 'truncate' END AS kind, count(*) AS n FROM p GROUP BY 1")(lambda s, d: _x(s, d).groupBy(C.perturbation(F.col("example_id")).alias("kind")).agg(F.count("*").alias("n")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions import compact
 from quaymark.functions import grading as G
+from quaymark.functions import scalars as S
 from quaymark.operators import corpus as C
 from quaymark.operators import evaluation as E
 from quaymark.operators import prices as P
@@ -182,3 +183,19 @@ def _compact(s, d):
 
 
 register("compact_render", V.with_(V.BARS) + ", v AS (SELECT ticker, CAST(round(sum(volume), 2) AS BIGINT) AS total, round(avg(volume), 2) AS m FROM bars GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, ticker) AS rank FROM v) SELECT 'volume: ' || count(*) || ' rows; counted_in = shares' || chr(10) || 'rank' || chr(9) || 'ticker' || chr(9) || 'total' || chr(10) || string_agg(rank || chr(9) || ticker || chr(9) || total, chr(10) ORDER BY rank) AS rendered FROM r")(_compact)
+register("constant_columns", V.with_(V.BARS) + """, b AS (SELECT ticker, day, volume, 'shares' AS unit FROM bars WHERE ticker = '5-LOW')
+SELECT name, value FROM (SELECT 'ticker' AS name, min(ticker) AS value, count(DISTINCT ticker) AS n FROM b UNION ALL SELECT 'day', CAST(min(day) AS VARCHAR), count(DISTINCT day) FROM b UNION ALL SELECT 'volume', CAST(min(volume) AS VARCHAR), count(DISTINCT volume) FROM b UNION ALL SELECT 'unit', min(unit), count(DISTINCT unit) FROM b UNION ALL SELECT 'note', NULL, 1) WHERE n = 1 AND (SELECT count(*) FROM b) > 1""")(
+    lambda s, d: compact.constants(V.bars(s, d).where("ticker = '5-LOW'").select("ticker", "day", "volume", F.lit("shares").alias("unit"), F.lit(None).cast("string").alias("note"), F.array("ticker").alias("listed")))
+)
+
+
+def _evidence(s, d):
+    """The turns of a conversation as a trace: every second one has a compact form, and conversations of one turn have no trace."""
+    turns = V.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    step = lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("tool"), F.concat(F.lit('{"turn": '), x["turn"].cast("string"), F.lit("}")).alias("args"), F.when(x["turn"] % 2 == 0, F.concat(F.lit("n = "), F.length(F.coalesce(x["text"], F.lit(""))).cast("string"))).otherwise("").alias("compact"), x["text"].alias("result"))
+    trace = F.when(F.size("t") > 1, F.transform("t", step))
+    return turns.select("conv_id", F.sha2(S.evidence_text(trace), 256).alias("evidence_sha256"))
+
+
+register("evidence_text", """WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'n': turn, 'x': coalesce(text, '')} ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1)
+SELECT conv_id, sha256(CASE WHEN len(t) > 1 THEN array_to_string(list_transform(t, lambda e, i: '[' || i || '] ' || e.r || '({"turn": ' || e.n || '})' || chr(10) || CASE WHEN e.n % 2 = 0 THEN 'n = ' || length(e.x) ELSE e.x END), chr(10) || chr(10)) ELSE 'No tool results were gathered.' END) AS evidence_sha256 FROM t""")(_evidence)
