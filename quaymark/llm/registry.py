@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaymark.llm import bpe, chosenpath, decontaminate, langid, linededup, matroska, pii, quality, toxicity, warc
+from quaymark.llm import bpe, chosenpath, crosspolytope, decontaminate, interaction, langid, linededup, matroska, merkle, pii, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": decontaminate.query,
         "op9_bpe": bpe.query,
         "op10_pii": pii.query,
+        "op11_crosspolytope": crosspolytope.query,
+        "op12_merkle": merkle.query,
+        "op13_interaction": interaction.query,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.SQL,
         "op7_chosenpath": chosenpath.SQL,
         "op8_decontaminate": decontaminate.SQL,
+        "op12_merkle": merkle.SQL,
+        "op13_interaction": interaction.SQL,
     }
