@@ -67,7 +67,7 @@ def test_odd_rows(spark):
     assert found(spark, []) == {}
     assert found(spark, [(50, [1.0, 0])]) == {}
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.9]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (50, [1e300, 1e300]), (9, [1e-300, 0.0]), (0, [1.0, 1.0]), (100, [0.0, 0.0])]
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 0.9]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (50, [1e300, 1e300]), (9, [2.0**-900, 0.0]), (0, [1.0, 1.0]), (100, [0.0, 0.0])]
     assert found(spark, rows) == brute(rows, 5)
     assert found(spark, [(1, [1.0, 0]), (2, [1.0, 1.0])]) == {}
 
