@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaymark.operators import ranks
 from quaymark.operators.ranks import running
 from quaymark.session import stored
 
@@ -145,12 +146,10 @@ def collisions(split: DataFrame, *content: str) -> DataFrame:
 
 
 def quantiles(examples: DataFrame, value: str = "tokens") -> DataFrame:
-    """Least, sorted[n // 2], sorted[0.95 n] and most, exact, by counting equal values: no list of all rows is made."""
-    counts = examples.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))  # a row a value
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    return upto.join(F.broadcast(total), F.lit(True)).agg(F.min("v").alias("least"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.floor(F.col("n") * 95 / 100)).alias("p95"), F.max("v").alias("most"))
+    """Least, sorted[n // 2], sorted[0.95 n] and most, exact: one row, of nulls if there is no value."""
+    rows = examples.select(F.lit(0).alias("quaymark_one"), F.col(value))
+    found = ranks.quantiles(rows, ["quaymark_one"], value, p50=50, p95=95)
+    return found.agg(*[F.max(c).alias(c) for c in ("least", "p50", "p95", "most")])  # of one row, or none
 
 
 def vote(votes: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quaymark.functions import dates
+from quaymark.operators import ranks
 
 SESSIONS_A_YEAR = 252
 
@@ -114,17 +115,17 @@ def max_drawdown(bars: DataFrame, start: str | None = None, end: str | None = No
     return rows if top is None else rows.where(F.col("rank") <= top)
 
 
-def _as_of(requests: DataFrame, bars: DataFrame, date_col: str) -> DataFrame:
-    """Requests (ticker, date, ...) with the bar of that day or else the last one before, as a struct `bar`."""
+def as_of_bars(requests: DataFrame, bars: DataFrame, date_col: str = "requested") -> DataFrame:
+    """Requests (ticker, date, ...) with the bar of that day or else the last one before, as a struct `bar`. Both sides may be large, and a ticker may hold most of either."""
     extra = [c for c in requests.columns if c not in ("ticker", date_col)]
-    known = bars.select("ticker", F.col("day").alias("at"), F.lit(0).alias("side"), F.struct(*[c for c in bars.columns if c != "ticker"]).alias("bar"), F.lit(None).cast("date").alias(date_col), *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in extra])
-    asked = requests.select("ticker", F.col(date_col).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(known.schema["bar"].dataType).alias("bar"), date_col, *extra)
-    held = F.last("bar", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return known.union(asked).withColumn("bar", held).where("side = 1").select("ticker", date_col, *extra, "bar")
+    known = bars.select("ticker", F.col("day").alias("at"), F.lit(0).alias("side"), F.struct(*[c for c in bars.columns if c != "ticker"]).alias("own"), F.lit(None).cast("date").alias(date_col), *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in extra])
+    asked = requests.select("ticker", F.col(date_col).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(known.schema["own"].dataType).alias("own"), date_col, *extra)
+    found = ranks.last_known(known.union(asked), ["ticker"], ["at", "side"], "own", "bar")
+    return found.where("side = 1").select("ticker", date_col, *extra, "bar")
 
 
 def close_as_of(requests: DataFrame, bars: DataFrame, date_col: str = "requested") -> DataFrame:
-    found = _as_of(requests, bars, date_col)
+    found = as_of_bars(requests, bars, date_col)
     return found.select("ticker", date_col, F.col("bar.close").alias("close"), F.col("bar.day").alias("used_day"), (F.col("bar.day") == F.col(date_col)).alias("exact"))
 
 
@@ -139,7 +140,7 @@ def window_returns(bars: DataFrame, windows: DataFrame, start: str = "start", en
     tickers = bars.select("ticker").distinct()
     ends = windows.select("key", F.explode(F.array(F.struct(F.lit("a").alias("which"), F.col(start).alias("requested")), F.struct(F.lit("b").alias("which"), F.col(end).alias("requested")))).alias("x")).select("key", "x.which", "x.requested")
     # Some tickers times some windows: both are dimensions.
-    found = _as_of(tickers.join(ends, F.lit(True)), bars, "requested")
+    found = as_of_bars(tickers.join(ends, F.lit(True)), bars, "requested")
     both = found.groupBy("key", "ticker").agg(F.max(F.when(F.col("which") == "a", F.col("bar.close"))).alias("a"), F.max(F.when(F.col("which") == "b", F.col("bar.close"))).alias("b"), F.max(F.when(F.col("which") == "a", F.col("bar.day"))).alias("start_day"), F.max(F.when(F.col("which") == "b", F.col("bar.day"))).alias("end_day"))
     return both.where("a is not null").select("key", "ticker", "start_day", "end_day", F.round(pct(F.col("b"), F.col("a")), 4).alias("return_pct"))
 

@@ -2,56 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaymark.functions import dates
+from quaymark.operators.patterns import EDGE, from_terms, literals, translate
 from quaymark.session import stored
 
-#: What isn't part of a word, the same in every engine.
-EDGE = r"[^\p{L}\p{N}_]"
-
 
 def build_pattern(pattern: str | None = None, terms: Sequence[str] | str | None = None, whole_word: bool = True) -> str:
-    """A regular expression from exactly one of a pattern and terms; terms are escaped and, if wanted, must stand alone."""
+    """The engine's regular expression from exactly one of a pattern (Python's syntax, case ignored) and terms; terms are escaped and, if wanted, must stand alone."""
     if (pattern is None) == (terms is None):
         raise ValueError("give either a pattern or terms")
-    if pattern is not None:
-        re.compile(pattern)
-        return pattern
-    given = terms.split(",") if isinstance(terms, str) else terms
-    kept = [re.escape(t.strip().lower()) for t in given if t.strip()]
-    if not kept:
-        raise ValueError("no term is left")
-    return "|".join(f"(^|{EDGE}){t}({EDGE}|$)" if whole_word else t for t in kept)
-
-
-def literals(pattern: str) -> list[str] | None:
-    """Texts of which every match holds one, by Python's own reading of the pattern; None where that can't be told."""
-    try:
-        parsed = re._parser.parse(pattern.replace(EDGE, "[^_]"))
-    except (re.error, OverflowError):
-        return None
-    if parsed.state.flags & (re.IGNORECASE | re.VERBOSE):
-        return None
-
-    def longest(items) -> str:
-        """The longest run of plain characters among the items of a sequence."""
-        runs = [""]
-        for kind, value in items:
-            runs = [*runs[:-1], runs[-1] + chr(value)] if kind is re._constants.LITERAL else [*runs, ""]
-        return max(runs, key=len)
-
-    if whole := longest(parsed):
-        return [whole]
-    for kind, value in parsed:
-        if kind is re._constants.BRANCH:
-            found = [longest(branch) for branch in value[1]]
-            return found if all(found) else None
-    return None
+    return translate(pattern) if pattern is not None else from_terms(terms, whole_word)
 
 
 def matches(pattern: str, blob: str = "blob") -> Column:
@@ -115,22 +81,46 @@ def normalise_headline(c: Column) -> Column:
 PIECE = 3
 
 
+def _pieces(c: Column) -> Column:
+    """The different runs of PIECE characters of a text that has so many."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE - 1)), lambda i: F.substring(c, i, F.lit(PIECE))))
+
+
+def _holding(named: DataFrame, open_: DataFrame) -> DataFrame:
+    """(request, article_id, publication): headlines of the day (article_id, publication, norm) that hold what is wanted (request, day, want).
+
+    What is held lies, word by word, in words of the headline. A request's longest word is looked for in the day's vocabulary,
+    by that of its pieces which is in the fewest words of the day's headlines; one with a piece that is in none is done. The
+    words found name the headlines, and those that several words are wanted of are read."""
+    days = named.join(F.broadcast(open_.select(F.col("day").alias("publication")).distinct()), "publication", "left_semi")  # a row a day
+    longest = F.aggregate(F.split("want", " "), F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    asked = open_.withColumn("anchor", longest)
+    words = stored(days.select("article_id", "publication", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")), "words")
+    vocabulary = words.where(F.length("word") >= PIECE).groupBy(F.col("publication").alias("day"), "word").agg(F.count("*").alias("n"))
+    pieces = asked.where(F.length("anchor") >= PIECE).select("request", "day", "anchor", F.explode(_pieces(F.col("anchor"))).alias("piece"))
+    held = vocabulary.select("day", "word", "n", F.explode(_pieces(F.col("word"))).alias("piece")).join(pieces.select("day", "piece").distinct(), ["day", "piece"], "left_semi")
+    counts = held.groupBy("day", "piece").agg(F.sum("n").alias("n"))
+    rarest = pieces.join(counts, ["day", "piece"]).groupBy("request", "day", "anchor").agg(F.min(F.struct("n", "piece")).alias("least"), F.count("*").alias("known")).where(F.col("known") == F.size(_pieces(F.col("anchor"))))
+    found = held.select("day", "word", "piece").join(rarest.select("request", "day", "anchor", F.col("least.piece").alias("piece")), ["day", "piece"]).where(F.contains("word", F.col("anchor")))
+    near = words.join(found.select(F.col("day").alias("publication"), "word", "request"), ["publication", "word"]).join(asked.select("request", "want", "anchor"), "request")
+    one = near.where(F.col("want") == F.col("anchor"))
+    more = near.where(F.col("want") != F.col("anchor")).join(days, ["article_id", "publication"]).where(F.contains("norm", F.col("want")))
+    short = days.join(asked.where(F.length("anchor") < PIECE).withColumnRenamed("day", "publication"), "publication").where(F.contains("norm", F.col("want")))
+    return reduce(DataFrame.union, [x.select("request", "article_id", "publication") for x in (one, more, short)])
+
+
 def find_headline(articles: DataFrame, requests: DataFrame) -> DataFrame:
-    """Articles for requests (wanted, day): exact normalised headline on the day, else on any day, else of those that hold it on the day; the first stage that finds some wins. Only requests that are still open reach the last stage, and meet the day's headlines that share their first letters."""
+    """Articles for requests (wanted, day): exact normalised headline on the day, else on any day, else of those that hold it on the day; the first stage that finds some wins. Only requests that are still open reach the last stage. Headlines meet by hash; what was wanted is joined to what was found."""
     named = articles.select("article_id", "publication", normalise_headline(F.col("headline")).alias("norm"))
-    asked = requests.select("wanted", "day").distinct().withColumn("want", normalise_headline(F.col("wanted")))
-    exact = named.join(asked, F.col("norm") == F.col("want")).withColumn("stage", F.when(F.col("publication").eqNullSafe(F.col("day")), 1).otherwise(2))
-    exact = exact.select("wanted", "day", "stage", "article_id", "publication")
-    best = exact.withColumn("best", F.min("stage").over(Window.partitionBy("wanted", "day"))).where("stage = best").drop("best")
-    open_ = stored(asked.where("want <> '' and day is not null").join(exact.select("wanted", "day").distinct(), ["wanted", "day"], "left_anti"), "open")
-    starts = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?=(.{{{PIECE}}}))"), F.lit(1)))
-    long = open_.where(F.length("want") >= PIECE).withColumn("piece", F.substring("want", 1, PIECE))
-    days = named.join(F.broadcast(open_.select(F.col("day").alias("publication")).distinct()), "publication", "left_semi")  # a row a day
-    pieces = days.where(F.length("norm") >= PIECE).select("article_id", "publication", "norm", F.explode(starts(F.col("norm"))).alias("piece"))
-    part = pieces.join(long.withColumnRenamed("day", "publication"), ["publication", "piece"]).where(F.contains("norm", F.col("want")))
-    short = days.join(open_.where(F.length("want") < PIECE).withColumnRenamed("day", "publication"), "publication").where(F.contains("norm", F.col("want")))
-    last = part.select("wanted", F.col("publication").alias("day"), F.lit(3).alias("stage"), "article_id", "publication").union(short.select("wanted", F.col("publication").alias("day"), F.lit(3), "article_id", "publication"))
-    return best.union(last).distinct()
+    asked = stored(requests.select("wanted", "day").distinct().withColumns({"want": normalise_headline(F.col("wanted")), "request": F.monotonically_increasing_id()}), "requests")
+    keyed = asked.select("request", "day", F.xxhash64("want").alias("hash"), "want")
+    exact = named.withColumn("hash", F.xxhash64("norm")).join(keyed, "hash").where(F.col("norm") == F.col("want"))
+    exact = stored(exact.select("request", F.when(F.col("publication").eqNullSafe(F.col("day")), 1).otherwise(2).alias("stage"), "article_id", "publication").distinct(), "exact")
+    first = exact.groupBy("request").agg(F.min("stage").alias("stage"))
+    open_ = stored(asked.where("want <> '' and day is not null").join(first, "request", "left_anti").select("request", "day", "want"), "open")
+    last = _holding(named, open_).distinct().select("request", F.lit(3).alias("stage"), "article_id", "publication")
+    found = exact.join(first, ["request", "stage"]).select("request", "stage", "article_id", "publication").union(last)
+    return found.join(asked.select("request", "wanted", "day"), "request").select("wanted", "day", "stage", "article_id", "publication")
 
 
 def retrieve(articles: DataFrame, pattern: str | None = None, day: str | None = None, limit: int = 5, max_chars: int = 1000) -> DataFrame:

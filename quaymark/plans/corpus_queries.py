@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quaymark.functions import scalars as S
 from quaymark.operators import corpus as C
+from quaymark.operators import ranks
 from quaymark.operators import prices as P
 from quaymark.plans.catalogue import register
 from quaymark.sources import views as V
@@ -25,6 +26,9 @@ register("corpus_pool", _E + "SELECT example_id, category, tokens, 'positive' AS
 )
 register("corpus_mix", _E + "SELECT category, count(*) AS n, sum(tokens)::BIGINT AS tokens FROM examples GROUP BY 1")(lambda s, d: _x(s, d).groupBy("category").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")))
 register("corpus_token_quantiles", _E + ", l AS (SELECT list(tokens ORDER BY tokens) AS t, count(*) AS n FROM examples) SELECT t[1] AS least, t[n // 2 + 1] AS p50, t[(n * 95) // 100 + 1] AS p95, t[n] AS most FROM l")(lambda s, d: C.quantiles(_x(s, d)))
+register("price_quantiles", "WITH l AS (SELECT l_suppkey, l_returnflag, list(l_extendedprice ORDER BY l_extendedprice) AS t, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_returnflag, n, t[1] AS least, t[n // 2 + 1] AS p50, t[(n * 95) // 100 + 1] AS p95, t[n] AS most FROM l")(
+    lambda s, d: ranks.quantiles(V.table(s, d, "lineitem"), ["l_suppkey", "l_returnflag"], "l_extendedprice", p50=50, p95=95)
+)
 register("token_gate", _E + f"SELECT example_id, tokens, tokens <= {BUDGET} AS kept FROM examples")(lambda s, d: C.token_gate(_x(s, d), BUDGET).select("example_id", "tokens", "kept"))
 register("dedupe_keep_first", _E + "SELECT example_id FROM examples QUALIFY row_number() OVER (PARTITION BY sha1(question || chr(0) || answer) ORDER BY example_id) = 1")(lambda s, d: C.keep_first(_x(s, d), F.sha1(F.concat_ws("\0", "question", "answer")), "example_id").select("example_id"))
 register("corpus_interleave", _E + ", t AS (SELECT example_id, category, row_number() OVER (PARTITION BY category ORDER BY tokens, example_id) AS turn, count(*) OVER (PARTITION BY category) AS size FROM examples) SELECT example_id, category, turn, row_number() OVER (PARTITION BY turn ORDER BY size DESC, category) AS seat FROM t")(lambda s, d: C.interleave(_x(s, d)))

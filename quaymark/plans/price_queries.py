@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quaymark.operators import intervals
 from quaymark.operators import prices as P
 from quaymark.operators import rates as R
 from quaymark.plans.catalogue import register
@@ -71,6 +73,31 @@ def _requests(s, d):
 
 _REQ = ", q AS (SELECT ticker, requested FROM (SELECT DISTINCT ticker FROM bars), (SELECT DISTINCT day AS requested FROM bars UNION ALL SELECT DATE '1990-01-01'))"
 register("close_asof", _B + _REQ + " SELECT q.ticker, requested, close, day AS used_day, day = requested AS exact FROM q ASOF LEFT JOIN bars b ON q.ticker = b.ticker AND requested >= day")(lambda s, d: P.close_as_of(_requests(s, d), V.bars(s, d)))
+
+
+def _line_requests(s, d):
+    """Every line's ship date; nine of ten orders ask for one ticker."""
+    return V.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 10 < 9, "1-URGENT").otherwise("5-LOW").alias("ticker"), F.col("l_shipdate").cast("date").alias("requested"))
+
+
+register("asof_lines", _B + " SELECT l_orderkey, l_linenumber, q.ticker, requested, day AS used_day, close FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 < 9 THEN '1-URGENT' ELSE '5-LOW' END AS ticker, CAST(l_shipdate AS DATE) AS requested FROM lineitem) q ASOF LEFT JOIN bars b ON q.ticker = b.ticker AND requested >= day")(
+    lambda s, d: P.as_of_bars(_line_requests(s, d), V.bars(s, d)).select("l_orderkey", "l_linenumber", "ticker", "requested", F.col("bar.day").alias("used_day"), F.col("bar.close").alias("close"))
+)
+
+
+def _gaps(s, d):
+    """Every customer's gaps between days of orders."""
+    days = V.table(s, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("start")).distinct()
+    return days.withColumn("end", F.lead("start").over(Window.partitionBy("o_custkey").orderBy("start"))).where("end is not null")
+
+
+def _inside_gaps(s, d):
+    moved = V.decisions(s, d).where("change_bp <> 0").select("effective", "change_bp")
+    return intervals.inside(moved, _gaps(s, d), "effective").groupBy("o_custkey", "start", "end").agg(F.count("*").alias("changes"), F.sum("change_bp").alias("net_bp"))
+
+
+register("changes_inside_gaps", V.with_(V.DECISIONS) + """, g AS (SELECT o_custkey, start, lead(start) OVER (PARTITION BY o_custkey ORDER BY start) AS "end" FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS start FROM orders))
+SELECT o_custkey, start, "end", count(*) AS changes, CAST(sum(change_bp) AS BIGINT) AS net_bp FROM g JOIN decisions ON change_bp <> 0 AND effective > start AND effective < "end" GROUP BY ALL""")(_inside_gaps)
 register("price_on_date", _B + f"SELECT ticker, max(day) AS used_day, arg_max(open, day) AS open, arg_max(high, day) AS high, arg_max(low, day) AS low, arg_max(close, day) AS close, arg_max(volume, day) AS volume, max(day) = DATE '{DAY}' AS exact FROM bars WHERE day <= DATE '{DAY}' GROUP BY 1")(lambda s, d: P.price_on_date(V.bars(s, d), DAY))
 
 _WR = """, t AS (SELECT DISTINCT ticker FROM bars),

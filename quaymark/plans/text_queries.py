@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaymark.operators import postings
 from quaymark.operators import text as T
 from quaymark.plans.catalogue import register
+from quaymark.session import shared_folder
 from quaymark.sources import views as V
 
 TERMS = ["the", "la", "ai"]
@@ -29,7 +35,34 @@ register("text_count_month_any_year", _share(f"{_HIT} AND coalesce(month(publica
 register("text_share", _share(_HIT, "(SELECT * FROM articles WHERE year(publication) = 2017)"))(lambda s, d: T.share(V.articles(s, d), WHOLE, 2017))
 register("text_by_year", _A + f"SELECT *, row_number() OVER (ORDER BY matches DESC, year) = 1 AS peak FROM (SELECT year(publication) AS year, count(*) AS matches FROM articles WHERE publication IS NOT NULL AND {_HIT} GROUP BY 1)")(lambda s, d: T.by_year(V.articles(s, d), WHOLE))
 register("text_by_month", _A + f"SELECT *, row_number() OVER (ORDER BY matches DESC, month DESC) = 1 AS peak FROM (SELECT strftime(publication, '%Y-%m') AS month, count(*) AS matches FROM articles WHERE publication IS NOT NULL AND {_HIT} GROUP BY 1)")(lambda s, d: T.by_month(V.articles(s, d), WHOLE))
-register("text_pattern_regex", _share("regexp_matches(blob, 'th[a-z]+ing|ci[óo]n')"))(lambda s, d: T.count(V.articles(s, d), "th[a-z]+ing|ci[óo]n"))
+#: Patterns as askers write them, in any case; ten, of every kind that the index tells apart.
+PATTERNS = [r"interest rates?|cash rate|rate cut|rate hike|\bRBA\b", r"\bTHE\b", r"\bthe\b|\bLa\b", r"\bAND\b", "Data", r"\bQue\b|\bund\b", "th[a-z]+ing|ción", r"\bof the\b", "[0-9]{4}-[0-9]{2}", r"(?:AI|zebra)\b"]
+
+
+def _index(s, d):
+    """The kept index of a folder's articles."""
+    source = postings.fingerprint(V.table(s, d, "documents"))
+    return postings.kept(V.articles(s, d), f"{shared_folder(s)}/quaymark/text-index-{source}", source)
+
+
+def _index_counts(s, d):
+    index = _index(s, d)
+    each = [index.count(T.build_pattern(p)).select(F.lit(k).alias("pattern"), "matches", "total", "share_pct") for k, p in enumerate(PATTERNS)]
+    dated = index.count(T.build_pattern(PATTERNS[1]), start="2016", end="2018", month=5).select(F.lit(len(PATTERNS)).alias("pattern"), "matches", "total", "share_pct")
+    return reduce(DataFrame.union, [*each, dated])
+
+
+def _counted(k: int, pattern: str, where: str = "true") -> str:
+    """The engine of the SQL knows only ASCII's words, so edges are spelled out."""
+    spelled = re.sub(r"\\b(?=\w)", lambda _: f"(^|{T.EDGE})", pattern)
+    spelled = re.sub(r"(?<=[\w)])\\b", lambda _: f"({T.EDGE}|$)", spelled)
+    hit = f"regexp_matches(blob, '{spelled}', 'i') AND {where}"
+    return f"SELECT {k} AS pattern, count(*) FILTER ({hit}) AS matches, count(*) AS total, round(100.0 * count(*) FILTER ({hit}) / count(*), 4) AS share_pct FROM articles"
+
+
+register("text_index_patterns", _A + " UNION ALL ".join([*(_counted(k, p) for k, p in enumerate(PATTERNS)), _counted(len(PATTERNS), PATTERNS[1], "coalesce(year(publication) BETWEEN 2016 AND 2018 AND month(publication) = 5, false)")]))(_index_counts)
+register("text_pattern_case", _share("regexp_matches(blob, 'interest rates?|cash rate|\\bTHE\\b', 'i')"))(lambda s, d: T.count(V.articles(s, d), T.build_pattern(r"interest rates?|cash rate|\bTHE\b")))
+register("text_pattern_regex", _share("regexp_matches(blob, 'th[a-z]+ing|ci[óo]n')"))(lambda s, d: T.count(V.articles(s, d), T.build_pattern("th[a-z]+ing|ci[óo]n")))
 
 _NORM = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 register("headline_exact", _A + f", w AS (SELECT text AS wanted, {_NORM.format('string_split(text, chr(10))[1]')} AS want FROM documents WHERE doc_id = 3) SELECT article_id, publication FROM articles, w WHERE {_NORM.format('headline')} = want")(

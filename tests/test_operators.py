@@ -138,7 +138,7 @@ def test_literals():
     whole = T.build_pattern(terms=["rate rise", "bank"])
     assert T.literals(whole) == ["rate rise", "bank"]
     assert T.literals("a(bc|d)efg[hi]") == ["efg"] and T.literals(r"ab\.c|x+yz") == ["ab.c", "yz"]
-    assert T.literals("(a|b)") is None and T.literals("(?i)abc") is None and T.literals("ab|[cd]") is None and T.literals("(") is None
+    assert T.literals("(a|b)") is None and T.literals("(?i)ABC") == ["abc"] and T.literals("ab|[cd]") is None and T.literals("(") is None
 
 
 def test_running_sums_over_ranges(spark):
