@@ -22,15 +22,31 @@ def typed(raw: str) -> Any:
         return text
 
 
+def _object(block: str) -> tuple[str, dict[str, Any]] | None:
+    """A call written as a JSON object with a name. Arguments that can't be read, or aren't an object, are none."""
+    try:
+        given = json.loads(block)
+    except ValueError:
+        return None
+    if not isinstance(given, dict) or not given.get("name"):
+        return None
+    arguments = given.get("arguments", given.get("parameters"))
+    if isinstance(arguments, str):
+        try:
+            arguments = json.loads(arguments)
+        except ValueError:
+            arguments = None
+    return str(given["name"]), arguments if isinstance(arguments, dict) else {}
+
+
 def found(text: str | None) -> list[tuple[str, dict[str, Any]]]:
-    """(name, arguments) of each call, in order: JSON objects within tool_call tags, or function and parameter tags within them or alone. A block that the text's end cuts off counts."""
+    """(name, arguments) of each call, in order: JSON objects within tool_call tags, or function and parameter tags within them or alone. JSON without tags is no call. A block that the text's end cuts off counts."""
     text, out = text or "", []
     for block in _WRAPPED.findall(text) or [text]:
-        try:
-            given = json.loads(block)
-            arguments = given.get("arguments", given.get("parameters")) or {}
-            out.append((str(given["name"]), json.loads(arguments) if isinstance(arguments, str) else arguments))
-        except (ValueError, KeyError, AttributeError):
+        call = _object(block.strip()) if block is not text else None
+        if call:
+            out.append(call)
+        else:
             out += [(name.strip(), {k.strip(): typed(v) for k, v in _PARAMETER.findall(body)}) for name, body in _FUNCTION.findall(block)]
     return out
 

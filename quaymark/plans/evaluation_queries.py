@@ -183,9 +183,9 @@ def _compact(s, d):
 
 
 register("compact_render", V.with_(V.BARS) + ", v AS (SELECT ticker, CAST(round(sum(volume), 2) AS BIGINT) AS total, round(avg(volume), 2) AS m FROM bars GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY m DESC, ticker) AS rank FROM v) SELECT 'volume: ' || count(*) || ' rows; counted_in = shares' || chr(10) || 'rank' || chr(9) || 'ticker' || chr(9) || 'total' || chr(10) || string_agg(rank || chr(9) || ticker || chr(9) || total, chr(10) ORDER BY rank) AS rendered FROM r")(_compact)
-register("constant_columns", V.with_(V.BARS) + """, b AS (SELECT ticker, day, volume, 'shares' AS unit FROM bars WHERE ticker = '5-LOW')
+register("constant_columns", V.with_(V.BARS) + """, b AS (SELECT ticker, day, volume, 'shares' AS unit FROM bars)
 SELECT name, value FROM (SELECT 'ticker' AS name, min(ticker) AS value, count(DISTINCT ticker) AS n FROM b UNION ALL SELECT 'day', CAST(min(day) AS VARCHAR), count(DISTINCT day) FROM b UNION ALL SELECT 'volume', CAST(min(volume) AS VARCHAR), count(DISTINCT volume) FROM b UNION ALL SELECT 'unit', min(unit), count(DISTINCT unit) FROM b UNION ALL SELECT 'note', NULL, 1) WHERE n = 1 AND (SELECT count(*) FROM b) > 1""")(
-    lambda s, d: compact.constants(V.bars(s, d).where("ticker = '5-LOW'").select("ticker", "day", "volume", F.lit("shares").alias("unit"), F.lit(None).cast("string").alias("note"), F.array("ticker").alias("listed")))
+    lambda s, d: compact.constants(V.bars(s, d).select("ticker", "day", "volume", F.lit("shares").alias("unit"), F.lit(None).cast("string").alias("note"), F.array("ticker").alias("listed")))
 )
 
 

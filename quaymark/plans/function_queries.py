@@ -36,7 +36,7 @@ register("fn_rounding_variants", "SELECT o_orderkey, array_to_string(list_distin
 _T = V.with_(V.EXAMPLES)
 register("fn_token_estimate", _T + r"SELECT example_id, CAST(len(regexp_extract_all(answer, '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) + 12 AS BIGINT) AS tokens FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.token_estimate(F.col("answer")).cast("bigint").alias("tokens")))
 register("fn_word_counts", _T + r"SELECT example_id, CASE WHEN trim(answer) = '' THEN 0 ELSE len(regexp_extract_all(answer, '\S+')) END AS words, length(answer) AS chars FROM examples")(lambda s, d: V.examples(s, d).select("example_id", F.regexp_count("answer", F.lit(r"\S+")).cast("bigint").alias("words"), F.length("answer").cast("bigint").alias("chars")))
-register("fn_gold_key", _T + "SELECT example_id, substr(sha1(concat_ws('|', category, gold_key, 'a|b|' || category)), 1, 16) AS key FROM examples WHERE category > 'b'")(lambda s, d: V.examples(s, d).where("category > 'b'").select("example_id", S.gold_key(F.col("category"), F.col("gold_key"), F.array(F.col("category"), F.lit("b"), F.lit("a"))).alias("key")))
+register("fn_gold_key", _T + "SELECT example_id, substr(sha1(concat_ws('|', category, gold_key, list_sort(['a', 'b', category])[1] || '|' || list_sort(['a', 'b', category])[2] || '|' || list_sort(['a', 'b', category])[3])), 1, 16) AS key FROM examples")(lambda s, d: V.examples(s, d).select("example_id", S.gold_key(F.col("category"), F.col("gold_key"), F.array(F.col("category"), F.lit("b"), F.lit("a"))).alias("key")))
 register("fn_list_joiners", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' and x' ELSE n_name || ', x, and y' END AS oxford, CASE n_nationkey % 3 WHEN 0 THEN '1) ' || n_name WHEN 1 THEN '1) ' || n_name || '; 2) x' ELSE '1) ' || n_name || '; 2) x; 3) y' END AS ranking FROM nation")(
     lambda s, d: (lambda items: V.table(s, d, "nation").select("n_nationkey", S.oxford(items).alias("oxford"), S.ranking(items).alias("ranking")))(F.slice(F.array("n_name", F.lit("x"), F.lit("y")), F.lit(1), (F.col("n_nationkey") % 3 + 1).cast("int")))
 )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaymark.functions import scalars as S
+from quaymark.functions import subsets
 from quaymark.operators import prices as P
 from quaymark.operators import rates as R
 from quaymark.operators import text as T
@@ -93,3 +94,38 @@ m AS (SELECT effective, round(avg(round((b.c / a.c - 1) * 100, 4)), 4) AS pct FR
 SELECT 'rba_asx_event' AS category, 'What did the basket do in the sessions after ' || {_DAY.format("effective")} || '?' AS question, 'the target moved to ' || printf('%.2f%%', target_bp / 100.0) || '; the basket went ' || CASE WHEN pct > 0 THEN 'up' WHEN pct < 0 THEN 'down' ELSE 'flat' END || ' ' || printf('%+.4f%%', pct) AS answer FROM m JOIN w USING (effective)""")(lambda s, d: rate_events(V.decisions(s, d), V.bars(s, d)))
 register("gen_composite", _ALL + f", {_YEARS}, {_BASKET} SELECT 'composite' AS category, 'For ' || year || ', report rate changes and the basket''s return.' AS question, changes || ' changes; ' || printf('%+.4f%%', pct) AS answer FROM yr JOIN bk USING (year)")(lambda s, d: composites(V.decisions(s, d), V.bars(s, d)))
 register("gen_refusal", _ALL + ", l AS (SELECT max(day) AS last FROM bars) SELECT 'refusal' AS category, 'What did the basket return in ' || (year(last) + k) || '?' AS question, 'The prices end on ' || " + _DAY.format("last") + " || ', so this can''t be answered from them.' AS answer FROM l, (SELECT unnest([1, 2, 3]) AS k)")(lambda s, d: refusals(V.bars(s, d)))
+
+
+#: Components of a drawn question: forty, so that their subsets can't be listed.
+COMPONENTS, DRAWS = [f"c{k:02d}" for k in range(40)], 3
+
+
+def _drawn_subsets(s, d):
+    """For each item three different subsets of one to three of forty components."""
+    sets = subsets.drawn(F.array(*map(F.lit, COMPONENTS)), 1, 3, F.col("item_id") * 1_000_003, DRAWS)
+    return V.table(s, d, "benchmark").select("item_id", F.posexplode(sets).alias("draw", "members")).select("item_id", "draw", F.array_join("members", ",").alias("members"))
+
+
+register("gen_subsets", f"""WITH c AS (SELECT k, printf('c%02d', k) AS name FROM range(40) t(k)),
+u AS (SELECT 1 AS size, a.k AS x, -1 AS y, -1 AS z, a.name AS members FROM c a UNION ALL SELECT 2, a.k, b.k, -1, a.name || ',' || b.name FROM c a JOIN c b ON a.k < b.k
+UNION ALL SELECT 3, a.k, b.k, e.k, a.name || ',' || b.name || ',' || e.name FROM c a JOIN c b ON a.k < b.k JOIN c e ON b.k < e.k),
+n AS (SELECT members, row_number() OVER (ORDER BY size, x, y, z) - 1 AS number, count(*) OVER () AS total FROM u)
+SELECT item_id, CAST(j AS INTEGER) AS draw, members FROM benchmark, range({DRAWS}) r(j) JOIN n ON n.number = (item_id * 1000003 + j * {subsets.STRIDE}) % n.total""")(_drawn_subsets)
+
+
+def _drawn_returns(s, d):
+    """For each ticker and year two questions that ask for drawn components of its return, answered in the order asked."""
+    rows = P.rank_annual_returns(V.bars(s, d))
+    told = F.array(*[F.concat(F.lit(name + "="), value) for name, value in (("return", F.format_string("%+.4f%%", "return_pct")), ("rank", F.col("rank").cast("string")), ("place", F.col("place")))])
+    sets = subsets.drawn(told, 1, 2, F.col("year").cast("bigint") * 31 + F.length("ticker"), 2)
+    asked = rows.select("ticker", "year", F.posexplode(sets).alias("draw", "members"))
+    names = F.transform("members", lambda m: F.substring_index(m, "=", 1))
+    return asked.select(F.lit("asx_return").alias("category"), _text("For ", F.col("ticker"), " in ", F.col("year"), ", report its ", S.oxford(names), ".").alias("question"), S.ranking(F.transform("members", lambda m: F.substring_index(m, "=", -1))).alias("answer"))
+
+
+register("gen_drawn_returns", _ALL + """, a AS (SELECT ticker, year(day) AS year, round((arg_max(close, day) / arg_min(close, day) - 1) * 100, 4) AS r FROM bars GROUP BY 1, 2 HAVING count(*) >= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY r DESC, ticker) AS rank, count(*) OVER (PARTITION BY year) AS n FROM a),
+t AS (SELECT ticker, year, printf('%+.4f%%', r) AS r, CAST(rank AS VARCHAR) AS k, CASE WHEN rank = 1 THEN 'best' WHEN rank = n THEN 'worst' ELSE 'between' END AS p FROM k),
+q AS (SELECT *, (CAST(year AS BIGINT) * 31 + length(ticker) + j * 2147483647) % 6 AS x FROM t, range(2) v(j))
+SELECT 'asx_return' AS category, 'For ' || ticker || ' in ' || year || ', report its ' || ['return', 'rank', 'place', 'return and rank', 'return and place', 'rank and place'][x + 1] || '.' AS question,
+ CASE x WHEN 0 THEN '1) ' || r WHEN 1 THEN '1) ' || k WHEN 2 THEN '1) ' || p WHEN 3 THEN '1) ' || r || '; 2) ' || k WHEN 4 THEN '1) ' || r || '; 2) ' || p ELSE '1) ' || k || '; 2) ' || p END AS answer FROM q""")(_drawn_returns)

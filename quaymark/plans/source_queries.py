@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quaymark.api import Engine
 from quaymark.plans.catalogue import register
 from quaymark.session import shared_folder
-from quaymark.sources import files
+from quaymark.sources import evidence, files
 from quaymark.sources import views as V
+from quaymark.sources.cache import Cache
 
 
 def _place(spark: SparkSession, name: str) -> str:
@@ -112,3 +113,32 @@ register("surface_execute", V.with_(V.BARS) + "SELECT true AS ok, count(DISTINCT
     # A metric's own name finds its dataset; a name that nobody has is told, not raised.
     lambda s, d: (lambda e: s.createDataFrame([(ok, len(told.get("rows", []))) for told, ok in (e.execute("basket_tickers", {}), e.execute("no_such_metric", {}))], "ok boolean, tickers bigint"))(Engine(s, d))
 )
+
+
+def _kept(s, d):
+    """Words of documents through a cache that is kept: first those that are labelled, then all, then all again, which computes nothing."""
+    docs = V.table(s, d, "documents")
+    cache = Cache(s, f"{shared_folder(s)}/quaymark/cache-{uuid.uuid4().hex}", "doc_id bigint, words bigint", "doc_id")
+    count = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("bigint")
+    words = lambda keys: docs.join(keys, "doc_id").select("doc_id", count.alias("words"))
+    cache.get_or_compute(docs.join(V.table(s, d, "labels"), "doc_id", "left_semi"), words)
+    cache.get_or_compute(docs, words)
+    cache.compact()
+    return cache.get_or_compute(docs, lambda keys: keys.select("doc_id", F.raise_error(F.lit("nothing is lacking")).cast("bigint").alias("words")))
+
+
+register("kept_cache", r"SELECT doc_id, max(len(regexp_extract_all(coalesce(text, ''), '\S+'))) AS words, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 2 END AS added FROM documents GROUP BY doc_id")(_kept)
+
+
+def _evidence_folders(s, d):
+    """Bars as a folder of JSON lines for each ticker, of which two are read back, a broken line among them."""
+    path = f"{shared_folder(s)}/quaymark/evidence-{uuid.uuid4().hex}"
+    bars = V.bars(s, d).select(F.col("ticker").alias("name"), F.to_json(F.struct("ticker", "day", "volume")).alias("value"))
+    broken = bars.select("name").distinct().withColumn("value", F.lit('{"ticker": '))
+    bars.unionByName(broken).write.partitionBy("name").text(path)
+    evidence.register(s)
+    found = s.read.format("evidence").option("path", path).option("include", "*.txt").load().where(F.col("folder").isin("name=1-URGENT", "name=5-LOW"))
+    return found.groupBy("folder").agg(F.count("record").alias("records"), F.count("error").alias("broken"), F.round(F.sum(F.get_json_object("record", "$.volume").cast("double")), 2).alias("volume"))
+
+
+register("evidence_two_folders", V.with_(V.BARS) + "SELECT 'name=' || ticker AS folder, count(*) AS records, 1 AS broken, round(sum(volume), 2) AS volume FROM bars WHERE ticker IN ('1-URGENT', '5-LOW') GROUP BY ticker")(_evidence_folders)
