@@ -129,6 +129,22 @@ def hedged(answer: Column) -> Column:
     return answer.rlike(rf"(?is)(?:{'|'.join(HEDGES)})(?=.{{0,39}}\d)")
 
 
+#: Words that make an answer a hedged one wherever they stand.
+HEDGE_WORDS = ("approximately", "roughly", "about", "around", "circa", "approx", "nearly", "an estimated", "in the region of", "or so", "~")
+
+
+def hedge_words(answer: Column) -> Column:
+    """Whether an answer holds a hedge, with a number near or without."""
+    low = F.lower(answer)
+    return F.exists(F.array(*map(F.lit, HEDGE_WORDS)), lambda w: F.contains(low, w))
+
+
+def trace_numbers(trace: Column) -> Column:
+    """The normal forms of all numbers of a trace (compact, result and args, the latter two as JSON text): what was asked may be quoted as what was found may."""
+    parts = F.flatten(F.transform(trace, lambda t: F.array(t["compact"], t["result"], t["args"])))
+    return F.array_distinct(F.transform(F.flatten(F.transform(parts, number_tokens)), normal))
+
+
 def leaked(answer: Column) -> Column:
     return answer.rlike(LEAKS)
 

@@ -74,3 +74,19 @@ def grid(answers: DataFrame) -> DataFrame:
     upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("arm", "condition").orderBy("words").rowsBetween(Window.unboundedPreceding, 0)))
     middle = upto.join(F.broadcast(cells.select("arm", "condition", "n")), ["arm", "condition"]).where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("arm", "condition").agg(F.min("words").alias("words_p50"))
     return cells.join(middle, ["arm", "condition"])
+
+
+def comparison(pairs: DataFrame) -> DataFrame:
+    """One row: the paired comparison with the interval of its mean difference and the sign-flip p; it is significant if the interval leaves out 0."""
+    both = compare(pairs).join(bootstrap(pairs), F.lit(True)).join(sign_flip(pairs).select("p"), F.lit(True))  # one row each
+    return both.withColumn("significant", F.coalesce((F.col("low") > 0) | (F.col("high") < 0), F.lit(False)))
+
+
+def applied(answers: DataFrame, base: str = "base") -> DataFrame:
+    """Of each other arm of answers (qid, arm, answer): how many answers are the base arm's, how many aren't (a question that the base arm hasn't answered counts so), and whether the arm was applied at all. Answers meet as digests."""
+    told = answers.select("qid", "arm", F.sha2(F.coalesce("answer", F.lit("")), 256).alias("print"))
+    first = told.where(F.col("arm") == base).groupBy("qid").agg(F.min("print").alias("base_print"))
+    each = told.where(F.col("arm") != base).join(first, "qid", "left")
+    same = F.coalesce(F.col("print") == F.col("base_print"), F.lit(False))
+    counts = each.groupBy("arm").agg(F.count_if(same).alias("identical"), F.count_if(~same).alias("differing"))
+    return counts.withColumn("verdict", F.when(F.col("differing") > 0, "APPLIED").otherwise("NOT APPLIED"))

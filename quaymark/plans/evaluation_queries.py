@@ -199,3 +199,39 @@ def _evidence(s, d):
 
 register("evidence_text", """WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'n': turn, 'x': coalesce(text, '')} ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1)
 SELECT conv_id, sha256(CASE WHEN len(t) > 1 THEN array_to_string(list_transform(t, lambda e, i: '[' || i || '] ' || e.r || '({"turn": ' || e.n || '})' || chr(10) || CASE WHEN e.n % 2 = 0 THEN 'n = ' || length(e.x) ELSE e.x END), chr(10) || chr(10)) ELSE 'No tool results were gathered.' END) AS evidence_sha256 FROM t""")(_evidence)
+
+
+register("arm_comparison", _P + """, num AS (SELECT diff, CAST(row_number() OVER (ORDER BY qid) - 1 AS INTEGER) AS nth FROM pr), m AS (SELECT count(*) AS n FROM pr),
+dr AS (SELECT r, ((((r * 7919 + k * 104729) % 2147483647) * 1103515245 + 3) % 2147483647 // 65536) % n AS nth FROM m, range(2000) t(r), range(1000) u(k) WHERE k < n),
+me AS (SELECT r, round(avg(diff), 6) AS mean FROM dr JOIN num USING (nth) GROUP BY 1), pl AS (SELECT mean, row_number() OVER (ORDER BY mean, r) - 1 AS place FROM me),
+ci AS (SELECT max(mean) FILTER (place = 50) AS low, max(mean) FILTER (place = 1950) AS high FROM pl),
+nz AS (SELECT diff, CAST(row_number() OVER (ORDER BY qid) - 1 AS INTEGER) AS nth FROM pr WHERE diff <> 0),
+su AS (SELECT mask, abs(sum(CASE WHEN (mask >> nth) & 1 = 1 THEN -diff ELSE diff END)) AS sum FROM range(1048576) t(mask), nz WHERE mask < (SELECT pow(2, count(*)) FROM nz) GROUP BY 1),
+p AS (SELECT round(avg(CAST(sum >= (SELECT abs(sum(diff)) FROM nz) - 1e-9 AS INTEGER)), 6) AS p FROM su),
+c AS (SELECT count(*) AS questions, round(avg(a), 4) AS mean_base, round(avg(b), 4) AS mean_other, round(avg(diff), 4) AS delta, count(*) FILTER (diff > 0) AS wins, count(*) FILTER (diff < 0) AS losses, count(*) FILTER (diff = 0) AS ties FROM pr)
+SELECT *, low > 0 OR high < 0 AS significant FROM c, ci, p""")(lambda s, d: E.comparison(E.paired(V.arms(s, d))))
+
+
+def _answers(s, d):
+    """Last turns as answers of three arms: one repeats the base's, one changes those of every third conversation."""
+    last = V.table(s, d, "conversations").groupBy("conv_id").agg(F.max_by("text", F.struct("turn", "role", "text")).alias("answer"))
+    other = F.when(F.col("conv_id") % 3 == 0, F.concat_ws("", "answer", F.lit("."))).otherwise(F.col("answer"))
+    arms = F.array(*[F.struct(F.lit(arm).alias("arm"), text.alias("answer")) for arm, text in (("base", F.col("answer")), ("copy", F.col("answer")), ("tuned", other))])
+    return last.select(F.col("conv_id").alias("qid"), F.inline(arms))
+
+
+register("arm_applied", "WITH n AS (SELECT count(DISTINCT conv_id) AS n, count(DISTINCT conv_id) FILTER (conv_id % 3 = 0) AS k FROM conversations) SELECT 'copy' AS arm, n AS identical, 0 AS differing, 'NOT APPLIED' AS verdict FROM n UNION ALL SELECT 'tuned', n - k, k, CASE WHEN k > 0 THEN 'APPLIED' ELSE 'NOT APPLIED' END FROM n")(lambda s, d: E.applied(_answers(s, d)))
+register("fn_hedge_words", V.with_(V.EXAMPLES) + "SELECT example_id, len(list_filter(['approximately', 'roughly', 'about', 'around', 'circa', 'approx', 'nearly', 'an estimated', 'in the region of', 'or so', '~'], lambda w: strpos(lower(answer || CASE WHEN example_id % 4 = 0 THEN ' Or so.' ELSE '' END), w) > 0)) > 0 AS hedged FROM examples")(
+    lambda s, d: V.examples(s, d).select("example_id", G.hedge_words(F.concat("answer", F.when(F.col("example_id") % 4 == 0, " Or so.").otherwise(""))).alias("hedged"))
+)
+
+
+def _trace_numbers(s, d):
+    """Numbers of conversations as traces: a turn's text is a result, its number and length are arguments."""
+    turns = V.table(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(F.lit(None).cast("string").alias("compact"), F.col("text").alias("result"), F.to_json(F.struct("turn", F.format_number(F.length(F.coalesce("text", F.lit(""))) * 1000, 0).alias("chars"))).alias("args"))).alias("trace"))
+    return turns.select("conv_id", F.array_join(F.array_sort(G.trace_numbers(F.col("trace"))), " ").alias("numbers"))
+
+
+register("trace_numbers", r"""WITH b AS (SELECT conv_id, unnest([coalesce(text, ''), CAST(turn AS VARCHAR), format('{:,}', length(coalesce(text, '')) * 1000)]) AS body FROM conversations),
+k AS (SELECT conv_id, unnest(regexp_extract_all(body, '[-+]?\d[\d,]*(?:\.\d+)?')) AS tok FROM b),
+n AS (SELECT DISTINCT conv_id, """ + _NORMAL.format("tok") + r""" AS n FROM k) SELECT c.conv_id, coalesce(string_agg(n, ' ' ORDER BY n), '') AS numbers FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n USING (conv_id) GROUP BY 1""")(_trace_numbers)

@@ -8,6 +8,7 @@ from quaymark.plans.catalogue import register
 from quaymark.session import shared_folder
 from quaymark.sources import views as V
 from quaymark.streaming import bars as B
+from quaymark.streaming import telemetry
 
 
 def _stream(s, d):
@@ -19,3 +20,13 @@ register("stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
 SELECT user_id, min(ts) AS begin, count(*) AS n_events, round(sum(value), 4) AS value FROM r GROUP BY user_id, run""")(lambda s, d: B.drain(B.user_sessions(_stream(s, d)), "complete", shared_folder(s)).withColumn("begin", F.col("begin").cast("timestamp_ntz")))
 register("stream_asof_rate", V.with_(V.DECISIONS) + "SELECT event_id, effective, target_bp FROM events ASOF LEFT JOIN decisions ON CAST(ts AS DATE) >= effective")(lambda s, d: B.drain(B.with_rate(_stream(s, d), V.decisions(s, d)), "append", shared_folder(s)))
+
+
+def _rolling(s, d):
+    """Events may come in any order of time: none is taken for late."""
+    telemetry.use_rocksdb(s)
+    return telemetry.latest(B.drain(telemetry.rolling(_stream(s, d), late="36500 days"), "append", shared_folder(s)))
+
+
+register("stream_rolling", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth, count(*) OVER (PARTITION BY event_type) AS seen FROM events)
+SELECT event_type AS kind, any_value(seen) AS seen, count(*) AS requests, round(avg(value), 4) AS mean_value, round(max(value), 4) AS max_value, count(*) FILTER (nth <= 20 AND value > 50) AS slow_recent FROM l WHERE nth <= 50 GROUP BY 1""")(_rolling)

@@ -46,3 +46,33 @@ def test_sessions_that_are_over(spark, tmp_path):
     put(spark, path, [(5, at(5, 9), 3, "A", 9.0)])
     got = B.drain(B.user_sessions(stream(spark, path)), "append", shared_folder(spark))
     assert sorted((r.user_id, r.n_events, r.value) for r in got.collect()) == [(1, 1, 4.0), (1, 2, 3.0)]
+
+
+def test_rolling_telemetry_over_batches_and_a_restart(spark, tmp_path):
+    from quaymark.streaming import telemetry
+
+    telemetry.use_rocksdb(spark)
+    events = spark.range(400).selectExpr("id as event_id", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(pmod(id * 37, 400) as int)) as ts", "if(id % 3 = 0, 'a', 'b') as event_type", "double(id % 70) as value")
+    odd = spark.sql("select cast(null as bigint) as event_id, timestamp'2024-01-01' as ts, 'a' as event_type, 1.0D as value")
+
+    def some(low, high):
+        events.where(f"event_id >= {low} and event_id < {high}").unionByName(odd).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run():
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = telemetry.rolling(stream).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    for low in (0, 100, 200):
+        some(low, low + 100)
+    run()
+    some(300, 400)
+    run()
+    told = spark.read.schema(telemetry.SCHEMA).parquet(f"{tmp_path}/out")
+    assert told.where("kind = 'a'").count() == 4
+    rows = events.collect()
+    for r in telemetry.latest(told).collect():
+        last = sorted(((x.ts, x.event_id, x.value) for x in rows if x.event_type == r.kind), reverse=True)
+        assert r.seen == len(last) and r.requests == 50
+        values = [v for _, _, v in last[:50]]
+        assert (r.mean_value, r.max_value, r.slow_recent) == (round(sum(values) / 50, 4), max(values), sum(v > 50 for v in values[:20]))
