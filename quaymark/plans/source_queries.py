@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaymark.api import Engine
 from quaymark.plans.catalogue import register
 from quaymark.session import shared_folder
-from quaymark.sources import evidence, files
+from quaymark.sources import evidence, files, metrics
 from quaymark.sources import views as V
 from quaymark.sources.cache import Cache
 
@@ -142,3 +142,25 @@ def _evidence_folders(s, d):
 
 
 register("evidence_two_folders", V.with_(V.BARS) + "SELECT 'name=' || ticker AS folder, count(*) AS records, 1 AS broken, round(sum(volume), 2) AS volume FROM bars WHERE ticker IN ('1-URGENT', '5-LOW') GROUP BY ticker")(_evidence_folders)
+
+
+def _asked(text):
+    """A question in SQL, over the table functions of this folder."""
+
+    def query(s, d):
+        metrics.register(s, d)
+        return s.sql(text)
+
+    return query
+
+
+register("sql_rates_count", _D + "SELECT count(*) AS records FROM decisions WHERE effective >= DATE '1997-01-01'")(_asked("SELECT * FROM rates_count(start => '1997')"))
+register("sql_changes_lateral", V.with_(V.DECISIONS, V.BARS) + """, y AS (SELECT DISTINCT year(day) AS year FROM bars)
+SELECT y.year, count(effective) AS records, count(*) FILTER (change_bp > 0) AS increases, count(*) FILTER (change_bp < 0) AS decreases, round(coalesce(sum(change_bp), 0) / 100.0, 2) AS net_points FROM y LEFT JOIN decisions ON effective BETWEEN make_date(y.year, 7, 1) AND make_date(y.year + 1, 6, 30) GROUP BY y.year""")(
+    # Each year of the bars, as the twelve months from July: windows from a table.
+    _asked("SELECT y.year, records, increases, decreases, net_points FROM (SELECT DISTINCT year(day) AS year FROM quaymark_bars) y, LATERAL rates_count_changes(y.year || '-07', (y.year + 1) || '-06')")
+)
+register("sql_window_return", V.with_(V.BARS) + """, w AS (SELECT ticker, arg_max(close, day) FILTER (day <= DATE '1996-01-01') AS a, max(day) FILTER (day <= DATE '1996-01-01') AS start_day, arg_max(close, day) AS b, max(day) AS end_day FROM bars WHERE day <= DATE '1998-06-30' AND ticker <> '5-LOW' GROUP BY ticker)
+SELECT ticker, start_day, end_day, round((b / a - 1) * 100, 4) AS return_pct FROM w WHERE a IS NOT NULL""")(_asked("SELECT * FROM prices_window_return('1996', 'Jun 1998', exclude => array('5-LOW'))"))
+register("sql_text_by_year", V.with_(V.ARTICLES) + r""", y AS (SELECT year(publication) AS year, count(*) AS matches FROM articles WHERE publication IS NOT NULL AND regexp_matches(blob, '(^|[^\p{L}\p{N}_])(the|und)([^\p{L}\p{N}_]|$)') GROUP BY 1)
+SELECT year, matches, row_number() OVER (ORDER BY matches DESC, year) = 1 AS peak FROM y""")(_asked("SELECT * FROM text_count_by_year(terms => array('The', 'und'))"))
