@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,10 +108,42 @@ def empty_trace(examples: DataFrame, blocks: str, components: str) -> DataFrame:
     return examples.withColumns({blocks: F.array().cast("array<string>"), components: F.array(F.lit("no grounded answer can be given")), "answer": F.lit(NO_EVIDENCE)})
 
 
-def plausible(variant: Column, original: Column, low: int = 15, high: int = 400) -> Column:
-    """A paraphrase must have a fair length and keep every year of the original."""
-    years = F.regexp_extract_all(original, F.lit(r"\b(?:19|20)\d{2}\b"), F.lit(0))
-    return F.length(variant).between(low, high) & F.forall(years, lambda y: F.contains(variant, y))
+#: Fixed pattern of what a paraphrase must keep: years and tickers. And what tells that something is left out.
+HARD_TOKENS, LEFT_OUT = r"\b(?:19|20)\d{2}\b|\b[A-Z]{2,4}\.AX\b", "xclud"
+
+
+def plausible(variant: Column, original: Column, low: int = 15, high: int = 400, excluded: Sequence[str] = ()) -> Column:
+    """A paraphrase must have a fair length, keep every year and ticker of the original, and where that excludes something say so too, or name one of `excluded`."""
+    hard = F.regexp_extract_all(original, F.lit(HARD_TOKENS), F.lit(0))
+    says = reduce(lambda a, b: a | b, [F.contains(variant, F.lit(w)) for w in (LEFT_OUT, *excluded)])
+    return F.length(variant).between(low, high) & F.forall(hard, lambda h: F.contains(variant, h)) & (~F.contains(original, F.lit(LEFT_OUT)) | says)
+
+
+def variants(reply: Column, question: Column, n: int = 2, excluded: Sequence[str] = ()) -> Column:
+    """Of a model's reply, one variant a line, the first n that are plausible and aren't the question, without bullets, numbers and quotes around them. A null reply has none."""
+    bare = lambda line: F.regexp_replace(F.regexp_replace(line, r'^\s*[-*0-9. ]*\s*"*', ""), r'"*\s*$', "")
+    lines = F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r\n|\r|\n", -1), bare)
+    return F.slice(F.filter(lines, lambda v: (v != "") & (v != question) & plausible(v, question, excluded=excluded)), 1, n)
+
+
+def paraphrased(examples: DataFrame, n: int = 2, excluded: Sequence[str] = ()) -> DataFrame:
+    """Up to n further examples for each of examples (template_id, question, perturbations, reply, ...), the originals not among them: another question and template, all else (answer, components, gold key) as it was, so that a group stays on one side of a split."""
+    told = examples.withColumn("reply", variants(F.col("reply"), F.col("question"), n, excluded))
+    each = told.select("*", F.posexplode("reply").alias("quaymark_nth", "quaymark_variant"))
+    new = {"template_id": F.concat(F.col("template_id").cast("string"), F.lit(".p"), (F.col("quaymark_nth") + 1).cast("string")), "question": F.col("quaymark_variant"), "perturbations": F.concat(F.coalesce("perturbations", F.array().cast("array<string>")), F.array(F.lit("paraphrase")))}
+    return each.select(*[new[c].alias(c) if c in new else c for c in examples.columns if c != "reply"])
+
+
+def user_prompt(question: Column, evidence: Column) -> Column:
+    """What a model is asked: the question and its evidence, in a fixed form."""
+    return F.concat(F.lit("Question:\n"), question, F.lit("\n\nVerified tool results:\n"), evidence, F.lit("\n\nWrite the final answer."))
+
+
+def prompt_gates(captures: DataFrame, system: str) -> DataFrame:
+    """Per set of captured prompts (set, system, prompt, rendered, steps): how many have a trace, whether each of those is what is rendered (none to check is a failure), and whether every system prompt is the one that is served."""
+    checked = F.col("steps") > 0
+    unlike = F.count_if(checked & ~F.col("prompt").eqNullSafe(F.col("rendered")))
+    return captures.groupBy("set").agg(F.count_if(checked).alias("checked"), ((F.count_if(checked) > 0) & (unlike == 0)).alias("parity"), (F.count_if(~F.col("system").eqNullSafe(F.lit(system))) == 0).alias("identity"))
 
 
 def grounded(span: Column, snippet: Column) -> Column:

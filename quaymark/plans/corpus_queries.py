@@ -11,7 +11,7 @@ from quaymark.operators import prices as P
 from quaymark.plans.catalogue import register
 from quaymark.sources import views as V
 
-BUDGET, VAL_ROWS = 1024, 150
+BUDGET, VAL_ROWS, STRATIFIED = 1024, 150, 400
 SHARES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 _E = V.with_(V.EXAMPLES)
 _MIX = "((({0}) % 2147483647) * 1103515245 + {1}) % 2147483647"
@@ -47,7 +47,12 @@ register("leakage_check", _SPLIT + "SELECT count(*) AS shared FROM (SELECT gold_
 register("holdout_antijoin", _SPLIT + "SELECT example_id FROM sp a WHERE split = 'val' AND NOT EXISTS (SELECT 1 FROM sp b WHERE b.split = 'train' AND b.gold_key = a.gold_key)")(
     lambda s, d: (lambda x: x.where("split = 'val'").join(x.where("split = 'train'").select("gold_key"), "gold_key", "left_anti").select("example_id"))(C.split_by_group(_x(s, d), VAL_ROWS))
 )
-register("corpus_stratify")(lambda s, d: C.stratify(_x(s, d), 400, SHARES))
+register("corpus_stratify", _E + f""", q AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {v})" for c, v in SHARES.items())}) x(category, share)),
+h AS (SELECT category, share, CAST(round({STRATIFIED} * share) AS BIGINT) AS quota, (SELECT count(*) FROM examples e WHERE e.category = q.category) AS have FROM q),
+t AS (SELECT category, share, least(quota, have) AS take, greatest(0, least(have, CAST(floor(1.5 * quota) AS BIGINT)) - least(quota, have)) AS room FROM h),
+f AS (SELECT category, take + greatest(0, least(room, {STRATIFIED} - sum(take) OVER () - coalesce(sum(room) OVER (ORDER BY share DESC, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota FROM t),
+r AS (SELECT example_id, category, row_number() OVER (PARTITION BY category ORDER BY {_MIX.format('example_id', 41)}, example_id) AS nth FROM examples)
+SELECT example_id, category, nth FROM r JOIN f USING (category) WHERE nth <= quota""")(lambda s, d: C.stratify(_x(s, d), STRATIFIED, SHARES))
 register("corpus_prefix_balance", _E + ", t AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY tokens, example_id) AS turn FROM examples) SELECT category, count(*) AS n FROM t WHERE turn <= 40 GROUP BY 1")(lambda s, d: C.interleave(_x(s, d)).where("turn <= 40").groupBy("category").agg(F.count("*").alias("n")))
 register("corpus_gates", _SPLIT + ", t AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY tokens, example_id) AS turn FROM examples) SELECT (SELECT max(n) <= 1 FROM (SELECT count(DISTINCT split) AS n FROM sp GROUP BY gold_key)) AS no_leak, (SELECT min(n) >= 6 FROM (SELECT count(*) AS n FROM t WHERE turn <= 40 GROUP BY category)) AS balanced, max(tokens) <= 1024 AS within_budget, count(*) FILTER (length(trim(answer)) = 0) = 0 AS answered FROM examples")(
     lambda s, d: C.gates(C.split_by_group(_x(s, d), VAL_ROWS), _x(s, d), BUDGET, 40, 6)
@@ -129,6 +134,12 @@ def _paraphrases(s, d):
 
 
 register("paraphrase_plausible", "SELECT doc_id AS example_id, doc_id % 4 = 0 AS plausible FROM documents")(_paraphrases)
+register("paraphrase_expand", _E + r""", v AS (SELECT example_id, gold_key, answer, list_filter(list_transform(string_split_regex(answer, '\r\n|\r|\n'), lambda l: regexp_replace(regexp_replace(l, '^\s*[-*0-9. ]*\s*"*', ''), '"*\s*$', '')),
+ lambda l: l <> '' AND l <> question AND length(l) BETWEEN 15 AND 400 AND len(list_filter(regexp_extract_all(question, '\b(?:19|20)\d{2}\b|\b[A-Z]{2,4}\.AX\b'), lambda h: NOT contains(l, h))) = 0 AND (NOT contains(question, 'xclud') OR contains(l, 'xclud'))) AS found FROM examples),
+k AS (SELECT *, unnest([1, 2]) AS nth FROM v) SELECT example_id, example_id || '.p' || nth AS template_id, found[nth] AS question, gold_key, sha256(answer) AS answer_sha256, 'paraphrase' AS perturbations FROM k WHERE nth <= len(found)""")(
+    # The lines of an answer stand in for a model's reply.
+    lambda s, d: C.paraphrased(_x(s, d).select("example_id", F.col("example_id").alias("template_id"), "question", "gold_key", F.sha2("answer", 256).alias("answer_sha256"), F.lit(None).cast("array<string>").alias("perturbations"), F.col("answer").alias("reply"))).withColumn("perturbations", F.array_join("perturbations", ","))
+)
 register("span_grounded", _E + ", x AS (SELECT example_id, answer, CASE WHEN example_id % 3 = 0 THEN '' ELSE string_split(answer, chr(10))[-1] END || CASE WHEN example_id % 5 = 0 THEN ' #' ELSE '' END AS span FROM examples) SELECT example_id, contains(lower(answer), substr(lower(span), 1, 60)) AS grounded FROM x")(
     lambda s, d: _x(s, d).select("example_id", C.grounded(F.concat(F.when(F.col("example_id") % 3 == 0, "").otherwise(F.element_at(F.split("answer", "\n", -1), -1)), F.when(F.col("example_id") % 5 == 0, " #").otherwise("")), F.col("answer")).alias("grounded"))
 )

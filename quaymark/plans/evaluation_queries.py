@@ -189,12 +189,16 @@ SELECT name, value FROM (SELECT 'ticker' AS name, min(ticker) AS value, count(DI
 )
 
 
-def _evidence(s, d):
+def _traces(s, d):
     """The turns of a conversation as a trace: every second one has a compact form, and conversations of one turn have no trace."""
     turns = V.table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     step = lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("tool"), F.concat(F.lit('{"turn": '), x["turn"].cast("string"), F.lit("}")).alias("args"), F.when(x["turn"] % 2 == 0, F.concat(F.lit("n = "), F.length(F.coalesce(x["text"], F.lit(""))).cast("string"))).otherwise("").alias("compact"), x["text"].alias("result"))
     trace = F.when(F.size("t") > 1, F.transform("t", step))
-    return turns.select("conv_id", F.sha2(S.evidence_text(trace), 256).alias("evidence_sha256"))
+    return turns.select("conv_id", trace.alias("trace"))
+
+
+def _evidence(s, d):
+    return _traces(s, d).select("conv_id", F.sha2(S.evidence_text(F.col("trace")), 256).alias("evidence_sha256"))
 
 
 register("evidence_text", """WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 'n': turn, 'x': coalesce(text, '')} ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1)
@@ -235,3 +239,33 @@ def _trace_numbers(s, d):
 register("trace_numbers", r"""WITH b AS (SELECT conv_id, unnest([coalesce(text, ''), CAST(turn AS VARCHAR), format('{:,}', length(coalesce(text, '')) * 1000)]) AS body FROM conversations),
 k AS (SELECT conv_id, unnest(regexp_extract_all(body, '[-+]?\d[\d,]*(?:\.\d+)?')) AS tok FROM b),
 n AS (SELECT DISTINCT conv_id, """ + _NORMAL.format("tok") + r""" AS n FROM k) SELECT c.conv_id, coalesce(string_agg(n, ' ' ORDER BY n), '') AS numbers FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n USING (conv_id) GROUP BY 1""")(_trace_numbers)
+
+
+SERVED = "Answer from the evidence."
+
+
+def _captures(s, d):
+    """Prompts as they were served, and once more, cut after 200 characters and under another system prompt where the id is odd."""
+    rendered = C.user_prompt(F.concat(F.lit("What was said in "), F.col("conv_id").cast("string"), F.lit("?")), S.evidence_text(F.col("trace")))
+    rows = _traces(s, d).select("conv_id", rendered.alias("rendered"), F.coalesce(F.size("trace"), F.lit(0)).alias("steps"))
+    served = rows.select(F.lit("served").alias("set"), F.lit(SERVED).alias("system"), F.col("rendered").alias("prompt"), "rendered", "steps")
+    cut = rows.select(F.lit("cut").alias("set"), F.when(F.col("conv_id") % 2 == 1, "Answer.").otherwise(SERVED).alias("system"), F.substring("rendered", 1, 200).alias("prompt"), "rendered", "steps")
+    return C.prompt_gates(served.unionByName(cut), SERVED)
+
+
+register("prompt_gates", """WITH c AS (SELECT conv_id, count(*) AS n, sum(length(coalesce(text, ''))) AS chars FROM conversations GROUP BY conv_id)
+SELECT 'served' AS set, count(*) FILTER (n > 1) AS checked, count(*) FILTER (n > 1) > 0 AS parity, true AS identity FROM c
+UNION ALL SELECT 'cut', count(*) FILTER (n > 1), false, count(*) FILTER (conv_id % 2 = 1) = 0 FROM c""")(_captures)
+
+
+def _cases(s, d):
+    """Labelled cases for the judge of grounded spans: each text's last line, which is in it, and the same behind words that aren't."""
+    text = F.coalesce("text", F.lit(""))
+    last = F.element_at(F.split(text, "\n", -1), -1)
+    cases = V.table(s, d, "documents").select(F.explode(F.array(F.struct(F.lit(True).alias("expected"), last.alias("span")), F.struct(F.lit(False).alias("expected"), F.concat(F.lit("The board denied: "), last).alias("span")))).alias("x"), text.alias("text"))
+    return E.agreement(cases.select("x.expected", C.grounded(F.col("x.span"), F.col("text")).alias("verdict")))
+
+
+register("judge_calibration", """WITH t AS (SELECT lower(coalesce(text, '')) AS text, string_split(coalesce(text, ''), chr(10))[-1] AS last FROM documents),
+c AS (SELECT true AS expected, contains(text, substr(lower(last), 1, 60)) AS verdict FROM t UNION ALL SELECT false, contains(text, substr(lower('The board denied: ' || last), 1, 60)) FROM t)
+SELECT count(*) AS cases, round(avg(CAST(expected = verdict AS INTEGER)), 6) AS agreement, count(*) FILTER (expected AND NOT verdict) AS misses, avg(CAST(expected = verdict AS INTEGER)) >= 0.95 AND count(*) FILTER (expected AND NOT verdict) = 0 AS passes FROM c""")(_cases)

@@ -209,3 +209,23 @@ def test_grading(spark):
     got = one.select(grading.screened(F.col("f"), F.col("a")).alias("x"), grading.screened(F.lit("the market rally"), F.col("b")).alias("y")).first()
     assert got.x.missing == ["2019"] and not got.x.likely and got.y.coverage == 0.0 and not got.y.likely
     assert [r.v for r in spark.createDataFrame([(None,), (60.0,), (61.0,), (301.0,)], "s double").select(S.latency_factor(F.col("s")).alias("v")).collect()] == [1.0, 1.0, 0.8, 0.0]
+
+
+def test_paraphrases(spark):
+    """Lines of a reply as variants: bullets and quotes go, hard tokens must stay, the first n count; odd replies have none."""
+    q = "What did BHP.AX return in 2019, excluding CBA.AX?"
+    good = ["How did BHP.AX do in 2019, CBA.AX excluded?", "In 2019, BHP.AX without CBA.AX, which is excluded?", "Tell me BHP.AX for 2019 excluding CBA.AX"]
+    reply = "\n".join([f'1. "{good[0]}"', "- How did BHP.AX do in 2018, CBA.AX excluded?", "* How did BHP.AX do in 2019, CBA.AX apart?", q, "", "2019?", f"  2. {good[1]}  ", f"- {good[2]}"])
+    rows = [(1, "t", q, "a", ["shuffle"], reply, "k"), (2, "t", q, "a", None, None, "k"), (3, None, "Why?", "a", None, "short\r\nA line that is long enough\n" + "x" * 100000, None), (3, None, "Why?", "a", None, "", None)]
+    df = spark.createDataFrame(rows, "example_id int, template_id string, question string, answer string, perturbations array<string>, reply string, gold_key string")
+    got = C.paraphrased(df, 2).collect()
+    assert [(r.example_id, r.template_id, r.question, r.answer, r.perturbations, r.gold_key) for r in got] == [(1, "t.p1", good[0], "a", ["shuffle", "paraphrase"], "k"), (1, "t.p2", good[1], "a", ["shuffle", "paraphrase"], "k"), (3, None, "A line that is long enough", "a", ["paraphrase"], None)]
+    assert C.paraphrased(df, 3).where("example_id = 1").count() == 3 and C.paraphrased(df.limit(0)).count() == 0
+    named = C.paraphrased(df, 9, excluded=["apart"]).where("example_id = 1").count()
+    assert named == 4 and "reply" not in C.paraphrased(df).columns
+
+
+def test_prompt_gates(spark):
+    rows = [("a", "S", "p", "p", 1), ("a", "S", "x", "p", 0), ("b", "S", "p ", "p", 2), ("c", "T", None, None, 0), ("d", None, None, "p", 1)]
+    got = {r["set"]: tuple(r)[1:] for r in C.prompt_gates(spark.createDataFrame(rows, "set string, system string, prompt string, rendered string, steps int"), "S").collect()}
+    assert got == {"a": (1, True, True), "b": (1, False, True), "c": (0, False, False), "d": (1, False, False)}
