@@ -112,24 +112,35 @@ def empty_trace(examples: DataFrame, blocks: str, components: str) -> DataFrame:
 HARD_TOKENS, LEFT_OUT = r"\b(?:19|20)\d{2}\b|\b[A-Z]{2,4}\.AX\b", "xclud"
 
 
-def plausible(variant: Column, original: Column, low: int = 15, high: int = 400, excluded: Sequence[str] = ()) -> Column:
+def hard_tokens(original: Column) -> Column:
+    return F.regexp_extract_all(original, F.lit(HARD_TOKENS), F.lit(0))
+
+
+def plausible(variant: Column, original: Column, low: int = 15, high: int = 400, excluded: Sequence[str] = (), hard: Column | None = None) -> Column:
     """A paraphrase must have a fair length, keep every year and ticker of the original, and where that excludes something say so too, or name one of `excluded`."""
-    hard = F.regexp_extract_all(original, F.lit(HARD_TOKENS), F.lit(0))
+    hard = hard_tokens(original) if hard is None else hard
     says = reduce(lambda a, b: a | b, [F.contains(variant, F.lit(w)) for w in (LEFT_OUT, *excluded)])
     return F.length(variant).between(low, high) & F.forall(hard, lambda h: F.contains(variant, h)) & (~F.contains(original, F.lit(LEFT_OUT)) | says)
 
 
 def variants(reply: Column, question: Column, n: int = 2, excluded: Sequence[str] = ()) -> Column:
     """Of a model's reply, one variant a line, the first n that are plausible and aren't the question, without bullets, numbers and quotes around them. A null reply has none."""
-    bare = lambda line: F.regexp_replace(F.regexp_replace(line, r'^\s*[-*0-9. ]*\s*"*', ""), r'"*\s*$', "")
-    lines = F.transform(F.split(F.coalesce(reply, F.lit("")), r"\r\n|\r|\n", -1), bare)
-    return F.slice(F.filter(lines, lambda v: (v != "") & (v != question) & plausible(v, question, excluded=excluded)), 1, n)
+    blanks = F.lit(" \t\r\n\f\v")
+    bare = lambda line: F.btrim(F.btrim(F.ltrim(F.btrim(line, blanks), F.lit("-*0123456789. ")), blanks), F.lit('"'))
+    lines = F.split(F.coalesce(reply, F.lit("")), r"\r\n|\r|\n", -1)
+
+    def first(hard: Column) -> Column:
+        fit = lambda v: (v != "") & (v != question) & plausible(v, question, excluded=excluded, hard=hard)
+        return F.aggregate(lines, F.array().cast("array<string>"), lambda got, line: F.when(F.size(got) >= n, got).otherwise(F.concat(got, F.filter(F.array(bare(line)), fit))))
+
+    return F.element_at(F.transform(F.array(hard_tokens(question)), first), 1)  # the question is read once, not for each line
 
 
 def paraphrased(examples: DataFrame, n: int = 2, excluded: Sequence[str] = ()) -> DataFrame:
     """Up to n further examples for each of examples (template_id, question, perturbations, reply, ...), the originals not among them: another question and template, all else (answer, components, gold key) as it was, so that a group stays on one side of a split."""
     told = examples.withColumn("reply", variants(F.col("reply"), F.col("question"), n, excluded))
-    each = told.select("*", F.posexplode("reply").alias("quaymark_nth", "quaymark_variant"))
+    # The outer form, for the other one's test of emptiness would read every reply twice.
+    each = told.select("*", F.posexplode_outer("reply").alias("quaymark_nth", "quaymark_variant")).where("quaymark_variant is not null")
     new = {"template_id": F.concat(F.col("template_id").cast("string"), F.lit(".p"), (F.col("quaymark_nth") + 1).cast("string")), "question": F.col("quaymark_variant"), "perturbations": F.concat(F.coalesce("perturbations", F.array().cast("array<string>")), F.array(F.lit("paraphrase")))}
     return each.select(*[new[c].alias(c) if c in new else c for c in examples.columns if c != "reply"])
 
