@@ -17,10 +17,12 @@ MONTH_YEAR = r"\b([A-Za-z]{3,9})\.?\s+(\d{4})\b"
 NUMBER = r"[+-]?\d{1,3}(?:,\d{3})+(?:\.\d+)?|[+-]?\d+(?:\.\d+)?"
 LOOSE_NUMBER = r"[-+]?\d[\d,]*(?:\.\d+)?"
 CONTEXT = 45
-# Fixed word lists.
+# Fixed word list: hedges.
 HEDGES = ("approximately", "roughly", "about", "around", "circa", "some", "nearly", "almost", "just over", "just under", "in the region of", "or so", "give or take", "ballpark", "estimated", "an estimated", "close to", "upwards of", "north of", "south of")
+# Fixed patterns: reasoning that leaked into an answer, and faults of its format.
 LEAKS = r"(?im)<think>|</think>|thinking process|let me (?:think|check|work|see)|^\s*(?:step \d|first,? i|okay,? so|hmm)|i need to (?:find|check|look)|the user (?:is asking|wants)|based on the tool results?,? i"
 FAULTS = r"(?im)DOMAIN_PREDICT_MODE|mock-fallback|tool_trace|query_data\(|dataset_coverage\(|\[\d+\]\s+(?:query_data|retrieve|dataset_coverage)|```|^\s*\{\s*[\"']|Verified tool results"
+# Fixed word list: words that say nothing of a fact.
 STOP_WORDS = ("the", "and", "with", "that", "from", "were", "this")
 
 
@@ -158,7 +160,7 @@ def screened(fact: Column, answer: Column) -> Column:
     tokens = lambda t: F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"-?\d+(?:[.,]\d+)*"), F.lit(0)), lambda n: F.regexp_replace(n, ",", "")))
     missing = F.array_sort(F.array_except(tokens(fact), tokens(answer)))
     words = F.filter(F.regexp_extract_all(F.lower(fact), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    hits = F.size(F.filter(words, lambda w: F.contains(F.lower(answer), w)))
+    hits = F.element_at(F.transform(F.array(F.lower(answer)), lambda low: F.size(F.filter(words, lambda w: F.contains(low, w)))), 1)  # lower-cased once, not once a word
     n = F.size(words)
     passes = (F.size(missing) == 0) & ((n == 0) | (hits >= F.greatest(F.lit(1), F.floor(n / 3))))
     return F.struct(missing.alias("missing"), F.when(n > 0, F.round(hits / n, 2)).alias("coverage"), passes.alias("likely"))

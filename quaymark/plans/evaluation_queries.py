@@ -128,8 +128,8 @@ register("numbers_missing", "WITH " + _DIALOGUES + "SELECT conv_id, CAST(coalesc
     lambda s, d: _dialogues(s, d).select("conv_id", F.size(G.ungrounded(F.col("answer"), F.col("evidence"))).cast("bigint").alias("ungrounded"))
 )
 _BEGINS = ("<think>so", "Okay, so", "Use ```", '{ "a": 1', "Hmm. tool_trace", "about 5")
-_FLAGS = r"""SELECT conv_id, turn, regexp_matches(body, '(?im)<think>|</think>|thinking process|let me (?:think|check|work|see)|^\s*(?:step \d|first,? i|okay,? so|hmm)|i need to (?:find|check|look)|the user (?:is asking|wants)|based on the tool results?,? i') AS leaked,
- regexp_matches(body, '(?im)DOMAIN_PREDICT_MODE|mock-fallback|tool_trace|query_data\(|dataset_coverage\(|\[\d+\]\s+(?:query_data|retrieve|dataset_coverage)|```|^\s*\{\s*["'']|Verified tool results') AS misformatted FROM (SELECT conv_id, turn, CASE conv_id % 7 WHEN 0 THEN '<think>so' WHEN 1 THEN 'Okay, so' WHEN 2 THEN 'Use ```' WHEN 3 THEN '{ "a": 1' WHEN 4 THEN 'Hmm. tool_trace' WHEN 5 THEN 'about 5' ELSE '' END || ' ' || coalesce(text, '') AS body FROM conversations)"""
+_FLAGS = f"""SELECT conv_id, turn, {V.leaked_sql('body')} AS leaked, {V.misformatted_sql('body')} AS misformatted
+FROM (SELECT conv_id, turn, CASE conv_id % 7 WHEN 0 THEN '<think>so' WHEN 1 THEN 'Okay, so' WHEN 2 THEN 'Use ```' WHEN 3 THEN '{{ "a": 1' WHEN 4 THEN 'Hmm. tool_trace' WHEN 5 THEN 'about 5' ELSE '' END || ' ' || coalesce(text, '') AS body FROM conversations)"""
 register("answer_flags", _FLAGS)(
     lambda s, d: V.table(s, d, "conversations").withColumn("body", F.concat_ws(" ", F.coalesce(*[F.when(F.col("conv_id") % 7 == k, F.lit(b)) for k, b in enumerate(_BEGINS)], F.lit("")), F.coalesce("text", F.lit("")))).select("conv_id", "turn", G.leaked(F.col("body")).alias("leaked"), G.misformatted(F.col("body")).alias("misformatted"))
 )
@@ -148,15 +148,39 @@ def _cells(s, d):
 
 register("arm_condition_grid", "WITH " + _DIALOGUES + r""", a AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN ' ' ELSE answer END AS answer, CASE WHEN conv_id % 11 = 0 THEN 0 ELSE coalesce(ungrounded, 0) END AS ung FROM dl LEFT JOIN un USING (conv_id)),
 x AS (SELECT CASE WHEN conv_id % 2 = 0 THEN 'base' ELSE 'tuned' END AS arm, ['clean', 'noisy', 'insufficient', 'shuffled'][conv_id // 2 % 4 + 1] AS condition, conv_id % 4 AS earned, len(regexp_extract_all(answer, '\S+')) AS words, ung > 0 AS u, trim(answer) = '' AS e,
- regexp_matches(answer, '(?is)(approximately|roughly|about|around|circa|some|nearly|almost|just over|just under|in the region of|or so|give or take|ballpark|estimated|an estimated|close to|upwards of|north of|south of).{0,39}[0-9]') AS h,
- regexp_matches(answer, '(?im)<think>|</think>|thinking process|let me (?:think|check|work|see)|^\s*(?:step \d|first,? i|okay,? so|hmm)|i need to (?:find|check|look)|the user (?:is asking|wants)|based on the tool results?,? i') AS l,
- regexp_matches(answer, '(?im)DOMAIN_PREDICT_MODE|mock-fallback|tool_trace|query_data\(|dataset_coverage\(|\[\d+\]\s+(?:query_data|retrieve|dataset_coverage)|```|^\s*\{\s*["'']|Verified tool results') AS m FROM a)
+ """ + f"{V.hedged_sql('answer')} AS h, {V.leaked_sql('answer')} AS l, {V.misformatted_sql('answer')} AS m " + """FROM a)
 SELECT arm, condition, count(*) AS n, round(sum(earned) / (3 * count(*)), 4) AS score, round(avg(CAST(h AS INTEGER)), 4) AS hedged_rate, round(avg(CAST(u AS INTEGER)), 4) AS ungrounded_rate, round(avg(CAST(l AS INTEGER)), 4) AS leaked_rate, round(avg(CAST(m AS INTEGER)), 4) AS misformatted_rate, round(avg(CAST(e AS INTEGER)), 4) AS empty_rate, max(words) AS words_max, list(words ORDER BY words)[count(*) // 2 + 1] AS words_p50 FROM x GROUP BY 1, 2""")(lambda s, d: E.grid(_cells(s, d)))
-register("component_screen", """WITH f AS (SELECT item_id, (item_id * 13) % 7 - 3 AS off, item_id % 6 AS kind, (item_id // 6) % 5 = 0 AS undated FROM benchmark)
-SELECT item_id, off = 0 AND NOT undated AS numbers_told FROM f WHERE kind IN (4, 5) AND item_id % 4 <> 1""")(
-    # Of these kinds only the number, the day and the year are numbers; days are written as in the fact for the screening.
-    lambda s, d: _facts(s, d).where("item_id % 6 in (4, 5) and item_id % 4 <> 1").select("item_id", (F.size(G.screened(F.col("fact"), F.concat(F.col("answer"), F.when(F.floor(F.col("item_id") / 6) % 5 == 0, "").otherwise(F.regexp_extract("fact", r" on( \d+ \w+ \d+)$", 1))))["missing"]) == 0).alias("numbers_told"))
-)
+
+
+def _screened(s, d):
+    """Days and months are written as in the fact for the screening, where the answer has a date; every second answer of two kinds says it in other words."""
+    i = F.col("item_id")
+    dated = F.when(F.floor(i / 6) % 5 == 0, "").otherwise(F.regexp_extract("fact", r" (?:on|in)( (?:\d+ )?\w+ \d+)$", 1))
+    answer = F.concat(F.when(F.floor(i / 6) % 2 == 0, F.regexp_replace(F.regexp_replace("answer", "return", "gain"), "volume", "turnover")).otherwise(F.col("answer")), dated)
+    x = G.screened(F.col("fact"), answer)
+    return _facts(s, d).select("item_id", x.alias("x")).select("item_id", (F.size("x.missing") == 0).alias("numbers_told"), "x.coverage", "x.likely")
+
+
+# A whole number is also told by a day of the month that is the same.
+register("component_screen", """WITH f AS (SELECT item_id, (item_id * 13) % 7 - 3 AS off, item_id % 6 AS kind, (item_id // 6) % 5 = 0 AS undated, (item_id // 6) % 2 = 0 AS reworded, floor((item_id * 37) % 1000 / 10.0 + 1) AS whole, day(DATE '2019-01-01' + CAST((item_id * 11) % 365 AS INTEGER)) AS of_month FROM benchmark),
+t AS (SELECT *, NOT undated AND (off = 0 OR kind = 4 AND item_id % 4 <> 1 AND whole = of_month) AS numbers_told FROM f)
+SELECT item_id, numbers_told, CAST(CASE WHEN NOT reworded THEN 1 WHEN kind = 0 THEN 0.5 WHEN kind = 3 THEN 0.67 ELSE 1 END AS DOUBLE) AS coverage, numbers_told AS likely FROM t""")(_screened)
+
+
+def _lines_screened(s, d):
+    """Whether what follows a document's first line says that line again."""
+    text = F.coalesce("text", F.lit(""))
+    fact = F.element_at(F.split(text, "\n", -1), 1)
+    parts = V.table(s, d, "documents").select("doc_id", fact.alias("fact"), F.substr(text, F.length(fact) + 2).alias("rest"))
+    x = G.screened(F.col("fact"), F.col("rest"))
+    return parts.select("doc_id", x.alias("x")).select("doc_id", F.size("x.missing").cast("bigint").alias("missing"), "x.coverage", "x.likely")
+
+
+_TOLD = r"list_distinct(list_transform(regexp_extract_all({}, '-?[0-9]+(?:[.,][0-9]+)*'), lambda n: replace(n, ',', '')))"
+register("screen_documents", r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, string_split(t, chr(10))[1] AS fact, lower(substr(t, length(string_split(t, chr(10))[1]) + 2)) AS rest FROM t),
+m AS (SELECT doc_id, rest, """ + _TOLD.format("fact") + " AS asked, " + _TOLD.format("rest") + r""" AS told, list_filter(regexp_extract_all(lower(fact), '[a-z]{4,}'), lambda w: NOT list_contains(['the', 'and', 'with', 'that', 'from', 'were', 'this'], w)) AS words FROM p),
+c AS (SELECT doc_id, len(list_filter(asked, lambda n: NOT list_contains(told, n))) AS missing, len(words) AS n, len(list_filter(words, lambda w: contains(rest, w))) AS hits FROM m)
+SELECT doc_id, missing, CASE WHEN n > 0 THEN (200 * hits + n) // (2 * n) / 100.0 END AS coverage, missing = 0 AND (n = 0 OR hits >= greatest(1, n // 3)) AS likely FROM c""")(_lines_screened)
 register("lookup_missing", "SELECT doc_id, 'found' AS status FROM documents JOIN labels USING (doc_id) UNION ALL SELECT DISTINCT doc_id, 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(
     lambda s, d: (lambda found, missing: found.select("doc_id", F.lit("found").alias("status")).union(missing.select("doc_id", F.lit("missing"))))(*files.lookup(V.table(s, d, "documents").select("doc_id"), V.table(s, d, "labels"), "doc_id", "doc_id"))
 )

@@ -53,29 +53,35 @@ register("fn_number_formats", "SELECT o_orderkey, printf('%+.2f%%', o_totalprice
     lambda s, d: _orders(s, d).select("o_orderkey", S.signed_percent(F.col("o_totalprice")).alias("signed_pct"), S.rate_percent(F.col("o_totalprice")).alias("rate"), S.signed_points(F.col("o_totalprice")).alias("points"), S.thousands(F.floor("o_totalprice")).alias("thousands"), S.volume_text(F.col("o_totalprice")).alias("volume"), S.correlation_text(F.floor("o_totalprice") / 8).alias("corr"), S.close_text(F.col("o_totalprice")).alias("close"))
 )
 
-# Headlines of known sector and relevance, with words that only look like a sector's; the SQL names the outcome of each.
+# Headlines of several sectors and of none, with words that only look like a sector's, each behind a document's own headline.
 _HEADLINES = "Qantas cuts flights and shares slump|Crude oil surges|Lender posts profit|BHP lifts iron ore output|Real estate agents wait|Shopper mood turns, says store owner|Telecom outage ends|More stores open before the calendar ends|A banker lends an oilier hand|Minerva resources rally|Nothing about marketing"
-_SECTORS = "travel|energy|banks|miners|property|retail|tech|broad|broad|miners|broad"
-_RELEVANT = "1|0|1|0|0|0|0|0|0|1|0"
-_HEAD = f"WITH h AS (SELECT n_nationkey, CAST(n_nationkey % 11 + 1 AS INTEGER) AS k FROM nation) SELECT n_nationkey, string_split('{_SECTORS}', '|')[k] AS sector, string_split('{_RELEVANT}', '|')[k] = '1' AS relevant FROM h"
+# The SQL takes words one by one, names of two words by their neighbours.
+_BY_WORD = """WITH h AS (SELECT article_id, lower(headline || ' ' || string_split('{0}', '|')[CAST(article_id % 11 + 1 AS INTEGER)]) AS h FROM articles_), w AS (SELECT article_id, h, string_split_regex(h, '[^a-z0-9_]') AS w FROM h),
+p AS (SELECT *, list_filter(['iron ore', 'rio tinto', 'real estate'], lambda n: contains(h, n) AND contains('|' || array_to_string(w, '|') || '|', '|' || replace(n, ' ', '|') || '|')) AS pairs FROM w)
+SELECT article_id, CASE WHEN list_has_any(w, ['travel', 'airline', 'qantas', 'tourism', 'flight', 'holiday']) THEN 'travel' WHEN list_has_any(w, ['energy', 'oil', 'gas', 'petrol', 'crude', 'coal']) THEN 'energy'
+ WHEN list_has_any(w, ['bank', 'banks', 'banking', 'cba', 'nab', 'anz', 'westpac', 'lender']) THEN 'banks' WHEN list_has_any(w, ['mining', 'miner', 'bhp', 'resources']) OR list_has_any(pairs, ['iron ore', 'rio tinto']) THEN 'miners'
+ WHEN list_has_any(w, ['property', 'housing', 'reit', 'mortgage']) OR list_has_any(pairs, ['real estate']) THEN 'property' WHEN list_has_any(w, ['retail', 'consumer', 'shopper', 'sales']) THEN 'retail'
+ WHEN list_has_any(w, ['tech', 'technology', 'telco', 'telecom', 'nbn', 'software']) THEN 'tech' ELSE 'broad' END AS sector,
+ list_has_any(w, ['share', 'shares', 'stock', 'stocks', 'market', 'asx', 'rally', 'slump', 'surge', 'plunge', 'investor', 'investors', 'profit', 'earnings', 'outlook', 'rate', 'rates', 'rba', 'dividend', 'guidance', 'forecast', 'selloff', 'rebound']) AS relevant FROM p""".format(_HEADLINES)
 
 
 def _headlines(s, d):
-    headline = F.element_at(F.split(F.lit(_HEADLINES), r"\|"), (F.col("n_nationkey") % 11 + 1).cast("int"))
-    return V.table(s, d, "nation").select("n_nationkey", S.sector(headline).alias("sector"), S.market_relevant(headline).alias("relevant"))
+    added = F.element_at(F.split(F.lit(_HEADLINES), r"\|"), (F.col("article_id") % 11 + 1).cast("int"))
+    headline = F.concat("headline", F.lit(" "), added)
+    return V.articles(s, d).select("article_id", S.sector(headline).alias("sector"), S.market_relevant(headline).alias("relevant"))
 
 
-register("fn_sector", _HEAD)(_headlines)
+register("fn_sector", V.with_(V.ARTICLES + ", articles_ AS (SELECT article_id, headline FROM articles)") + "," + _BY_WORD.removeprefix("WITH"))(_headlines)
 register("market_headlines", V.with_(V.ARTICLES) + r"SELECT article_id FROM articles WHERE publication IS NOT NULL AND regexp_matches('the ' || headline || CASE article_id % 5 WHEN 0 THEN ' outlook' WHEN 1 THEN ' rates' WHEN 2 THEN ' rated' ELSE '' END, '(?i)\b(shares?|stocks?|market|asx|rally|slump|surge|plunge|investors?|profit|earnings|outlook|rates?|rba|dividend|guidance|forecast|selloff|rebound)\b')")(
     lambda s, d: V.articles(s, d).where(F.col("publication").isNotNull() & S.market_relevant(F.concat(F.lit("the "), "headline", F.when(F.col("article_id") % 5 == 0, " outlook").when(F.col("article_id") % 5 == 1, " rates").when(F.col("article_id") % 5 == 2, " rated").otherwise("")))).select("article_id")
 )
-register("fn_hedged", _T + r"SELECT example_id, regexp_matches(CASE WHEN example_id % 3 = 0 THEN 'Close to ' ELSE '' END || answer, '(?is)(approximately|roughly|about|around|circa|some|nearly|almost|just over|just under|in the region of|or so|give or take|ballpark|estimated|an estimated|close to|upwards of|north of|south of).{0,39}[0-9]') AS hedged FROM examples")(lambda s, d: V.examples(s, d).select("example_id", G.hedged(F.concat(F.when(F.col("example_id") % 3 == 0, "Close to ").otherwise(""), "answer")).alias("hedged")))
-register("fn_cut_at_sentence", _T + r"""SELECT example_id, CASE WHEN length(answer) <= 120 THEN answer ELSE regexp_replace(CASE
- WHEN length(regexp_extract(head, '(?s)^(.*)\. ', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)\. ', 1)) + 1)
- WHEN length(regexp_extract(head, '(?s)^(.*)! ', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)! ', 1)) + 1)
- WHEN length(regexp_extract(head, '(?s)^(.*)\? ', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)\? ', 1)) + 1)
- WHEN length(regexp_extract(head, '(?s)^(.*)\n', 1)) > 60 THEN substr(head, 1, length(regexp_extract(head, '(?s)^(.*)\n', 1)) + 1)
- ELSE head END, '\s+$', '') || ' [truncated]' END AS cut FROM (SELECT *, substr(answer, 1, 120) AS head FROM examples)""")(lambda s, d: V.examples(s, d).select("example_id", S.cut_at_sentence(F.col("answer"), 120).alias("cut")))
+_OPENED = "CASE WHEN example_id % 3 = 0 THEN 'Close to ' ELSE '' END || answer"
+register("fn_hedged", _T + f"SELECT example_id, {V.hedged_sql('(' + _OPENED + ')')} AS hedged FROM examples")(lambda s, d: V.examples(s, d).select("example_id", G.hedged(F.concat(F.when(F.col("example_id") % 3 == 0, "Close to ").otherwise(""), "answer")).alias("hedged")))
+# How far the text before the last end of a sentence reaches, from the lengths of the pieces between such ends.
+_UPTO = "CASE WHEN len(string_split(head, {0})) > 1 THEN length(head) - length(string_split(head, {0})[-1]) - length({0}) ELSE 0 END"
+register("fn_cut_at_sentence", _T + f""", h AS (SELECT example_id, answer, substr(answer, 1, 120) AS head FROM examples),
+u AS (SELECT *, list_filter([{_UPTO.format("'. '")}, {_UPTO.format("'! '")}, {_UPTO.format("'? '")}, {_UPTO.format("chr(10)")}], lambda n: n > 60)[1] AS upto FROM h)
+SELECT example_id, CASE WHEN length(answer) <= 120 THEN answer ELSE rtrim(left(head, coalesce(upto + 1, 120)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || ' [truncated]' END AS cut FROM u""")(lambda s, d: V.examples(s, d).select("example_id", S.cut_at_sentence(F.col("answer"), 120).alias("cut")))
 register("fn_iso_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ',' || strftime(o_orderdate + INTERVAL 1 YEAR, '%Y-%m') AS dates FROM orders")(
     lambda s, d: _orders(s, d).select("o_orderkey", F.array_join(G.dates(F.concat(F.lit("from "), F.date_format("day", "d MMMM yyyy"), F.lit(" or "), F.date_format("day", "MMM d, yyyy"), F.lit(", 12 of them, until "), F.date_format(F.add_months("day", 12), "MMM yyyy"), F.lit(", that is "), F.date_format(F.add_months("day", 12), "yyyy-MM"))), ",").alias("dates"))
 )

@@ -68,6 +68,43 @@ EXAMPLES = """examples AS (SELECT doc_id AS example_id, coalesce(lang, 'none') A
 ARMS = """arms AS (SELECT item_id, item_id % 12 AS qid, 'base' AS arm, (item_id * 37 + 11) % 101 AS points FROM benchmark UNION ALL SELECT item_id, item_id % 12, 'tuned', (item_id * 53 + 29) % 101 FROM benchmark)"""
 
 
+# Signals of an answer in DuckDB, told by splitting and searching instead of the library's patterns.
+_ANY = "len(list_filter([{}], lambda w: {})) > 0"
+
+
+def _words(text: str) -> str:
+    return ", ".join(f"'{w}'" for w in text.split("|"))
+
+
+def hedged_sql(answer: str) -> str:
+    """A digit in the 40 characters behind any place of a hedge."""
+    hedges = _words("approximately|roughly|about|around|circa|some|nearly|almost|just over|just under|in the region of|or so|give or take|ballpark|estimated|close to|upwards of|north of|south of")
+    return _ANY.format(hedges, f"len(list_filter(string_split(lower({answer}), w)[2:], lambda p: translate(substr(p, 1, 40), '0123456789', '') <> substr(p, 1, 40))) > 0")
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def leaked_sql(answer: str) -> str:
+    """Phrases anywhere, and openings of lines."""
+    phrases = _words("<think>|</think>|thinking process|let me think|let me check|let me work|let me see|i need to find|i need to check|i need to look|the user is asking|the user wants|based on the tool result i|based on the tool results i|based on the tool result, i|based on the tool results, i")
+    opens = _words("step 0|step 1|step 2|step 3|step 4|step 5|step 6|step 7|step 8|step 9|first i|first, i|okay so|okay, so|hmm")
+    lines = f"list_transform(string_split(lower({answer}), chr(10)), lambda l: ltrim(l, {_BLANKS}))"
+    return f"({_ANY.format(phrases, f'contains(lower({answer}), w)')} OR len(list_filter({lines}, lambda l: {_ANY.format(opens, 'starts_with(l, w)')})) > 0)"
+
+
+def misformatted_sql(answer: str) -> str:
+    """Marks anywhere, numbered calls by what surrounds a closing bracket, objects by what surrounds a brace."""
+    low = f"lower({answer})"
+    marks = _words("domain_predict_mode|mock-fallback|tool_trace|query_data(|dataset_coverage(|```|verified tool results")
+    after = f"len(list_filter([{_words('query_data|retrieve|dataset_coverage')}], lambda w: starts_with(ltrim(s[k + 1], {_BLANKS}), w) AND ltrim(s[k + 1], {_BLANKS}) <> s[k + 1])) > 0"
+    number = "string_split(s[k], '[')[-1]"
+    call = f"len(list_filter(list_transform([string_split({low}, ']')], lambda s: len(list_filter(range(1, len(s)), lambda k: contains(s[k], '[') AND {number} <> '' AND translate({number}, '0123456789', '') = '' AND {after}))), lambda n: n > 0)) > 0"
+    blank = f"ltrim(string_split(s[k], chr(10))[-1], {_BLANKS}) = '' AND (k = 1 OR contains(s[k], chr(10)))"
+    brace = f"len(list_filter(list_transform([string_split({low}, '{{')], lambda s: len(list_filter(range(1, len(s)), lambda k: {blank} AND substr(ltrim(s[k + 1], {_BLANKS}), 1, 1) IN (chr(34), chr(39))))), lambda n: n > 0)) > 0"
+    return f"({_ANY.format(marks, f'contains({low}, w)')} OR {call} OR {brace})"
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quaymark.functions import dates, grading
 from quaymark.functions import scalars as S
@@ -229,3 +230,25 @@ def test_prompt_gates(spark):
     rows = [("a", "S", "p", "p", 1), ("a", "S", "x", "p", 0), ("b", "S", "p ", "p", 2), ("c", "T", None, None, 0), ("d", None, None, "p", 1)]
     got = {r["set"]: tuple(r)[1:] for r in C.prompt_gates(spark.createDataFrame(rows, "set string, system string, prompt string, rendered string, steps int"), "S").collect()}
     assert got == {"a": (1, True, True), "b": (1, False, True), "c": (0, False, False), "d": (1, False, False)}
+
+
+def test_signals_and_their_sql_agree_on_odd_answers(spark):
+    """The patterns of the library and SQL that splits and searches, on texts at the edges of the rules."""
+    import duckdb
+
+    from quaymark.sources import views
+
+    texts = ["", "about", "about" + "x" * 39 + "7", "about" + "x" * 40 + "7", "some about 5", "ABOUT\n5", "estimated over 3", "estimates 3", "a hmm", "\n \t hmm", "First I look", "first, i", "first,  i", "Step 1", "step x", "steps 1", "so\r\nOkay, so", "</THINK>", "Based on the tool results, I say", "[1] query_data", "[1]query_data", "[x] retrieve", "[] retrieve", "1] retrieve", "[[12]\n\tdataset_coverage", "[1][2] Retrieve", '{"a"', 'x {"a"', "\n{ \n 'a'", "{{'a'", "{\n{'a'", "{a'", "```", "query_data(", "query_data"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", grading.hedged(F.col("t")), grading.leaked(F.col("t")), grading.misformatted(F.col("t"))).orderBy("i").collect()
+    con = duckdb.connect()
+    con.execute("create table x (i int, t varchar)")
+    con.executemany("insert into x values (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"select i, {views.hedged_sql('t')}, {views.leaked_sql('t')}, {views.misformatted_sql('t')} from x order by i").fetchall()
+    assert [tuple(r) for r in got] == want
+    assert [sum(column) for column in list(zip(*want))[1:]] == [4, 7, 8]
+
+
+def test_screening_names_numbers_words_and_the_outcome(spark):
+    cases = [("the market rally ended", "Market. Rally!"), ("the market rally ended", ""), ("up 1,250 or -3.5", "1250 and -3.5"), ("up 1,250 or 3", "1250"), ("", ""), ("with that", "")]
+    got = spark.createDataFrame(cases, "f string, a string").select(grading.screened(F.col("f"), F.col("a")).alias("x")).select("x.*").collect()
+    assert [(list(r.missing), r.coverage, r.likely) for r in got] == [([], 0.67, True), ([], 0.0, False), ([], None, True), (["3"], None, False), ([], None, True), ([], None, True)]
