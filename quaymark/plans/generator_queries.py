@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,3 +130,104 @@ t AS (SELECT ticker, year, printf('%+.4f%%', r) AS r, CAST(rank AS VARCHAR) AS k
 q AS (SELECT *, (CAST(year AS BIGINT) * 31 + length(ticker) + j * 2147483647) % 6 AS x FROM t, range(2) v(j))
 SELECT 'asx_return' AS category, 'For ' || ticker || ' in ' || year || ', report its ' || ['return', 'rank', 'place', 'return and rank', 'return and place', 'rank and place'][x + 1] || '.' AS question,
  CASE x WHEN 0 THEN '1) ' || r WHEN 1 THEN '1) ' || k WHEN 2 THEN '1) ' || p WHEN 3 THEN '1) ' || r || '; 2) ' || k WHEN 4 THEN '1) ' || r || '; 2) ' || p ELSE '1) ' || k || '; 2) ' || p END AS answer FROM q""")(_drawn_returns)
+
+
+#: A drawn window begins with any year and holds one to LONGEST years, by its first year.
+LONGEST = 4
+WORDS = ("the", "of", "in")
+
+
+def _length(start: Column) -> Column:
+    return F.pmod(start * 7, F.lit(LONGEST)) + 1
+
+
+def _windows(years: DataFrame) -> DataFrame:
+    """Each row of a year once for each drawn window that holds the year, so that windows are groups and need no range join."""
+    inside = years.select("*", F.explode(F.sequence(F.col("year") - (LONGEST - 1), F.col("year"))).alias("start"))
+    return inside.where(F.col("start") + _length(F.col("start")) > F.col("year"))
+
+
+def _asked(rows: DataFrame, category: str, stem: Column, components: dict[str, Column], seed: Column, most: int, draws: int) -> DataFrame:
+    """Questions for drawn subsets of one to `most` components, each answered in the order asked. No component's value is null."""
+    told = F.array(*[F.struct(F.lit(name).alias("name"), value.alias("value")) for name, value in components.items()])
+    places = subsets.drawn(F.array(*[F.lit(str(k + 1)) for k in range(len(components))]), 1, most, seed.cast("bigint"), draws)
+    asked = rows.select(stem.alias("stem"), told.alias("told"), F.explode(places).alias("places"))
+    part = lambda field: F.transform("places", lambda k: F.element_at(F.col("told"), k.cast("int"))[field])
+    return _example(asked, category, _text(F.col("stem"), ", report ", S.oxford(part("name")), "."), S.ranking(part("value")))
+
+
+def _asked_sql(rows: str, category: str, stem: str, components: dict[str, str], seed: str, most: int, draws: int) -> str:
+    """The same from a list of all subsets."""
+    sets = [list(c) for k in range(1, most + 1) for c in combinations(range(1, len(components) + 1), k)]
+    values = ", ".join(components.values())
+    return f"""{rows}, a_ AS (SELECT {stem} AS stem, [{values}] AS v, ({sets})[({seed} + j * {subsets.STRIDE}) % {len(sets)} + 1] AS s FROM rows_, range({draws}) r(j)), n_ AS (SELECT *, list_transform(s, lambda k: ({list(components)})[k]) AS n FROM a_)
+SELECT '{category}' AS category, stem || ', report ' || CASE WHEN len(n) < 3 THEN array_to_string(n, ' and ') ELSE array_to_string(n[1:len(n) - 1], ', ') || ', and ' || n[len(n)] END || '.' AS question, array_to_string(list_transform(s, lambda k, i: i || ') ' || v[k]), '; ') AS answer FROM n_"""
+
+
+def _hundredths(part: str, whole: str, of: int) -> Column:
+    """of * part / whole, rounded half up to two places in whole numbers, as text."""
+    q = F.expr(f"({200 * of} * {part} + {whole}) div (2 * {whole})")
+    return _text(S.thousands(F.floor(q / 100)), ".", F.lpad((q % 100).cast("string"), 2, "0"))
+
+
+def _hundredths_sql(part: str, whole: str, of: int) -> str:
+    q = f"(({200 * of} * {part} + {whole}) // (2 * {whole}))"
+    return f"format('{{:,}}', {q} // 100) || '.' || lpad(CAST({q} % 100 AS VARCHAR), 2, '0')"
+
+
+_IN = "CASE WHEN (start * 7) % 4 = 0 THEN 'In ' || start ELSE 'From ' || start || ' to ' || (start + (start * 7) % 4) END"
+_SPREAD = "(SELECT {0}.*, unnest(range({0}.year - 3, {0}.year + 1)) AS start FROM {0}) WHERE start + (start * 7) % 4 + 1 > year"
+
+
+def _period() -> Column:
+    more = _length(F.col("start")) - 1
+    return F.when(more == 0, _text("In ", F.col("start"))).otherwise(_text("From ", F.col("start"), " to ", F.col("start") + more))
+
+
+def drawn_rates(decisions: DataFrame) -> DataFrame:
+    """Changes of the rate in drawn windows."""
+    c = F.col
+    change = c("change_bp")
+    years = decisions.where(change != 0).groupBy(F.year("effective").alias("year")).agg(F.count("*").alias("n"), F.count_if(change > 0).alias("up"), F.count_if(change < 0).alias("down"), F.sum(change).alias("net"))
+    found = _windows(years).groupBy("start").agg(*[F.sum(x).cast("bigint").alias(x) for x in ("n", "up", "down", "net")])
+    parts = {"all changes": S.thousands(c("n")), "increases": S.thousands(c("up")), "decreases": S.thousands(c("down")), "the net move": F.concat(c("net").cast("string"), F.lit(" basis points"))}
+    return _asked(found, "rba_counts", _period(), parts, c("start") * 13, 3, 2)
+
+
+def drawn_volumes(bars: DataFrame) -> DataFrame:
+    """Volumes of tickers in drawn windows, summed by year first."""
+    c = F.col
+    years = bars.groupBy("ticker", F.year("day").alias("year")).agg(F.sum("volume").cast("bigint").alias("total"), F.count("*").alias("days"), F.max("volume").cast("bigint").alias("top"))
+    found = _windows(years).groupBy("ticker", "start").agg(F.sum("total").alias("total"), F.sum("days").alias("days"), F.max("top").alias("top"))
+    parts = {"sessions": S.thousands(c("days")), "the volume": S.thousands(c("total")), "its daily average": _hundredths("total", "days", 1), "its peak": S.thousands(c("top"))}
+    return _asked(found, "asx_volume", _text(_period(), ", for ", c("ticker")), parts, c("start") * 17 + F.length("ticker"), 4, 3)
+
+
+def drawn_counts(articles: DataFrame) -> DataFrame:
+    """Articles of drawn windows that hold a drawn word; all words are counted in one scan."""
+    c = F.col
+    years = articles.where("publication is not null").groupBy(F.year("publication").alias("year")).agg(F.count("*").alias("n"), *[F.count_if(F.contains("blob", F.lit(w)) & c("blob").rlike(T.build_pattern(terms=[w]))).alias(f"n_{w}") for w in WORDS])
+    found = _windows(years).groupBy("start").agg(F.sum("n").alias("n"), *[F.sum(f"n_{w}").alias(f"n_{w}") for w in WORDS])
+    place = F.pmod(c("start"), F.lit(len(WORDS))) + 1
+    named = found.select("start", "n", F.element_at(F.array(*[F.lit(w) for w in WORDS]), place.cast("int")).alias("word"), F.element_at(F.array(*[c(f"n_{w}") for w in WORDS]), place.cast("int")).alias("m"))
+    parts = {"articles that hold it": S.thousands(c("m")), "their share": F.concat(_hundredths("m", "n", 100), F.lit("%")), "all articles": S.thousands(c("n"))}
+    return _asked(named, "afr_counts", _text(_period(), ', of the word "', c("word"), '"'), parts, c("start") * 19, 2, 2)
+
+
+def drawn_composites(decisions: DataFrame, bars: DataFrame) -> DataFrame:
+    """Changes of the rate in drawn windows beside what the basket returned in each window's first year."""
+    c = F.col
+    years = decisions.where("change_bp <> 0").groupBy(F.year("effective").alias("year")).agg(F.count("*").alias("n"), F.sum("change_bp").alias("net"))
+    windows = _windows(years).groupBy("start").agg(F.sum("n").alias("n"), F.sum("net").cast("bigint").alias("net"))
+    found = windows.join(P.basket_returns(bars).select(c("year").alias("start"), "basket_pct"), "start")
+    parts = {"rate changes": S.thousands(c("n")), "the net move": F.concat(c("net").cast("string"), F.lit(" basis points")), "the basket in the first year": F.format_string("%+.4f%%", "basket_pct")}
+    return _asked(found, "composite", _period(), parts, c("start") * 23, 3, 2)
+
+
+_CHANGED = "y AS (SELECT year(effective) AS year, count(*) AS n, count(*) FILTER (change_bp > 0) AS up, count(*) FILTER (change_bp < 0) AS down, sum(change_bp) AS net FROM decisions WHERE change_bp <> 0 GROUP BY 1), g AS (SELECT start, sum(n) AS n, sum(up) AS up, sum(down) AS down, sum(net) AS net FROM " + _SPREAD.format("y") + " GROUP BY 1)"
+_COMMAS = "format('{{:,}}', CAST({} AS BIGINT))"
+register("gen_drawn_rates", _asked_sql(_ALL + f", {_CHANGED}, rows_ AS (SELECT * FROM g)", "rba_counts", _IN, {"all changes": _COMMAS.format("n"), "increases": _COMMAS.format("up"), "decreases": _COMMAS.format("down"), "the net move": "CAST(net AS BIGINT) || ' basis points'"}, "start * 13", 3, 2))(lambda s, d: drawn_rates(V.decisions(s, d)))
+register("gen_drawn_volumes", _asked_sql(_ALL + ", y AS (SELECT ticker, year(day) AS year, CAST(volume AS BIGINT) AS v FROM bars), rows_ AS (SELECT ticker, start, CAST(sum(v) AS BIGINT) AS total, count(*) AS days, max(v) AS top FROM " + _SPREAD.format("y") + " GROUP BY 1, 2)", "asx_volume", _IN + " || ', for ' || ticker", {"sessions": _COMMAS.format("days"), "the volume": _COMMAS.format("total"), "its daily average": _hundredths_sql("total", "days", 1), "its peak": _COMMAS.format("top")}, "start * 17 + length(ticker)", 4, 3))(lambda s, d: drawn_volumes(V.bars(s, d)))
+_WORD = f"{list(WORDS)}[start % 3 + 1]"
+register("gen_drawn_counts", _asked_sql(_ALL + f", y AS (SELECT year(publication) AS year, blob FROM articles WHERE publication IS NOT NULL), rows_ AS (SELECT start, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (regexp_matches(blob, '(^|[^\\pL\\pM\\pN_])' || ({_WORD}) || '($|[^\\pL\\pM\\pN_])')) AS m FROM " + _SPREAD.format("y") + " GROUP BY 1)", "afr_counts", _IN + f""" || ', of the word "' || ({_WORD}) || '"'""", {"articles that hold it": _COMMAS.format("m"), "their share": _hundredths_sql("m", "n", 100) + " || '%'", "all articles": _COMMAS.format("n")}, "start * 19", 2, 2))(lambda s, d: drawn_counts(V.articles(s, d)))
+register("gen_drawn_composites", _asked_sql(_ALL + f", {_CHANGED}, {_BASKET}, rows_ AS (SELECT g.*, pct FROM g JOIN bk ON bk.year = g.start)", "composite", _IN, {"rate changes": _COMMAS.format("n"), "the net move": "CAST(net AS BIGINT) || ' basis points'", "the basket in the first year": "printf('%+.4f%%', pct)"}, "start * 23", 3, 2))(lambda s, d: drawn_composites(V.decisions(s, d), V.bars(s, d)))
