@@ -123,16 +123,22 @@ SECTORS = {
 MARKET = "shares?|stocks?|market|asx|rally|slump|surge|plunge|investors?|profit|earnings|outlook|rates?|rba|dividend|guidance|forecast|selloff|rebound"
 
 
-def sector(headline: Column) -> Column:
+def _whole(words: str, ascii_words: bool) -> str:
+    """A pattern of whole words in any case. Letters and digits of all scripts are parts of words; with ascii_words only ASCII's are, as for DuckDB. What \\b means differs between versions of Java, so edges are spelled out."""
+    flags, part = ("i", "[A-Za-z0-9_]") if ascii_words else ("iu", r"[\p{L}\p{N}_]")
+    return rf"(?{flags})(?<!{part})({words})(?!{part})"
+
+
+def sector(headline: Column, ascii_words: bool = False) -> Column:
     """The first sector of which the headline holds a whole word."""
     found = F
     for name, words in SECTORS.items():
-        found = found.when(headline.rlike(rf"(?i)\b({words})\b"), name)
+        found = found.when(headline.rlike(_whole(words, ascii_words)), name)
     return found.otherwise("broad")
 
 
-def market_relevant(headline: Column) -> Column:
-    return headline.rlike(rf"(?i)\b({MARKET})\b")
+def market_relevant(headline: Column, ascii_words: bool = False) -> Column:
+    return headline.rlike(_whole(MARKET, ascii_words))
 
 
 def coarse(label: Column) -> Column:
