@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quaymark.functions import dates
 from quaymark.operators.patterns import EDGE, from_terms, literals, translate
-from quaymark.session import stored
 
 
 def build_pattern(pattern: str | None = None, terms: Sequence[str] | str | None = None, whole_word: bool = True) -> str:
@@ -77,50 +76,24 @@ def normalise_headline(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-#: Length of the pieces by which parts of headlines find those that may hold them.
-PIECE = 3
-
-
-def _pieces(c: Column) -> Column:
-    """The different runs of PIECE characters of a text that has so many."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE - 1)), lambda i: F.substring(c, i, F.lit(PIECE))))
-
-
-def _holding(named: DataFrame, open_: DataFrame) -> DataFrame:
-    """(request, article_id, publication): headlines of the day (article_id, publication, norm) that hold what is wanted (request, day, want).
-
-    What is held lies, word by word, in words of the headline. A request's longest word is looked for in the day's vocabulary,
-    by that of its pieces which is in the fewest words of the day's headlines; one with a piece that is in none is done. The
-    words found name the headlines, and those that several words are wanted of are read."""
-    days = named.join(F.broadcast(open_.select(F.col("day").alias("publication")).distinct()), "publication", "left_semi")  # a row a day
-    longest = F.aggregate(F.split("want", " "), F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
-    asked = open_.withColumn("anchor", longest)
-    words = stored(days.select("article_id", "publication", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")), "words")
-    vocabulary = words.where(F.length("word") >= PIECE).groupBy(F.col("publication").alias("day"), "word").agg(F.count("*").alias("n"))
-    pieces = asked.where(F.length("anchor") >= PIECE).select("request", "day", "anchor", F.explode(_pieces(F.col("anchor"))).alias("piece"))
-    held = vocabulary.select("day", "word", "n", F.explode(_pieces(F.col("word"))).alias("piece")).join(pieces.select("day", "piece").distinct(), ["day", "piece"], "left_semi")
-    counts = held.groupBy("day", "piece").agg(F.sum("n").alias("n"))
-    rarest = pieces.join(counts, ["day", "piece"]).groupBy("request", "day", "anchor").agg(F.min(F.struct("n", "piece")).alias("least"), F.count("*").alias("known")).where(F.col("known") == F.size(_pieces(F.col("anchor"))))
-    found = held.select("day", "word", "piece").join(rarest.select("request", "day", "anchor", F.col("least.piece").alias("piece")), ["day", "piece"]).where(F.contains("word", F.col("anchor")))
-    near = words.join(found.select(F.col("day").alias("publication"), "word", "request"), ["publication", "word"]).join(asked.select("request", "want", "anchor"), "request")
-    one = near.where(F.col("want") == F.col("anchor"))
-    more = near.where(F.col("want") != F.col("anchor")).join(days, ["article_id", "publication"]).where(F.contains("norm", F.col("want")))
-    short = days.join(asked.where(F.length("anchor") < PIECE).withColumnRenamed("day", "publication"), "publication").where(F.contains("norm", F.col("want")))
-    return reduce(DataFrame.union, [x.select("request", "article_id", "publication") for x in (one, more, short)])
-
-
 def find_headline(articles: DataFrame, requests: DataFrame) -> DataFrame:
-    """Articles for requests (wanted, day): exact normalised headline on the day, else on any day, else of those that hold it on the day; the first stage that finds some wins. Only requests that are still open reach the last stage. Headlines meet by hash; what was wanted is joined to what was found."""
-    named = articles.select("article_id", "publication", normalise_headline(F.col("headline")).alias("norm"))
-    asked = stored(requests.select("wanted", "day").distinct().withColumns({"want": normalise_headline(F.col("wanted")), "request": F.monotonically_increasing_id()}), "requests")
-    keyed = asked.select("request", "day", F.xxhash64("want").alias("hash"), "want")
-    exact = named.withColumn("hash", F.xxhash64("norm")).join(keyed, "hash").where(F.col("norm") == F.col("want"))
-    exact = stored(exact.select("request", F.when(F.col("publication").eqNullSafe(F.col("day")), 1).otherwise(2).alias("stage"), "article_id", "publication").distinct(), "exact")
-    first = exact.groupBy("request").agg(F.min("stage").alias("stage"))
-    open_ = stored(asked.where("want <> '' and day is not null").join(first, "request", "left_anti").select("request", "day", "want"), "open")
-    last = _holding(named, open_).distinct().select("request", F.lit(3).alias("stage"), "article_id", "publication")
-    found = exact.join(first, ["request", "stage"]).select("request", "stage", "article_id", "publication").union(last)
-    return found.join(asked.select("request", "wanted", "day"), "request").select("wanted", "day", "stage", "article_id", "publication")
+    """Articles for requests (wanted, day): exact normalised headline on the day, else on any day, else of those that hold it on the day; the first stage that finds some wins.
+
+    A stage is given only the requests that the ones before left open, and what it finds is final: rows of the result, which
+    grow with the square of a group of equal headlines, are neither shuffled nor stored. Requests and headlines meet by headline
+    and day, by headline, and by day."""
+    # A row an article; several headlines of one are lines, which nothing wanted can span.
+    named = articles.select("article_id", "publication", normalise_headline(F.col("headline")).alias("norm")).where("norm is not null")
+    named = named.groupBy("article_id", "publication").agg(F.array_join(F.collect_set("norm"), "\n").alias("norms"))
+    each = named.select("article_id", "publication", F.explode(F.split("norms", "\n")).alias("norm"))
+    asked = requests.select("wanted", "day").distinct().withColumn("want", normalise_headline(F.col("wanted"))).where("want is not null")
+    same, on_day = F.col("want") == F.col("norm"), F.col("day").eqNullSafe(F.col("publication"))
+    other = asked.join(each, same & on_day, "left_anti")
+    open_ = other.join(each, same, "left_anti")
+    # Said of the pair, not of one side before the join: then the stages' shuffles are the same and are made once.
+    held = on_day & F.contains("norms", F.when(F.col("day").isNotNull() & (F.col("want") != ""), F.col("want")))
+    stages = [asked.join(each, same & on_day), other.join(each, same), named.join(open_, held)]
+    return reduce(DataFrame.union, [found.select("wanted", "day", F.lit(k).alias("stage"), "article_id", "publication") for k, found in enumerate(stages, 1)])
 
 
 def retrieve(articles: DataFrame, pattern: str | None = None, day: str | None = None, limit: int = 5, max_chars: int = 1000) -> DataFrame:

@@ -72,10 +72,9 @@ register("headline_exact", _A + f", w AS (SELECT text AS wanted, {_NORM.format('
 
 def _asked(s, d):
     """Every headline on its own day, on a wrong day, and its first word on its day."""
-    a = V.articles(s, d).where("publication is not null").select("headline", "publication").distinct()
     first = F.regexp_extract("headline", "^[A-Za-z]+", 0)
-    rows = a.select(F.col("headline").alias("wanted"), F.col("publication").alias("day")).union(a.select(F.col("headline"), F.date_add("publication", 1))).union(a.where(first != "").select(first, F.col("publication")))
-    return rows.where(T.normalise_headline(F.col("wanted")) != "").distinct()
+    asked = [F.struct(wanted.alias("wanted"), day.alias("day")) for wanted, day in ((F.col("headline"), F.col("publication")), (F.col("headline"), F.date_add("publication", 1)), (first, F.col("publication")))]
+    return V.articles(s, d).where("publication is not null").select(F.inline(F.array(*asked))).where(T.normalise_headline(F.col("wanted")) != "").distinct()
 
 
 register("headline_cascade", _A + f""", h AS (SELECT DISTINCT headline, publication FROM articles WHERE publication IS NOT NULL),
